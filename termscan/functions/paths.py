@@ -9,6 +9,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from termscan.functions.patterns import escape, ignore_case
+
 _PERCENT_VAR = re.compile(r"%([^%]+)%")
 _SHELL_VAR = re.compile(r"\$\(\$env:(\w+)\)|\$env:(\w+)")
 
@@ -48,21 +50,22 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./\\]+)$", 1))
 
 
-def below_root(path: Column, root: str) -> Column:
-    """Rest of ``path`` under ``root`` (any case), null when not below it.
+def _under(root: str) -> str:
+    """Regex of ``root`` up to and including the separators that end it.
 
     A root ends at a separator: ``/a`` owns ``/a/x`` but not ``/ab/x``.
     """
-    stem = root.rstrip("/\\")
-    head = F.lower(F.substring(path, 1, len(stem))) == F.lower(F.lit(stem))
-    rest = F.substring(path, len(stem) + 1, 2**31 - 1)
-    relative = F.regexp_replace(rest, r"^[/\\]+", "")
-    return F.when(head & F.rlike(rest, F.lit(r"^[/\\]")) & (relative != ""), relative)
+    return escape(root.rstrip("/\\")) + r"[/\\]+"
+
+
+def is_below(path: Column, root: str) -> Column:
+    """Whether ``path`` lies under ``root``, in any case."""
+    return F.rlike(path, F.lit(ignore_case(f"^{_under(root)}[^/\\\\]")))
 
 
 def first_root(path: Column, roots: Sequence[str]) -> Column:
     """The first listed root above ``path``, null when there is none."""
-    matches = [F.when(below_root(path, root).isNotNull(), F.lit(root)) for root in roots]
+    matches = [F.when(is_below(path, root), F.lit(root)) for root in roots]
     return F.coalesce(*matches) if matches else F.lit(None).cast("string")
 
 
@@ -72,13 +75,11 @@ def repo_name(path: Column, roots: Sequence[str]) -> Column:
     A blank segment reads ``(root)``.  Without a matching root it is the third
     part of the path, or the last one if there are fewer.
     """
-    relatives = [below_root(path, root) for root in roots]
-    relative = F.coalesce(*relatives) if relatives else F.lit(None).cast("string")
-    segment = F.substring_index(slashes(relative), "/", 1)
     parts = F.split(path, r"[/\\]")
-    fallback = F.when(F.size(parts) >= 3, F.get(parts, F.lit(2))).otherwise(F.element_at(parts, -1))
-    return (
-        F.when(relative.isNull(), fallback)
-        .when(F.trim(segment) == "", F.lit("(root)"))
-        .otherwise(segment)
-    )
+    fallback = F.get(parts, F.least(F.size(parts) - 1, F.lit(2)))
+    if not roots:
+        return fallback
+    # Alternatives are tried in order, so the first root that fits decides.
+    above = "|".join(map(_under, roots))
+    segment = F.regexp_extract(path, ignore_case(rf"^(?:{above})([^/\\]+)"), 1)
+    return F.when(segment == "", fallback).when(F.trim(segment) == "", F.lit("(root)")).otherwise(segment)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import lru_cache
 
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
@@ -69,6 +70,7 @@ def literal_alternatives(pattern: str) -> list[str] | None:
     return match.group(1).split("|") if match else None
 
 
+@lru_cache(maxsize=256)
 def usable_pattern(spark: SparkSession, pattern: str | None) -> str | None:
     """``pattern`` if the engine can compile it, ``None`` if blank or invalid.
 

@@ -25,12 +25,10 @@ def match_position(folded_text: Column, needle: Column) -> Column:
 
 def line_context(text: Column, position: Column, width: int = CONTEXT_LENGTH) -> Column:
     """The line at ``position``, cut to ``width`` from its start, white space collapsed."""
-    newline = F.lit("\n")
     head = F.substring_index(F.substring(text, F.lit(1), position - 1), "\n", -1)
-    start = position - F.length(head)
-    end = F.position(newline, text, position)
-    size = F.when(end > 0, F.least(F.lit(width), end - start)).otherwise(F.lit(width))
-    return F.trim(F.regexp_replace(F.substring(text, start, size), r"(?U)\s+", " "))
+    tail = F.substring_index(F.substring(text, position, F.lit(2**31 - 1)), "\n", 1)
+    line = F.substring(F.concat(head, tail), 1, width)
+    return F.trim(F.regexp_replace(line, r"(?U)\s+", " "))
 
 
 def markdown_cell(value: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termscan.functions.paths import below_root
+from termscan.functions.paths import is_below
 
 # Most repeated paths that are sent to every executor.
 BROADCAST_ROWS = 100_000
@@ -19,7 +19,7 @@ def files_per_root(files: DataFrame, roots: Sequence[str]) -> DataFrame:
     One pass over ``files``: the matching roots become an array per row.
     """
     ids = F.array_compact(F.array(*[
-        F.when(below_root(F.col("path"), root).isNotNull(), F.lit(root_id))
+        F.when(is_below(F.col("path"), root), F.lit(root_id))
         for root_id, root in enumerate(roots)
     ]))
     return files.withColumn("root_id", F.explode(ids))

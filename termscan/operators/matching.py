@@ -16,8 +16,9 @@ Terms are counted independently of each other, so nested terms
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,7 @@ TERMS_PER_BLOCK = 20_000
 CHARS_PER_BLOCK = 2_000_000
 
 FOLDED = "folded_text"
+ENTRY = "struct<term_id:int,term:string,needle:string>"
 
 
 @dataclass(frozen=True)
@@ -96,11 +98,8 @@ def _measured(matched: DataFrame, columns: list[str], term: str) -> DataFrame:
 
 
 def _search_each(files: DataFrame, terms: Sequence[Term]) -> DataFrame:
-    entries = [
-        F.struct(F.lit(t.term_id).alias("term_id"), F.lit(t.term).alias("term"), F.lit(t.needle).alias("needle"))
-        for t in terms
-    ]
-    constant = F.array(*entries).cast("array<struct<term_id:int,term:string,needle:string>>")
+    # A constant that the optimizer folds into the plan.
+    constant = F.from_json(F.lit(json.dumps([asdict(t) for t in terms])), f"array<{ENTRY}>")
     rows = files.withColumn("candidate", F.explode(constant))
     found = rows.where(F.contains(F.col(FOLDED), F.col("candidate.needle")))
     return _measured(found, files.columns, "candidate")
@@ -112,7 +111,7 @@ def _search_layers(files: DataFrame, terms: Sequence[Term]) -> DataFrame:
              for pattern in map(_lookahead, prefix_free_layers([t.needle for t in terms]))]
     table = spark.createDataFrame(
         [(t.needle, (t.term_id, t.term, t.needle)) for t in terms],
-        "found string, entry struct<term_id:int,term:string,needle:string>",
+        f"found string, entry {ENTRY}",
     )
     rows = files.withColumn("found", F.explode(F.concat(*found)))
     # The table is bounded by TERMS_PER_BLOCK and CHARS_PER_BLOCK.

@@ -24,13 +24,9 @@ def term_totals(hits: DataFrame) -> DataFrame:
 
 def score_totals(totals: DataFrame, crest: float = DEFAULT_CREST, slopes: float = DEFAULT_SLOPES) -> DataFrame:
     """Add score and tier.  One row per term, so one window holds them all."""
-    share = relative_score(F.col("total"), F.max("total").over(Window.partitionBy()))
-    return (
-        totals.withColumn("share", share)
-        .withColumn("score", rounded_score(F.col("share")))
-        .withColumn("tier", tier_label(F.col("share"), crest, slopes))
-        .drop("share")
-    )
+    shared = totals.withColumn("share", relative_score(F.col("total"), F.max("total").over(Window.partitionBy())))
+    score, tier = rounded_score(F.col("share")), tier_label(F.col("share"), crest, slopes)
+    return shared.withColumns({"score": score, "tier": tier}).drop("share")
 
 
 def term_tiers(hits: DataFrame, crest: float = DEFAULT_CREST, slopes: float = DEFAULT_SLOPES) -> DataFrame:

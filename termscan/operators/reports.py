@@ -87,16 +87,18 @@ def section_rows(
 
     # There can be any number of repositories: they are spread over salted
     # windows and only the best of each salt go on to the ranking.
-    salted = merged.withColumn("salt", F.when(F.col("section") == "repo", F.pmod(F.hash("key"), F.lit(REPO_SALTS))).otherwise(0))
-    group = Window.partitionBy("section", "salt")
-    few = (
-        salted.withColumn("largest", F.max("value").over(group))
-        .withColumn("place", F.row_number().over(group.orderBy(F.desc("value"), "name")))
-        .where((F.col("section") != "repo") | (F.col("place") <= TOP_REPOS))
-    )
+    salt = F.when(F.col("section") == "repo", F.pmod(F.hash("key"), F.lit(REPO_SALTS))).otherwise(0)
+    group = Window.partitionBy("section", salt)
+    few = merged.select(
+        "section", "name", "value",
+        F.max("value").over(group).alias("largest"),
+        F.row_number().over(group.orderBy(F.desc("value"), "name")).alias("place"),
+    ).where((F.col("section") != "repo") | (F.col("place") <= TOP_REPOS))
 
     share = F.when(F.col("section") == "term", relative_score(F.col("value"), F.col("largest")))
-    labelled = few.withColumn("tier", F.when(share.isNotNull(), tier_label(share, crest, slopes)))
+    labelled = few.withColumn("share", share)
+    share = F.col("share")
+    labelled = labelled.withColumn("tier", F.when(share.isNotNull(), tier_label(share, crest, slopes)))
     own = F.struct("section", "name", "value", "tier", rounded_score(share).alias("score"))
     no_tier, no_score = F.lit(None).cast("string").alias("tier"), F.lit(None).cast("double").alias("score")
     one_more = F.when(

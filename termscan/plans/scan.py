@@ -35,9 +35,8 @@ class ScanResult:
 
 
 def select_files(files: DataFrame, spec: ScanSpec) -> DataFrame:
-    """All path and size filters of a spec, before any text is looked at."""
-    kept = filters.max_megabytes(files, spec.max_file_mb)
-    kept = filters.skip_output_directory(kept, spec.output_dir)
+    """All path filters of a spec."""
+    kept = filters.skip_output_directory(files, spec.output_dir)
     kept = filters.skip_generated(kept)
     if spec.extensions:
         kept = filters.keep_extensions(kept, spec.extensions)
@@ -109,18 +108,23 @@ def result_of(hits: DataFrame, spec: ScanSpec) -> ScanResult:
 
 
 def scan_files(files: DataFrame, spec: ScanSpec) -> ScanResult:
-    """Scan a table of ``path, length, text``."""
+    """Scan a table of ``path, length, text``.
+
+    The size limit comes after removing duplicates, which then needs to read
+    paths only.
+    """
     kept = select_files(files, spec)
     if spec.dedupe:
         kept = dedupe.distinct_files(kept)
-    return result_of(hit_rows(kept, spec), spec)
+    return result_of(hit_rows(filters.max_megabytes(kept, spec.max_file_mb), spec), spec)
 
 
 def scan(spark: SparkSession, spec: ScanSpec) -> ScanResult:
     """Scan the file trees named by the spec."""
     spec = spec.normalized().validate(spark)
     files = trees.read_tree(spark, spec.include_paths, spec.extensions, spec.dedupe)
-    return result_of(hit_rows(select_files(files, spec), spec), spec)
+    kept = filters.max_megabytes(select_files(files, spec), spec.max_file_mb)
+    return result_of(hit_rows(kept, spec), spec)
 
 
 def stored_scan(result: ScanResult, spec: ScanSpec, path: str | None = None) -> ScanResult:
