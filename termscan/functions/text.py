@@ -60,7 +60,7 @@ def with_text(files: DataFrame, content: str = "content") -> DataFrame:
     data = F.col(content)
     mark = F.hex(F.substring(data, 1, 4))
     # Longest marks first: the UTF-32 LE mark starts with the UTF-16 LE one.
-    marked = [("FFFE0000", "UTF-32LE"), ("0000FEFF", "UTF-32BE"), ("FFFE", "UTF-16LE"), ("FEFF", "UTF-16BE")]
+    marked = [("FFFE0000", "UTF-32"), ("0000FEFF", "UTF-32"), ("FFFE", "UTF-16"), ("FEFF", "UTF-16")]
     text = F
     with _replace_malformed(files.sparkSession):
         for prefix, charset in marked:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
+def local_session(
+    cpus: int | str = "*", memory: str = "8g", checkpoint_dir: str | None = None
+) -> SparkSession:
     """A session on this machine, bound to the loopback address, without UI."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("termscan")
         .config("spark.driver.memory", memory)
@@ -19,5 +21,7 @@ def local_session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-        .getOrCreate()
     )
+    if checkpoint_dir is not None:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
+    return builder.getOrCreate()

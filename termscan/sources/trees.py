@@ -109,14 +109,19 @@ def rule_lines(
 
 
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
-    """A hit table written as CSV, with this engine's column names."""
+    """A hit table written as CSV, with this engine's column names.
+
+    A hit row has no nulls: a value that reads as missing was an empty string.
+    """
     table = (
         spark.read.schema(HIT_FILE_SCHEMA)
         .option("header", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", True)
-        .option("nullValue", "\0")
         .csv(path)
     )
-    return table.toDF(*[name.lower() for name in table.columns])
+    return table.select(*[
+        (F.coalesce(F.col(name), F.lit("")) if kind == "string" else F.col(name)).alias(name.lower())
+        for name, kind in table.dtypes
+    ])
