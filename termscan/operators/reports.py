@@ -6,6 +6,7 @@ repositories.  Each is computed from one pass over the hits.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,7 +44,10 @@ def _row(*cells: Column) -> Column:
 
 def _numbered(body: DataFrame, fixed: Sequence[tuple[int, int, str]]) -> DataFrame:
     """Number (section, place, line) rows together with fixed lines."""
-    lines = body.sparkSession.createDataFrame(list(fixed), "section int, place int, line string")
+    constant = json.dumps([{"section": s, "place": p, "line": text} for s, p, text in fixed])
+    schema = "array<struct<section:int,place:int,line:string>>"
+    one_row = body.sparkSession.range(0, 1, 1, 1)
+    lines = one_row.select(F.inline(F.from_json(F.lit(constant), schema)))
     order = Window.partitionBy().orderBy("section", "place")
     everything = body.select("section", "place", "line").unionByName(lines)
     return everything.select(F.row_number().over(order).alias("line_no"), "line").orderBy("line_no")
@@ -94,6 +98,9 @@ def section_rows(
         F.max("value").over(group).alias("largest"),
         F.row_number().over(group.orderBy(F.desc("value"), "name")).alias("place"),
     ).where((F.col("section") != "repo") | (F.col("place") <= TOP_REPOS))
+    # What is left has at most a few rows per term and salt; in one partition
+    # the remaining steps need no shuffle.
+    few = few.repartition(1)
 
     share = F.when(F.col("section") == "term", relative_score(F.col("value"), F.col("largest")))
     labelled = few.withColumn("share", share)

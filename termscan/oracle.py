@@ -253,6 +253,9 @@ ORACLE: dict[str, str] = {
           SELECT item_id * 1000000 + unnest(range(len(words))) AS term_id, unnest(words) AS term
           FROM (SELECT item_id, string_split(text, ' ') AS words FROM benchmark))
         WHERE trim(term) <> '' QUALIFY row_number() OVER (PARTITION BY lower(term) ORDER BY term_id) = 1""",
+    "large_vocabulary_tiers": _tiers(f"""
+        SELECT term, ((length(low) - length(replace(low, lower(term), ''))) / length(term))::INTEGER AS frequency
+        FROM (SELECT lower(text) AS low FROM documents) CROSS JOIN ({_terms(q.SYLLABLES)}) WHERE contains(low, lower(term))"""),
     "filtered_hits": f"SELECT {HIT_LIST} FROM ({FILTERED_HITS})",
     "filtered_tiers": _tiers(FILTERED_HITS, 0.66, 0.33),
     "page_hits": f"SELECT {HIT_LIST} FROM ({PAGE_HITS})",

@@ -32,6 +32,8 @@ TERMS = ["the", "THE", "tion", "ing", "eau", "ción", "ver", "über", "hehely",
 EDITION_TERMS = [t for t in TERMS if t != "http"] + ["and"]
 PAGE_TERMS = ["<nav", "href", "</p>", "&amp;", "the", "Über", "été", "cookie", "script", "example.com", "a.b"]
 TURN_TERMS = ["the", "que", "ung", "ción", "?", "por", "haben", "é"]
+# A vocabulary by rule, with terms that are prefixes of others: "ba", "ban", "be", "ben", ...
+SYLLABLES = [c + v + end for c in "bcdfghjklmnpqrstvwxyz" for v in "aeiou" for end in ("", "n")]
 PLANNED = "worthless|ondor|schver|quei"
 CODE = "ingha|eaux|unglich|mente"
 PLANNED_REGEX = "licen[cs]e|https?://|[0-9]{3}-[0-9]{4}"
@@ -173,16 +175,25 @@ def same_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree_repo_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents written out as text files, then scanned as a file tree."""
+    """The documents written out as text files, then scanned as a file tree.
+
+    Rebalancing gives each (source, lang) few files of moderate size and cuts
+    a dominant source into several.
+    """
     root = sinks.new_folder(spark, "tree")
-    table = spread_if_small(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text"), "doc_id")
-    writer = table.select("source", "lang", "text").write.partitionBy("source", "lang")
-    writer.option("maxRecordsPerFile", 1000).text(root)
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "lang", "text")
+    writer = table.hint("rebalance", "source", "lang").write.partitionBy("source", "lang")
+    writer.option("maxRecordsPerFile", 20_000).text(root)
     spec = ScanSpec(include_paths=[root], extensions=["*.txt"], anchor_terms=TERMS)
     totals = scan.scan(spark, spec).hits.groupBy("term", "repo", "ext")
     return totals.agg(F.sum("frequency").alias("total"))
 
 
+def large_vocabulary_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiers of more terms than are searched one by one."""
+    return ranking.term_tiers(scan.hit_rows(documents(spark, sf_dir), ScanSpec(anchor_terms=SYLLABLES)))
+
+
 def csv_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hit table after a round through CSV."""
     path = sinks.new_folder(spark, "hits-csv")
@@ -227,6 +238,7 @@ QUERIES: dict[str, Query] = {
         documents(spark, sf_dir), ORDERED_ROOTS).select("path", "length", "root_id"),
     "overlapping_roots_distinct": overlapping_roots_distinct,
     "vocab_distinct": vocab_distinct,
+    "large_vocabulary_tiers": large_vocabulary_tiers,
     "filtered_hits": filtered_hits,
     "filtered_tiers": filtered_tiers,
     "page_hits": page_hits,
