@@ -26,6 +26,8 @@ def rounded_score(score: Column) -> Column:
     return F.bround(score, 3)
 
 
-def score_text(score: Column) -> Column:
-    """At most three places, no trailing zeros."""
+def score_text(score: Column, fixed: bool = False) -> Column:
+    """At most three places without trailing zeros, or always three."""
+    if fixed:
+        return F.format_string("%.3f", score)
     return F.call_function("format_number", score, F.lit("0.###"))

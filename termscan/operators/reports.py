@@ -119,13 +119,13 @@ def section_rows(
 
 
 def summary_lines(
-    hits: DataFrame, crest: float = DEFAULT_CREST, slopes: float = DEFAULT_SLOPES
+    hits: DataFrame, crest: float = DEFAULT_CREST, slopes: float = DEFAULT_SLOPES, fixed_scores: bool = False
 ) -> DataFrame:
     """Bucket and tier distribution, top repositories, top terms."""
     order = {name: i for i, name in enumerate(SUMMARY_SECTIONS, start=1)}
     limit = F.when(F.col("section") == "repo", TOP_REPOS).when(F.col("section") == "term", TOP_TERMS)
     rows = section_rows(hits, crest, slopes).where(limit.isNull() | (F.col("place") <= limit))
-    term_row = _row(F.col("name"), F.col("tier"), F.col("value"), score_text(F.col("score")))
+    term_row = _row(F.col("name"), F.col("tier"), F.col("value"), score_text(F.col("score"), fixed_scores))
     body = rows.select(
         _section_number(order).alias("section"),
         "place",

@@ -51,14 +51,18 @@ def select_files(files: DataFrame, spec: ScanSpec) -> DataFrame:
 
 
 def classified(files: DataFrame, spec: ScanSpec) -> DataFrame:
-    """Add folded text, bucket, extension and repository to non-empty files."""
+    """Add folded text, bucket, extension and repository.
+
+    Empty texts need no filter of their own when terms are searched, since they
+    hold none; a filter on a derived text would compute it a second time.
+    """
     spark = files.sparkSession
     planned = usable_pattern(spark, spec.planned_hints_regex)
     code = usable_pattern(spark, spec.code_hints_regex)
     terms = matching.vocabulary(spec.anchor_terms)
     letters = matching.alphabet(terms) | classify.hint_alphabet(planned, code)
     text, folded_text, path = F.col("text"), F.col(FOLDED), F.col("path")
-    return matching.with_folded(filters.non_empty(files), letters).select(
+    return matching.with_folded(files, letters).select(
         "path",
         "text",
         FOLDED,
@@ -70,6 +74,11 @@ def classified(files: DataFrame, spec: ScanSpec) -> DataFrame:
     )
 
 
+def file_buckets(files: DataFrame, spec: ScanSpec) -> DataFrame:
+    """``path, bucket`` of every non-empty file."""
+    return classified(filters.non_empty(files), spec).select("path", "bucket")
+
+
 def matches(files: DataFrame, spec: ScanSpec) -> DataFrame:
     """(file, term) rows with frequency and position of the first match."""
     terms = matching.vocabulary(spec.anchor_terms)
@@ -151,3 +160,14 @@ def write_reports(result: ScanResult, spec: ScanSpec, output_dir: str | None = N
     sinks.write_lines(reports.summary_lines(kept.hits, *thresholds), f"{folder}/summary")
     sinks.write_lines(reports.chart_lines(kept.hits, *thresholds), f"{folder}/visuals")
     return kept
+
+
+def show_summaries(result: ScanResult) -> None:
+    """Print the four summary tables."""
+    tables = result.summaries
+    for title, table in (
+        ("Buckets", tables.buckets), ("Tiers", tables.tiers),
+        ("Top Repos", tables.top_repos), ("Top Terms", tables.top_terms),
+    ):
+        print(title)
+        table.show(truncate=False)

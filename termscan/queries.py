@@ -105,7 +105,7 @@ def _on_pair(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
 
 
 def _buckets(spec: ScanSpec) -> Query:
-    return lambda spark, sf_dir: scan.classified(documents(spark, sf_dir), spec).select("path", "bucket")
+    return lambda spark, sf_dir: scan.file_buckets(documents(spark, sf_dir), spec)
 
 
 def hit_context(spark: SparkSession, sf_dir: str) -> DataFrame:

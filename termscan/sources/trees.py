@@ -17,6 +17,8 @@ HIT_FILE_SCHEMA = (
     "Term string, Repo string, File string, Ext string, Bucket string, Frequency int, Context string"
 )
 
+MAX_VALUE_BYTES = 2**31 - 1
+
 
 def existing_roots(spark: SparkSession, roots: Iterable[str]) -> list[str]:
     """Expanded roots that exist; missing ones are skipped silently."""
@@ -76,8 +78,13 @@ def list_tree(
 def read_tree(
     spark: SparkSession, roots: Sequence[str], extensions: Sequence[str] = (), dedupe: bool = True
 ) -> DataFrame:
-    """Files with decoded ``text``."""
-    return with_text(list_tree(spark, roots, extensions, dedupe))
+    """Files with decoded ``text``.
+
+    A file too long for one value is unreadable like any other and is skipped;
+    the predicate reaches the source, so it is not opened.
+    """
+    listed = list_tree(spark, roots, extensions, dedupe)
+    return with_text(listed.where(F.col("length") <= MAX_VALUE_BYTES))
 
 
 def rule_lines(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from termscan.functions import paths
 from termscan.functions.patterns import glob_regex, literal_alternatives, parse_rules, rule_runs, usable_pattern
 from termscan.operators import classify, dedupe, filters
-from termscan.plans.scan import classified
+from termscan.plans.scan import file_buckets, hit_rows
 from termscan.spec import ScanSpec, SpecError
 
 
@@ -127,12 +127,13 @@ def test_output_directory_and_generated_files(files_of):
 ])
 def test_buckets(files_of, planned, code, text, expected):
     spec = ScanSpec(planned_hints_regex=planned, code_hints_regex=code)
-    assert classified(files_of(("/f", text)), spec).first().bucket == expected
+    assert file_buckets(files_of(("/f", text)), spec).first().bucket == expected
 
 
 def test_empty_texts_are_skipped(files_of):
     files = files_of(("/a", ""), ("/b", "x"), ("/c", None))
-    assert kept(classified(files, ScanSpec())) == ["/b"]
+    assert kept(file_buckets(files, ScanSpec())) == ["/b"]
+    assert [r.file for r in hit_rows(files, ScanSpec(anchor_terms=["x"])).collect()] == ["/b"]
 
 
 @pytest.mark.parametrize("pattern,words", [

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from termscan.operators import ranking, reconcile, reports, summaries
+from termscan.plans import scan
+from termscan.spec import ScanSpec
 
 HITS = "term string, repo string, file string, ext string, bucket string, frequency int, context string"
 
@@ -82,6 +84,17 @@ def test_summary_report(table):
     ]
 
 
+def test_scores_with_three_places(table):
+    lines = [r.line for r in reports.summary_lines(table(hit(), hit("u", frequency=2)), fixed_scores=True).collect()]
+    assert lines[-2:] == ["| u | Crest | 2 | 1.000 |", "| t | Base | 1 | 0.500 |"]
+
+
+def test_summaries_are_printed(table, capsys):
+    scan.show_summaries(scan.result_of(table(hit()), ScanSpec()))
+    printed = capsys.readouterr().out
+    assert all(word in printed for word in ("Buckets", "Tiers", "Top Repos", "Top Terms", "Code"))
+
+
 def test_summary_with_more_repositories_than_salts(table, monkeypatch):
     monkeypatch.setattr(reports, "REPO_SALTS", 2)
     rows = [hit(repo=f"r{i:02}", file=f"/{i}/{j}") for i in range(30) for j in range(i)]
