@@ -1,0 +1,74 @@
+"""Counting a large vocabulary in one pass over each text.
+
+Searching term by term costs texts x terms.  An Aho-Corasick automaton finds
+all terms while reading a text once, so the work hardly depends on how many
+terms there are.  Spark has no such expression; this is the one place where
+texts go to Python, in Arrow batches.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+from importlib.util import find_spec
+
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+FOUND = "struct<term_id:int,term:string,frequency:int,position:int>"
+
+
+def available() -> bool:
+    return find_spec("ahocorasick") is not None
+
+
+def found_terms(folded_text: Column, terms: Sequence[tuple[int, str, str]]) -> Column:
+    """Array of the terms (id, spelling, needle) that occur in a folded text.
+
+    Each with its non-overlapping occurrences, left to right, and the 1-based
+    position of the first.
+    """
+    ids, spellings, needles = zip(*terms)
+
+    # Defined here so that it is shipped by value: executors need no copy of
+    # this package.
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for number, needle in enumerate(needles):
+            automaton.add_word(needle, number)
+        automaton.make_automaton()
+        sizes = [len(needle) for needle in needles]
+        for texts in batches:
+            numbers: list[int] = []
+            counts: list[int] = []
+            firsts: list[int] = []
+            offsets = [0]
+            for text in texts:
+                # Per term: occurrences, end of the first, end of the last counted.
+                seen: dict[int, list[int]] = {}
+                for end, number in automaton.iter(text.as_py()):
+                    state = seen.get(number)
+                    if state is None:
+                        seen[number] = [1, end, end]
+                    elif end - sizes[number] >= state[2]:
+                        state[0] += 1
+                        state[2] = end
+                for number, (occurrences, first_end, _) in seen.items():
+                    numbers.append(number)
+                    counts.append(occurrences)
+                    firsts.append(first_end - sizes[number] + 2)
+                offsets.append(len(numbers))
+            found = pa.StructArray.from_arrays(
+                [
+                    pa.array([ids[n] for n in numbers], pa.int32()),
+                    pa.array([spellings[n] for n in numbers], pa.string()),
+                    pa.array(counts, pa.int32()),
+                    pa.array(firsts, pa.int32()),
+                ],
+                ["term_id", "term", "frequency", "position"],
+            )
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found)
+
+    return F.arrow_udf(count, f"array<{FOUND}>")(folded_text)

@@ -1,14 +1,13 @@
 """Files x terms: which terms occur in which text.
 
-The vocabulary is configuration, so it travels inside the plan or as a small
-broadcast; texts are never shuffled, sorted or sent to Python.  Two plans give
-the same rows:
+The vocabulary is configuration, so it travels inside the plan; texts are never
+shuffled or sorted.  Three plans give the same rows:
 
 * up to ``TERMS_IN_PLAN`` terms: the terms are a constant array of the plan and
-  every text is searched once per term (work grows with texts x terms);
-* beyond: one regex pass reports which terms of a prefix-free layer occur
-  (work nearly independent of the number of terms), and the found words are
-  looked up in a broadcast table.
+  every text is searched once per term, all inside generated code;
+* beyond: an automaton reads each text once for all terms (``automaton.py``);
+* the same without that library: one regex pass per prefix-free layer reports
+  which terms occur, and the found words are looked up in a broadcast table.
 
 Terms are counted independently of each other, so nested terms
 (``Iris``, ``Irisification``) both count.
@@ -26,12 +25,13 @@ from pyspark.sql import functions as F
 from termscan.functions.folding import fold_string, folded
 from termscan.functions.patterns import escape, is_blank
 from termscan.functions.text import match_count, match_position
+from termscan.operators import automaton
 
-# Measured break-even of the two plans.
-TERMS_IN_PLAN = 96
-# Bounds one compiled pattern and one broadcast table; a larger vocabulary is
-# matched block by block, each block in a scan of its own.
-TERMS_PER_BLOCK = 20_000
+# Measured break-even of searching each term and of the automaton.
+TERMS_IN_PLAN = 24
+# Bounds one automaton, one compiled pattern and one broadcast table; a larger
+# vocabulary is matched block by block, each block in a scan of its own.
+TERMS_PER_BLOCK = 50_000
 CHARS_PER_BLOCK = 2_000_000
 
 FOLDED = "folded_text"
@@ -79,7 +79,8 @@ def match_terms(files: DataFrame, terms: Sequence[Term]) -> DataFrame:
     """
     if len(terms) <= TERMS_IN_PLAN:
         return _search_each(files, terms)
-    parts = [_search_layers(files, block) for block in _blocks(terms)]
+    search = _search_at_once if automaton.available() else _search_layers
+    parts = [search(files, block) for block in _blocks(terms)]
     matched = parts[0]
     for part in parts[1:]:
         matched = matched.unionByName(part)
@@ -105,6 +106,11 @@ def _search_each(files: DataFrame, terms: Sequence[Term]) -> DataFrame:
     return _measured(found, files.columns, "candidate")
 
 
+def _search_at_once(files: DataFrame, terms: Sequence[Term]) -> DataFrame:
+    found = automaton.found_terms(F.col(FOLDED), [(t.term_id, t.term, t.needle) for t in terms])
+    return files.withColumn("found", F.explode(found)).select(*files.columns, "found.*")
+
+
 def _search_layers(files: DataFrame, terms: Sequence[Term]) -> DataFrame:
     spark = files.sparkSession
     found = [F.array_distinct(F.regexp_extract_all(F.col(FOLDED), F.lit(pattern), F.lit(1)))

@@ -18,6 +18,9 @@ from termscan.plans.scan import hit_rows
 from termscan.spec import ScanSpec
 
 
+PLANS = [matching._search_each, matching._search_at_once, matching._search_layers]
+
+
 def counts(files, terms, plan=None):
     entries = vocabulary(terms)
     ready = matching.with_folded(files, matching.alphabet(entries))
@@ -39,7 +42,7 @@ def counts(files, terms, plan=None):
         ("\U00010400 \U00010428", ["\U00010428"], {"\U00010428": 2}),
     ],
 )
-@pytest.mark.parametrize("plan", [matching._search_each, matching._search_layers])
+@pytest.mark.parametrize("plan", PLANS)
 def test_literal_counts(files_of, plan, text, terms, expected):
     got = counts(files_of(("/f", text)), terms, plan)
     assert {term: n for (_, term), (n, _) in got.items()} == expected
@@ -70,14 +73,14 @@ term_lists = st.lists(st.text(alphabet="abk.sißσé|", min_size=1, max_size=4).
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(texts=st.lists(words, min_size=1, max_size=6), terms=term_lists)
-def test_both_plans_agree_with_a_plain_loop(files_of, texts, terms):
+def test_all_plans_agree_with_a_plain_loop(files_of, texts, terms):
     files = files_of(*[(f"/{i}", t) for i, t in enumerate(texts)])
     expected = {
         (f"/{i}", t.term): brute_force(text, t.term)
         for i, text in enumerate(texts) for t in vocabulary(terms) if brute_force(text, t.term)[0]
     }
-    assert counts(files, terms, matching._search_each) == expected
-    assert counts(files, terms, matching._search_layers) == expected
+    for plan in PLANS:
+        assert counts(files, terms, plan) == expected
 
 
 def test_counts_equal_the_case_insensitive_regex(files_of):
@@ -133,10 +136,13 @@ def test_large_vocabulary_is_split_into_blocks_without_changing_the_result(files
     text = " ".join(f"T{i}x" for i in range(0, 300, 3))
     files = files_of(("/f", text), ("/g", "t12 only"))
     whole = counts(files, terms)
-    assert whole == counts(files, terms, matching._search_each)
+    for plan in PLANS:
+        assert whole == counts(files, terms, plan)
     monkeypatch.setattr(matching, "TERMS_PER_BLOCK", 50)
     assert counts(files, terms) == whole
     assert len(matching._blocks(vocabulary(terms))) == 7
+    monkeypatch.setattr(matching.automaton, "available", lambda: False)
+    assert counts(files, terms) == whole
 
 
 def test_hit_rows_have_the_full_schema_even_when_empty(files_of):
