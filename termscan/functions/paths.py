@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from termscan.functions.patterns import escape, ignore_case
 
+# Two letters at least, so that a drive such as "C:" is no scheme.
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]+:(?://[^/]*)?(?=/)"
+
 _PERCENT_VAR = re.compile(r"%([^%]+)%")
 _SHELL_VAR = re.compile(r"\$\(\$env:(\w+)\)|\$env:(\w+)")
 
@@ -38,7 +41,12 @@ def slashes(path: Column) -> Column:
 
 def without_scheme(path: Column) -> Column:
     """Drop ``file:``, ``hdfs://host`` and the like in front of an absolute path."""
-    return F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]+:(?://[^/]*)?(?=/)", "")
+    return F.regexp_replace(path, SCHEME, "")
+
+
+def plain_path(path: str) -> str:
+    """The same for a driver-side string."""
+    return re.sub(SCHEME, "", path)
 
 
 def base_name(path: Column) -> Column:

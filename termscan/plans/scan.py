@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +35,8 @@ class ScanResult:
     summaries: Summaries
 
 
-def select_files(files: DataFrame, spec: ScanSpec) -> DataFrame:
-    """All path filters of a spec."""
+def select_files(files: DataFrame, spec: ScanSpec, roots: Sequence[str] | None = None) -> DataFrame:
+    """All path filters of a spec; ``roots`` as they appear in the paths."""
     kept = filters.skip_output_directory(files, spec.output_dir)
     kept = filters.skip_generated(kept)
     if spec.extensions:
@@ -47,7 +48,7 @@ def select_files(files: DataFrame, spec: ScanSpec) -> DataFrame:
     kept = filters.apply_rules(kept, lines)
     kept = filters.exclude_paths(kept, spec.exclude_dir_regex)
     kept = filters.exclude_files(kept, spec.exclude_file_regex)
-    return filters.prune_directories(kept, spec.prune_dir_regex, spec.include_paths)
+    return filters.prune_directories(kept, spec.prune_dir_regex, spec.include_paths if roots is None else roots)
 
 
 def classified(files: DataFrame, spec: ScanSpec) -> DataFrame:
@@ -129,11 +130,23 @@ def scan_files(files: DataFrame, spec: ScanSpec) -> ScanResult:
 
 
 def scan(spark: SparkSession, spec: ScanSpec) -> ScanResult:
-    """Scan the file trees named by the spec."""
+    """Scan the file trees named by the spec.
+
+    The listing is filtered by path and size first; only what is left is read.
+    With ``include_hidden`` off, Spark's own file source lists and reads, which
+    passes over names that start with ``.`` or ``_``.
+    """
     spec = spec.normalized().validate(spark)
-    files = trees.read_tree(spark, spec.include_paths, spec.extensions, spec.dedupe)
-    kept = filters.max_megabytes(select_files(files, spec), spec.max_file_mb)
-    return result_of(hit_rows(kept, spec), spec)
+    # Paths are compared without their scheme, so roots are too.
+    plain = replace(spec, include_paths=[paths.plain_path(root) for root in spec.include_paths])
+    if spec.include_hidden:
+        listing = trees.walk_tree(spark, spec.include_paths, spec.prune_dir_regex, spec.dedupe)
+        kept = filters.max_megabytes(select_files(listing, spec, plain.include_paths), spec.max_file_mb)
+        files = trees.read_listed(kept)
+    else:
+        listing = trees.read_tree(spark, spec.include_paths, spec.extensions, spec.dedupe)
+        files = filters.max_megabytes(select_files(listing, spec, plain.include_paths), spec.max_file_mb)
+    return result_of(hit_rows(files, plain), spec)
 
 
 def stored_scan(result: ScanResult, spec: ScanSpec, path: str | None = None) -> ScanResult:

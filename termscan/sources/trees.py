@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termscan.functions.paths import expand_env, normalize_extensions, without_scheme
-from termscan.functions.patterns import is_blank
+from termscan.functions.patterns import ignore_case, is_blank
 from termscan.functions.text import with_text
 from termscan.operators.dedupe import distinct_roots
+from termscan.sources import walk
 
 # Column order and header of the hit table on disk.
 HIT_FILE_SCHEMA = (
@@ -87,6 +88,38 @@ def read_tree(
     return with_text(listed.where(F.col("length") <= MAX_VALUE_BYTES))
 
 
+def walk_tree(
+    spark: SparkSession, roots: Sequence[str], prune_dir_regex: str | None = None, dedupe: bool = True
+) -> DataFrame:
+    """``path, uri, length, modification_time`` of all files, hidden names included.
+
+    Directories whose path matches ``prune_dir_regex`` are not entered.
+    """
+    def enter(directories: DataFrame) -> DataFrame:
+        if is_blank(prune_dir_regex):
+            return directories
+        return directories.where(~F.rlike(without_scheme(F.col("path")), F.lit(ignore_case(prune_dir_regex))))
+
+    found = existing_roots(spark, roots)
+    groups = [distinct_roots(found)] if dedupe else [[root] for root in found]
+    listings = [walk.walk(spark, group, enter) for group in groups if group]
+    if not listings:
+        return spark.createDataFrame([], "path string, uri string, length bigint, modification_time timestamp")
+    listed = listings[0]
+    for listing in listings[1:]:
+        listed = listed.unionByName(listing)
+    return listed.select(
+        without_scheme(F.col("path")).alias("path"), F.col("path").alias("uri"), "length", "modification_time"
+    )
+
+
+def read_listed(listing: DataFrame) -> DataFrame:
+    """Files of a (filtered) listing with decoded ``text``."""
+    wanted = listing.where(F.col("length") <= MAX_VALUE_BYTES)
+    read = walk.read_contents(wanted.select(F.col("uri").alias("path"), "length", "modification_time"))
+    return with_text(read).withColumn("path", without_scheme(F.col("path")))
+
+
 def rule_lines(
     spark: SparkSession,
     patterns: Sequence[str],

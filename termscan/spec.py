@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 from pyspark.sql import SparkSession
 
@@ -36,7 +36,8 @@ class ScanSpec:
     max_file_mb: int = 0
     output_dir: str | None = None
     dedupe: bool = True
-    ignore_file_name: str = field(default=".scanignore")
+    include_hidden: bool = True
+    ignore_file_name: str = ".scanignore"
 
     @classmethod
     def from_mapping(cls, raw: Mapping[str, object]) -> ScanSpec:
@@ -51,7 +52,8 @@ class ScanSpec:
         def filled(values: Sequence[str]) -> list[str]:
             return [v for v in values if not is_blank(v)]
 
-        return ScanSpec(
+        return replace(
+            self,
             include_paths=[expand_env(p) for p in filled(self.include_paths)],
             extensions=normalize_extensions(self.extensions),
             anchor_terms=filled(self.anchor_terms),
@@ -66,8 +68,6 @@ class ScanSpec:
             slopes_threshold=self.slopes_threshold if self.slopes_threshold > 0 else DEFAULT_SLOPES,
             max_file_mb=max(self.max_file_mb, 0),
             output_dir=blank_to_none(self.output_dir),
-            dedupe=self.dedupe,
-            ignore_file_name=self.ignore_file_name,
         )
 
     def validate(self, spark: SparkSession | None = None) -> ScanSpec:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import csv
 import os
+from dataclasses import replace
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from termscan.operators.reconcile import HIT_COLUMNS, row_differences
 from termscan.plans import scan
-from termscan.sources import sinks, tables, trees
+from termscan.sources import sinks, tables, trees, walk
 from termscan.spec import ScanSpec, SpecError
 
 
@@ -78,11 +80,47 @@ def test_rule_lines_keep_their_order(spark, tree, tmp_path):
     assert lines == ["first", "second", "#c", "third", "# rules of this root", "**/bin/**", "!**/keep.md"]
 
 
-def test_scan_of_a_tree(spark, tree, tmp_path):
+def test_a_walk_finds_hidden_names_and_skips_pruned_directories(spark, tree):
+    root = Path(tree)
+    (root / "pkg").mkdir()
+    (root / "pkg" / "__init__.py").write_text("iris")
+    (root / "_drafts" / ".deep").mkdir(parents=True)
+    (root / "_drafts" / ".deep" / "x.py").write_text("Iris iris")
+    (root / "loop").symlink_to(root, target_is_directory=True)
+    everything = relative(trees.walk_tree(spark, [tree]).collect(), tree)
+    expected = sorted(os.path.relpath(os.path.join(d, f), tree) for d, _, names in os.walk(tree) for f in names)
+    assert everything == expected
+    assert {"pkg/__init__.py", "_drafts/.deep/x.py", ".scanignore", "other/empty.md"} <= set(everything)
+    pruned = relative(trees.walk_tree(spark, [tree], "/(pkg|PROJ)$").collect(), tree)
+    assert pruned == [p for p in expected if not p.startswith(("pkg/", "proj/"))]
+    assert trees.walk_tree(spark, [tree, tree + "/pkg"], dedupe=False).count() == len(expected) + 1
+    assert trees.walk_tree(spark, ["/nowhere/at/all"]).count() == 0
+
+    spec = ScanSpec(include_paths=["file:" + tree], extensions=["py"], anchor_terms=["iris"])
+    hits = scan.scan(spark, spec).hits
+    assert sorted((r.repo, r.frequency) for r in hits.collect()) == [("_drafts", 2), ("pkg", 1)]
+    assert scan.scan(spark, replace(spec, include_hidden=False)).hits.count() == 0
+
+
+def test_files_are_read_in_bounded_batches(spark, tree, monkeypatch):
+    whole = {r.path: r.text for r in trees.read_listed(trees.walk_tree(spark, [tree])).collect()}
+    monkeypatch.setattr(walk, "BATCH_BYTES", 1)
+    pieces = {r.path: r.text for r in trees.read_listed(trees.walk_tree(spark, [tree])).collect()}
+    assert whole == pieces and len(whole) == 15
+
+
+def test_a_file_that_vanishes_is_skipped(spark, tree):
+    listing = trees.walk_tree(spark, [tree]).where("path like '%.txt'")
+    os.remove(tree + "/proj/deep/c.txt")
+    assert len(trees.read_listed(listing).collect()) == 5
+
+
+@pytest.mark.parametrize("hidden", [True, False])
+def test_scan_of_a_tree(spark, tree, tmp_path, hidden):
     out = str(tmp_path / "out")
     spec = ScanSpec(
         include_paths=[tree], extensions=["*.md", "*.txt"], anchor_terms=["Iris", "IRIS", "absent"],
-        planned_hints_regex="plan", code_hints_regex="class", max_file_mb=1, output_dir=out,
+        planned_hints_regex="plan", code_hints_regex="class", max_file_mb=1, output_dir=out, include_hidden=hidden,
     )
     result = scan.write_reports(scan.scan(spark, spec), spec)
     hits = {os.path.relpath(r.file, tree): r for r in result.hits.collect()}
