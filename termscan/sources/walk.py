@@ -94,18 +94,17 @@ def walk(
     listed, which skips whole subtrees.  Links and unreadable directories are
     skipped.  Each level is stored, so a lost executor repeats one level only.
     """
-    cores = spark.sparkContext.defaultParallelism
+    most = spark.sparkContext.defaultParallelism * 4
     frontier = spark.createDataFrame([(root.rstrip("/") or "/",) for root in roots], "path string")
+    directories = len(roots)
     levels: list[DataFrame] = []
-    while True:
+    while directories:
         if enter is not None:
             frontier = enter(frontier)
-        spread = frontier.repartition(cores * 4, "path") if levels else frontier
-        level = stored(spread.mapInArrow(_lister(), ENTRY_SCHEMA), "listing")
-        levels.append(level)
-        frontier = level.where("is_dir").select("path")
-        if frontier.isEmpty():
-            break
+        spread = frontier.repartition(min(directories, most), "path")
+        levels.append(stored(spread.mapInArrow(_lister(), ENTRY_SCHEMA), "listing"))
+        frontier = levels[-1].where("is_dir").select("path")
+        directories = frontier.count()
     files = levels[0]
     for level in levels[1:]:
         files = files.unionByName(level)
