@@ -91,7 +91,7 @@ def read_tree(
 def walk_tree(
     spark: SparkSession, roots: Sequence[str], prune_dir_regex: str | None = None, dedupe: bool = True
 ) -> DataFrame:
-    """``path, uri, length, modification_time`` of all files, hidden names included.
+    """``path, root, name, length, modification_time`` of all files, hidden names included.
 
     Directories whose path matches ``prune_dir_regex`` are not entered.
     """
@@ -104,20 +104,17 @@ def walk_tree(
     groups = [distinct_roots(found)] if dedupe else [[root] for root in found]
     listings = [walk.walk(spark, group, enter) for group in groups if group]
     if not listings:
-        return spark.createDataFrame([], "path string, uri string, length bigint, modification_time timestamp")
+        return spark.createDataFrame([], "root string, name string, path string, length bigint, modification_time timestamp")
     listed = listings[0]
     for listing in listings[1:]:
         listed = listed.unionByName(listing)
-    return listed.select(
-        without_scheme(F.col("path")).alias("path"), F.col("path").alias("uri"), "length", "modification_time"
-    )
+    return listed.withColumn("path", without_scheme(F.col("path")))
 
 
 def read_listed(listing: DataFrame) -> DataFrame:
     """Files of a (filtered) listing with decoded ``text``."""
     wanted = listing.where(F.col("length") <= MAX_VALUE_BYTES)
-    read = walk.read_contents(wanted.select(F.col("uri").alias("path"), "length", "modification_time"))
-    return with_text(read).withColumn("path", without_scheme(F.col("path")))
+    return with_text(walk.read_contents(wanted))
 
 
 def rule_lines(

@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from termscan.sources.sinks import stored
 
-ENTRY_SCHEMA = "path string, is_dir boolean, length bigint, modification_time timestamp"
+# ``root`` names the file system, ``name`` the file within it: file names are
+# never parsed as addresses, whatever characters they hold.
+ENTRY_SCHEMA = "root string, name string, path string, is_dir boolean, length bigint, modification_time timestamp"
 CONTENT_SCHEMA = "path string, length bigint, modification_time timestamp, content binary"
 
 # Bytes of content per task and per Arrow batch.
@@ -33,24 +35,24 @@ def _lister() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         from pyarrow import fs
 
         schema = pa.schema([
-            ("path", pa.string()), ("is_dir", pa.bool_()), ("length", pa.int64()),
-            ("modification_time", pa.timestamp("us", tz="UTC")),
+            ("root", pa.string()), ("name", pa.string()), ("path", pa.string()), ("is_dir", pa.bool_()),
+            ("length", pa.int64()), ("modification_time", pa.timestamp("us", tz="UTC")),
         ])
         for batch in batches:
-            for directory in batch.column(0).to_pylist():
-                system, inner = fs.FileSystem.from_uri(directory)
-                prefix = directory.removesuffix(inner) if directory.endswith(inner) else ""
+            for root, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                system, top = fs.FileSystem.from_uri(root)
+                prefix = root.removesuffix(top) if root.endswith(top) else ""
                 try:
-                    infos = system.get_file_info(fs.FileSelector(inner))
+                    infos = system.get_file_info(fs.FileSelector(top if name is None else name))
                 except OSError:
                     continue
                 local = isinstance(system, fs.LocalFileSystem)
                 rows = [
-                    (prefix + i.path, i.type == fs.FileType.Directory, max(i.size or 0, 0), i.mtime)
+                    (root, i.path, prefix + i.path, i.type == fs.FileType.Directory, max(i.size or 0, 0), i.mtime)
                     for i in infos
                     if i.type != fs.FileType.NotFound and not (local and os.path.islink(i.path))
                 ]
-                columns = list(zip(*rows)) or [()] * 4
+                columns = list(zip(*rows)) or [()] * len(schema)
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema)
 
     return entries
@@ -67,10 +69,10 @@ def _reader(batch_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
         for batch in batches:
             rows: list[tuple] = []
             size = 0
-            for path, length, modified in zip(*[column.to_pylist() for column in batch.columns]):
+            for root, name, path, length, modified in zip(*[column.to_pylist() for column in batch.columns]):
                 try:
-                    system, inner = fs.FileSystem.from_uri(path)
-                    with system.open_input_stream(inner) as stream:
+                    system, _ = fs.FileSystem.from_uri(root)
+                    with system.open_input_stream(name) as stream:
                         data = stream.read()
                 except OSError:
                     continue
@@ -88,14 +90,15 @@ def _reader(batch_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 def walk(
     spark: SparkSession, roots: Sequence[str], enter: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
-    """``path, length, modification_time`` of all files below the roots.
+    """``root, name, path, length, modification_time`` of all files below the roots.
 
     ``enter`` filters a table of directories (``path``) before they are
     listed, which skips whole subtrees.  Links and unreadable directories are
     skipped.  Each level is stored, so a lost executor repeats one level only.
     """
     most = spark.sparkContext.defaultParallelism * 4
-    frontier = spark.createDataFrame([(root.rstrip("/") or "/",) for root in roots], "path string")
+    tops = [root.rstrip("/") or "/" for root in roots]
+    frontier = spark.createDataFrame([(top, None, top) for top in tops], "root string, name string, path string")
     directories = len(roots)
     levels: list[DataFrame] = []
     while directories:
@@ -103,12 +106,12 @@ def walk(
             frontier = enter(frontier)
         spread = frontier.repartition(min(directories, most), "path")
         levels.append(stored(spread.mapInArrow(_lister(), ENTRY_SCHEMA), "listing"))
-        frontier = levels[-1].where("is_dir").select("path")
+        frontier = levels[-1].where("is_dir").select("root", "name", "path")
         directories = frontier.count()
     files = levels[0]
     for level in levels[1:]:
         files = files.unionByName(level)
-    return files.where("NOT is_dir").select("path", "length", "modification_time")
+    return files.where("NOT is_dir").drop("is_dir")
 
 
 def read_contents(listing: DataFrame) -> DataFrame:
@@ -118,5 +121,5 @@ def read_contents(listing: DataFrame) -> DataFrame:
     """
     size = listing.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     tasks = max(listing.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
-    chosen = listing.select("path", "length", "modification_time").repartition(int(tasks), "path")
+    chosen = listing.select("root", "name", "path", "length", "modification_time").repartition(int(tasks), "path")
     return chosen.mapInArrow(_reader(BATCH_BYTES), CONTENT_SCHEMA)

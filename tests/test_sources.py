@@ -102,6 +102,16 @@ def test_a_walk_finds_hidden_names_and_skips_pruned_directories(spark, tree):
     assert scan.scan(spark, replace(spec, include_hidden=False)).hits.count() == 0
 
 
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_any_file_name_can_be_read(spark, tmp_path, scheme):
+    names = ["a b.md", "c%20d.md", "e#f?.md", "ü \\ x.md", "-g:h.md"]
+    for name in names:
+        (tmp_path / name).write_text("iris " + name)
+    listing = trees.walk_tree(spark, [scheme + str(tmp_path)])
+    texts = {r.path: r.text for r in trees.read_listed(listing).collect()}
+    assert texts == {f"{tmp_path}/{name}": "iris " + name for name in names}
+
+
 def test_files_are_read_in_bounded_batches(spark, tree, monkeypatch):
     whole = {r.path: r.text for r in trees.read_listed(trees.walk_tree(spark, [tree])).collect()}
     monkeypatch.setattr(walk, "BATCH_BYTES", 1)
