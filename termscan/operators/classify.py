@@ -6,8 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from termscan.functions.folding import fold_string
-from termscan.functions.patterns import ignore_case, literal_alternatives
-from termscan.functions.patterns import is_blank
+from termscan.functions.patterns import ignore_case, is_blank, literal_alternatives
 
 UNKNOWN, PLANNED, CODE, OVERLAP = "Unknown", "Planned", "Code", "Overlap"
 

@@ -10,7 +10,7 @@ shuffled or sorted.  Three plans give the same rows:
   which terms occur, and the found words are looked up in a broadcast table.
 
 Terms are counted independently of each other, so nested terms
-(``Iris``, ``Irisification``) both count.
+(``light``, ``lightning``) both count.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import json
 from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termscan.functions.folding import fold_string, folded

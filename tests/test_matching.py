@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from termscan.functions.folding import case_variants, fold_string, folded
 from termscan.functions.text import line_context
 from termscan.operators import matching
-from termscan.operators.matching import FOLDED, Term, prefix_free_layers, vocabulary
+from termscan.operators.matching import Term, prefix_free_layers, vocabulary
 from termscan.plans.scan import hit_rows
 from termscan.spec import ScanSpec
 
@@ -153,6 +153,7 @@ def test_hit_rows_have_the_full_schema_even_when_empty(files_of):
         ("bucket", "string"), ("frequency", "int"), ("context", "string"),
     ]
     assert hits.count() == 0
+    assert hit_rows(files_of(("/a", "text")), ScanSpec()).count() == 0
 
 
 def test_hits_need_no_shuffle_and_no_python(files_of):
