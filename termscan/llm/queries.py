@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termscan.llm import records, warc
+from termscan.llm import records, substrings, warc
 from termscan.llm.tokens import tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of windows that an earlier document also holds, removed."""
+    cut = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids written as framed records in doc_id order and read back."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -43,11 +49,26 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_token_records": op3_token_records,
     "op10_warc_archives": op10_warc_archives,
 }
 
 ORACLE: dict[str, str] = {
+    "op1_substring_dedup": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words
+                   FROM documents),
+        s AS (SELECT doc_id, words, len(words) AS n FROM d),
+        w AS (SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS win
+              FROM (SELECT doc_id, words, unnest(range(1, n - 48)) AS i FROM s WHERE n >= 50)),
+        g AS (SELECT win, min(doc_id) AS least FROM w GROUP BY win),
+        c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM w JOIN g USING (win) WHERE doc_id > least),
+        k AS (SELECT s.doc_id, p.i, s.words[p.i] AS word FROM s, LATERAL (SELECT unnest(range(1, n + 1)) AS i) p),
+        l AS (SELECT k.doc_id, count(*) FILTER (c.i IS NOT NULL) AS n_removed,
+                     string_agg(k.word, ' ' ORDER BY k.i) FILTER (c.i IS NULL) AS kept
+              FROM k LEFT JOIN c ON k.doc_id = c.doc_id AND k.i = c.i GROUP BY k.doc_id)
+        SELECT s.doc_id, s.n AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM s LEFT JOIN l ON s.doc_id = l.doc_id""",
     "op10_warc_archives": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest,
                           strlen(coalesce(html, '')) AS n FROM pages),
