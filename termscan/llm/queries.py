@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termscan.llm import records, substrings, warc
+from termscan.llm import quality, records, substrings, warc
 from termscan.llm.tokens import tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,13 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and the verdict of boosted trees for every document."""
+    documents = table(spark, sf_dir, "documents")
+    forest = quality.train_quality(documents, table(spark, sf_dir, "labels"))
+    return quality.judge(documents, forest)
+
+
 def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as archives and read back."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("record_id"), "url", F.col("html").alias("payload"))
@@ -51,6 +58,7 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_token_records": op3_token_records,
+    "op5_quality_rules": op5_quality_rules,
     "op10_warc_archives": op10_warc_archives,
 }
 
