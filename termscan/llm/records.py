@@ -2,8 +2,9 @@
 
 A record is: payload length (unsigned 64 bit, little endian), masked checksum
 of those eight bytes, payload, masked checksum of the payload.  The payload is
-the record's id (signed 64 bit; the smallest value stands for null) and its
-token ids (unsigned 32 bit).  Checksums are CRC-32, rotated right by 15 bits
+the record's id (signed 64 bit; the smallest value stands for null), the bytes
+of a token id (one byte: 2 where the vocabulary allows, else 4) and the token
+ids (unsigned, of that width).  Checksums are CRC-32, rotated right by 15 bits
 plus a constant, so that a checksum stored among data is not its own checksum.
 The index has a row per record: file, byte offset, byte length, id, tokens;
 readers can take any rows of it in any order.
@@ -19,18 +20,18 @@ import struct
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termscan.llm.storage import open_input, shared_path, write_atomically
-from termscan.llm.tokens import encoder
+from termscan.llm.tokens import encoder, narrowed, widened
 
 INDEX_SCHEMA = "folder string, file string, part int, row long, position long, bytes long, doc_id long, n_tokens long"
 READ_SCHEMA = "file string, row long, doc_id long, ids binary"
 NULL_ID = -(1 << 63)
 HEAD = struct.Struct("<QI")
+RECORD_HEAD = struct.Struct("<qB")
 MASK = 0xA282EAD8
 PACK_BYTES = 8 << 20
 
@@ -62,9 +63,10 @@ def _writer(folder: str, path: str, words: bool, end_id: int):
 
         part = TaskContext.get().partitionId()
         name = f"tokens-{part:06d}.rec"
-        end = struct.pack("<I", end_id)
         index: list[dict] = []
         codes = encoder(path, words)
+        width = codes.width
+        end = end_id.to_bytes(width, "little")
 
         def produce(stream) -> None:
             position = 0
@@ -73,8 +75,8 @@ def _writer(folder: str, path: str, words: bool, end_id: int):
                     piece = batch.slice(start, 512)
                     framed = []
                     for doc_id, ids in zip(piece.column(0).to_pylist(), codes.encode(piece.column(1).to_pylist())):
-                        head = struct.pack("<q", NULL_ID if doc_id is None else doc_id)
-                        record = frame(head + ids + end)
+                        head = RECORD_HEAD.pack(NULL_ID if doc_id is None else doc_id, width)
+                        record = frame(b"".join([head, narrowed(ids, width), end]))
                         index.append({
                             "folder": folder, "file": name, "part": part, "row": len(index), "position": position,
                             "bytes": len(record), "doc_id": doc_id, "n_tokens": len(ids) // 4 + 1,
@@ -142,12 +144,13 @@ def _reader(batch_bytes: int):
                     opened = (key, open_input(*key))
                 opened[1].seek(entry["position"])
                 payload = unframe(opened[1].read(entry["bytes"]))
-                doc_id = struct.unpack_from("<q", payload)[0]
+                doc_id, width = RECORD_HEAD.unpack_from(payload)
+                ids = widened(payload[RECORD_HEAD.size :], width)
                 rows.append({
                     "file": entry["file"], "row": entry["row"],
-                    "doc_id": None if doc_id == NULL_ID else doc_id, "ids": payload[8:],
+                    "doc_id": None if doc_id == NULL_ID else doc_id, "ids": ids,
                 })
-                size += len(payload)
+                size += len(ids)
                 if size >= batch_bytes:
                     yield pa.RecordBatch.from_pylist(rows, schema)
                     rows, size = [], 0
@@ -160,10 +163,6 @@ def _reader(batch_bytes: int):
 
 
 def read_records(index: DataFrame, batch_bytes: int = PACK_BYTES) -> DataFrame:
-    """``file, row, doc_id, ids`` of the index rows given, in the order they come."""
+    """``file, row, doc_id, ids`` (32 bits each) of the index rows given, in the order they come."""
     wanted = index.select("folder", "file", "row", "position", "bytes")
     return wanted.mapInArrow(_reader(batch_bytes), READ_SCHEMA)
-
-
-def token_ids(ids: bytes) -> np.ndarray:
-    return np.frombuffer(ids, "<u4")

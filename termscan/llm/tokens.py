@@ -67,6 +67,16 @@ def _byte_letters() -> dict[int, str]:
     return table
 
 
+def narrowed(ids: bytes, width: int) -> bytes:
+    """Ids of four bytes each in ``width`` bytes each."""
+    return ids if width == 4 else np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes()
+
+
+def widened(ids: bytes, width: int) -> bytes:
+    """The inverse of ``narrowed``."""
+    return ids if width == 4 else np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()
+
+
 class Encoder:
     """``encode(texts)`` gives the ids of each as little-endian unsigned 32-bit bytes.
 
@@ -81,6 +91,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.words = words
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4  # bytes that hold any id
         self.letters = _byte_letters()
         self.pieces: dict[str, bytes] = {}
         self.pretokens: dict[str, bytes] = {}
