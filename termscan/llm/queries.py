@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termscan.llm import quality, records, substrings, warc
+from termscan.llm import packing, quality, records, substrings, warc
 from termscan.llm.tokens import tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents, forest)
 
 
+def op6_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1024 tokens."""
+    documents = table(spark, sf_dir, "documents")
+    cut = packing.pieces(documents, tokenizer_path(BYTE_TOKENIZER), end_id=0)
+    return packing.with_places(packing.digests(cut), packing.places(cut)).drop("row")
+
+
 def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as archives and read back."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("record_id"), "url", F.col("html").alias("payload"))
@@ -59,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_token_records": op3_token_records,
     "op5_quality_rules": op5_quality_rules,
+    "op6_sequence_packing": op6_sequence_packing,
     "op10_warc_archives": op10_warc_archives,
 }
 

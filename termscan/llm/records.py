@@ -31,7 +31,7 @@ INDEX_SCHEMA = "folder string, file string, part int, row long, position long, b
 READ_SCHEMA = "file string, row long, doc_id long, ids binary"
 NULL_ID = -(1 << 63)
 HEAD = struct.Struct("<QI")
-RECORD_HEAD = struct.Struct("<qB")
+RECORD_HEAD = "<qB"
 MASK = 0xA282EAD8
 PACK_BYTES = 8 << 20
 
@@ -75,7 +75,7 @@ def _writer(folder: str, path: str, words: bool, end_id: int):
                     piece = batch.slice(start, 512)
                     framed = []
                     for doc_id, ids in zip(piece.column(0).to_pylist(), codes.encode(piece.column(1).to_pylist())):
-                        head = RECORD_HEAD.pack(NULL_ID if doc_id is None else doc_id, width)
+                        head = struct.pack(RECORD_HEAD, NULL_ID if doc_id is None else doc_id, width)
                         record = frame(b"".join([head, narrowed(ids, width), end]))
                         index.append({
                             "folder": folder, "file": name, "part": part, "row": len(index), "position": position,
@@ -144,8 +144,8 @@ def _reader(batch_bytes: int):
                     opened = (key, open_input(*key))
                 opened[1].seek(entry["position"])
                 payload = unframe(opened[1].read(entry["bytes"]))
-                doc_id, width = RECORD_HEAD.unpack_from(payload)
-                ids = widened(payload[RECORD_HEAD.size :], width)
+                doc_id, width = struct.unpack_from(RECORD_HEAD, payload)
+                ids = widened(payload[struct.calcsize(RECORD_HEAD) :], width)
                 rows.append({
                     "file": entry["file"], "row": entry["row"],
                     "doc_id": None if doc_id == NULL_ID else doc_id, "ids": ids,
