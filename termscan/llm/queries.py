@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termscan.llm import packing, quality, records, substrings, warc
+from termscan.llm import neardup, packing, quality, records, substrings, warc
 from termscan.llm.tokens import tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("id")
+
+
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids written as framed records in doc_id order and read back."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -64,6 +69,7 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_token_records": op3_token_records,
     "op5_quality_rules": op5_quality_rules,
     "op6_sequence_packing": op6_sequence_packing,
@@ -85,6 +91,23 @@ ORACLE: dict[str, str] = {
               FROM k LEFT JOIN c ON k.doc_id = c.doc_id AND k.i = c.i GROUP BY k.doc_id)
         SELECT s.doc_id, s.n AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM s LEFT JOIN l ON s.doc_id = l.doc_id""",
+    "op2_jaccard_join": """
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+        s AS (SELECT DISTINCT doc_id, CASE WHEN len(words) < 5 THEN array_to_string(words, ' ')
+                     ELSE array_to_string(words[i:i + 4], ' ') END AS sh
+              FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM d WHERE len(words) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b, c = na.n AND c = nb.n AS same FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+              WHERE 5 * c >= 4 * (na.n + nb.n - c)),
+        r AS (SELECT doc_id, doc_id AS reached FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reached),
+        sets AS (SELECT doc_id, md5(string_agg(sh, chr(10) ORDER BY sh)) AS k FROM s GROUP BY doc_id),
+        t AS (SELECT a, count(DISTINCT k) AS texts FROM l JOIN sets ON sets.doc_id = b WHERE NOT same GROUP BY a)
+        SELECT d.doc_id, c.class_id, coalesce(x.n_links, 0) AS n_links, coalesce(t.texts, 0) AS n_text_links,
+               coalesce(n.n, 0) AS n_shingles
+        FROM d JOIN (SELECT doc_id, min(reached) AS class_id FROM r GROUP BY doc_id) c USING (doc_id)
+        LEFT JOIN (SELECT a, count(*) AS n_links FROM l GROUP BY a) x ON x.a = d.doc_id
+        LEFT JOIN t ON t.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
     "op10_warc_archives": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest,
                           strlen(coalesce(html, '')) AS n FROM pages),
