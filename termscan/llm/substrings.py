@@ -42,7 +42,7 @@ LARGEST_ID = (1 << 63) - 1
 
 CELL_SCHEMA = "sketch int, part int, cells binary"
 WINDOW_SCHEMA = "w1 long, w2 long, order_id long, key long"
-PLACE_SCHEMA = WINDOW_SCHEMA + ", place int"
+PLACE_SCHEMA = WINDOW_SCHEMA + ", places binary"
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -166,10 +166,10 @@ def _text_keys(chunk: Chunk, hashes: np.ndarray) -> np.ndarray:
 
 
 def _candidates(size: int, sketch, bits: int, places: bool):
-    """Windows estimated to be repeated: every place, or one row per window and task's batch."""
+    """Windows estimated to be repeated, once per text and, with ``places``, where they start."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["w1", "w2", "order_id", "key", *(["place"] if places else [])]
+        names = ["w1", "w2", "order_id", "key", *(["places"] if places else [])]
         for batch in batches:
             ids = _order_ids(batch.column(0))
             for chunk in chunks(batch.column(1)):
@@ -178,17 +178,21 @@ def _candidates(size: int, sketch, bits: int, places: bool):
                 if not len(which):
                     continue
                 first, text = found.first[which], found.text[which]
-                second = chunk.word_hashes(1)
                 w1 = span_hashes(found.hashes, first, first + size, WINDOW_BASES[0])
-                w2 = span_hashes(second, first, first + size, WINDOW_BASES[1])
-                order_id = ids[chunk.first + text]
-                columns = [_signed(w1), _signed(w2), pa.array(order_id)]
+                w2 = span_hashes(chunk.word_hashes(1), first, first + size, WINDOW_BASES[1])
+                order = np.lexsort((w2, w1, text))
+                w1, w2, text, first = w1[order], w2[order], text[order], first[order]
+                new = np.ones(len(order), bool)  # a text that repeats itself holds a window many times
+                new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]) | (text[1:] != text[:-1])
+                at = np.flatnonzero(new)
+                columns = [_signed(w1[at]), _signed(w2[at]), pa.array(ids[chunk.first + text[at]])]
                 if places:
-                    key = _text_keys(chunk, found.hashes)[text]
-                    place = (first - chunk.word_bounds[:-1][text]).astype(np.int32)
-                    columns += [_signed(key), pa.array(place)]
+                    place = (first - chunk.word_bounds[:-1][text]).astype("<i4")
+                    ends = (4 * np.append(at, len(order))).astype(np.int32)
+                    columns.append(_signed(_text_keys(chunk, found.hashes)[text[at]]))
+                    columns.append(pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(place)]))
                 else:
-                    columns.append(pa.array(np.zeros(len(w1), np.int64)))
+                    columns.append(pa.array(np.zeros(len(at), np.int64)))
                 yield pa.record_batch(columns, names=names)
 
     return find
@@ -230,7 +234,7 @@ def _cut(size: int, names: list[str]):
                     removed = 0
                     if places.is_valid:
                         steps = np.zeros(len(tokens) + 1, np.int32)
-                        at = places.values.to_numpy(zero_copy_only=False)
+                        at = np.frombuffer(b"".join(places.as_py()), "<i4")
                         np.add.at(steps, at, 1)
                         np.add.at(steps, at + size, -1)
                         covered = np.cumsum(steps)[:-1] > 0
@@ -269,7 +273,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, carry: Sequence[s
     )
     placed = narrow.mapInArrow(_candidates(window, sketch, bits, True), PLACE_SCHEMA)
     later = placed.join(earliest, (F.col("w1") == F.col("_w1")) & (F.col("w2") == F.col("_w2"))).where("order_id > _least")
-    removed = later.groupBy(F.col("order_id").alias("_id"), F.col("key").alias("_text")).agg(F.collect_list("place").alias("_places"))
+    removed = later.groupBy(F.col("order_id").alias("_id"), F.col("key").alias("_text")).agg(F.collect_list("places").alias("_places"))
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema)
     split_schema = f"{kinds}, _key long, _order long"
@@ -279,5 +283,5 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, carry: Sequence[s
     joined = marked.join(removed, (F.col("_order") == F.col("_id")) & (F.col("_key") == F.col("_text")), "left")
     changed = joined.select(*names, "_places").mapInArrow(_cut(window, names), out_schema)
     others = table.mapInArrow(_split(window, sketch, bits, False, len(carry)), split_schema)
-    untouched = others.select(*names, F.lit(None).cast("array<int>").alias("_places")).mapInArrow(_cut(window, names), out_schema)
+    untouched = others.select(*names, F.lit(None).cast("array<binary>").alias("_places")).mapInArrow(_cut(window, names), out_schema)
     return changed.unionByName(untouched)
