@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termscan.llm import neardup, packing, quality, records, substrings, warc
+from termscan.llm import neardup, packing, quality, records, substrings, tiling, warc
 from termscan.llm.tokens import tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,11 @@ def op6_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_places(packing.digests(cut), packing.places(cut)).drop("row")
 
 
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, whole or reordered."""
+    return tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as archives and read back."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("record_id"), "url", F.col("html").alias("payload"))
@@ -73,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op3_token_records": op3_token_records,
     "op5_quality_rules": op5_quality_rules,
     "op6_sequence_packing": op6_sequence_packing,
+    "op8_benchmark_leaks": op8_benchmark_leaks,
     "op10_warc_archives": op10_warc_archives,
 }
 

@@ -68,16 +68,16 @@ def window_hashes(words: np.ndarray, n: int, base: int) -> np.ndarray:
 class Chunk:
     """Some consecutive texts: their bytes and the bounds of their words."""
 
-    def __init__(self, first: int, data: np.ndarray, bounds: np.ndarray) -> None:
+    def __init__(self, first: int, data: np.ndarray, bounds: np.ndarray, space: np.ndarray = _SPACE) -> None:
         self.first = first  # row of the first text in its batch
         self.data = data
         self.bounds = bounds  # byte bounds of the texts, one more than texts
-        edges = np.diff(_SPACE[data].astype(np.int8), prepend=1, append=1)
+        edges = np.diff(space[data].astype(np.int8), prepend=1, append=1)
         if len(bounds) > 2:  # texts lie side by side: a word ends with its text
             begin = np.flatnonzero(edges == -1)
             inner = bounds[1:-1]
             inner = inner[(inner > 0) & (inner < len(data))]
-            joined = np.unique(inner[~_SPACE[data[inner]] & ~_SPACE[data[inner - 1]]])
+            joined = np.unique(inner[~space[data[inner]] & ~space[data[inner - 1]]])
             self.starts = np.sort(np.concatenate([begin, joined]))
             self.ends = np.sort(np.concatenate([np.flatnonzero(edges == 1), joined]))
         else:
@@ -105,6 +105,11 @@ class Chunk:
 
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     """A string column as chunks; a null text is an empty one."""
+    return text_chunks(column, _SPACE, limit)
+
+
+def text_chunks(column: pa.Array, space: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
+    """The same for words between the bytes that the table ``space`` marks."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if array.null_count:
         array = array.fill_null("")
@@ -118,7 +123,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     first = 0
     while first < n:
         last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + limit, side="right")) - 1)
-        yield Chunk(first, data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first])
+        yield Chunk(first, data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first], space)
         first = last
 
 
