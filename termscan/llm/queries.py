@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termscan.llm import neardup, packing, quality, records, substrings, tiling, warc
+from termscan.llm import attribution, hmm, neardup, packing, quality, records, resharding, substrings, tiling, warc
+from termscan.llm.storage import numbered, ship_package
 from termscan.llm.tokens import tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +18,7 @@ BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,6 +46,11 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every document."""
+    return hmm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics and the verdict of boosted trees for every document."""
     documents = table(spark, sf_dir, "documents")
@@ -58,11 +65,30 @@ def op6_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_places(packing.digests(cut), packing.places(cut)).drop("row")
 
 
+def op7_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents moved from five shards to eight of equal bytes, as read from the new layout."""
+    layout, sizes = resharding.write_layout(table(spark, sf_dir, "documents"), 5)
+    rows = resharding.reshard(spark, layout, sizes, 8).read(spark).select(
+        "doc_id", resharding.row_bytes(F.col("text")).alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "shard",
+    )
+    ranked = numbered(rows, ["shard"], ["doc_id", "text_crc32"], name="slots")
+    return ranked.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("rank").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items, whole or reordered."""
     return tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document, from one encoding of the whole."""
+    return attribution.section_tokens(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_TOKENIZER))
+
+
 def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as archives and read back."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("record_id"), "url", F.col("html").alias("payload"))
@@ -76,9 +102,12 @@ QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_token_records": op3_token_records,
+    "op4_hidden_markov": op4_hidden_markov,
     "op5_quality_rules": op5_quality_rules,
     "op6_sequence_packing": op6_sequence_packing,
+    "op7_flow_resharding": op7_flow_resharding,
     "op8_benchmark_leaks": op8_benchmark_leaks,
+    "op9_section_tokens": op9_section_tokens,
     "op10_warc_archives": op10_warc_archives,
 }
 
