@@ -327,12 +327,13 @@ def verified_links(documents: DataFrame, nodes: DataFrame, candidates: DataFrame
 def near_duplicates(
     documents: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRESHOLD, tolerance: float = TOLERANCE
 ) -> DataFrame:
-    """``doc_id, id, class_id, n_links, n_text_links, n_shingles``, one row per document.
+    """``doc_id, id, class_id, keeper_id, n_links, n_text_links, n_shingles``, one row per document.
 
     ``class_id`` is the smallest doc_id of the documents joined by links,
     ``n_links`` counts the other documents within the threshold (copies too),
     ``n_text_links`` the different shingle sets.  ``id`` is doc_id, or for a
-    null id a hash of the text.
+    null id a hash of the text; ``keeper_id`` is the id of the document that
+    stands for the class.
     """
     text = F.col("text").cast("string")
     doc_id = F.col("doc_id").cast("long")
@@ -347,17 +348,20 @@ def near_duplicates(
     links = stored(verified_links(table.select("id", "text"), nodes, candidates, shingle, tolerance, threshold), "links")
     roots = components(links.select("u", "v")).select(F.col("node").alias("_node"), "root")
     counts = links.groupBy(F.col("u").alias("_u")).agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
-    labelled = nodes.drop("sig", "id").join(roots, F.col("node") == F.col("_node"), "left").join(counts, F.col("node") == F.col("_u"), "left")
-    labelled = labelled.select("k1", "k2", "copies", "least_doc", F.coalesce("root", "node").alias("root"), "texts", "docs")
-    least = labelled.groupBy(F.col("root").alias("_root")).agg(F.min("least_doc").alias("class_id"))
+    labelled = nodes.drop("sig").join(roots, F.col("node") == F.col("_node"), "left").join(counts, F.col("node") == F.col("_u"), "left")
+    labelled = labelled.select("k1", "k2", "copies", "least_doc", "id", F.coalesce("root", "node").alias("root"), "texts", "docs")
+    least = labelled.groupBy(F.col("root").alias("_root")).agg(
+        F.min("least_doc").alias("class_id"), F.coalesce(F.min("least_doc"), F.min("id")).alias("keeper_id")
+    )
     labelled = labelled.join(least, F.col("root") == F.col("_root")).select(
-        F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "class_id",
+        F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "class_id", "keeper_id",
         (F.col("copies") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links"),
     )
     joined = sketched.drop("sig").join(labelled, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
     none = F.col("n_shingles") == 0
     return joined.select(
         "doc_id", "id", F.when(none, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(none, F.col("id")).otherwise(F.col("keeper_id")).alias("keeper_id"),
         F.when(none, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"),
         F.when(none, 0).otherwise(F.col("n_text_links")).cast("long").alias("n_text_links"),
         F.col("n_shingles").cast("long").alias("n_shingles"),

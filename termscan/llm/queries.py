@@ -30,7 +30,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document."""
-    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("id")
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("id", "keeper_id")
 
 
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
