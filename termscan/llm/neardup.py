@@ -44,7 +44,7 @@ HASHES = 128
 BAND = 4
 STEP = 16
 TOLERANCE = 1e-8
-BUCKET_CHUNK = 256
+BUCKET_CHUNK = 1024
 CELL_DOCUMENTS = 128
 CELL_SHINGLES = 200_000
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
