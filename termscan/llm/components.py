@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from termscan.llm.storage import stored
 
 
+def _with_smallest(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Join the smallest neighbour ``_m`` of each ``u``.
+
+    The second key keeps the join from taking over the grouping's
+    partitioning, so that Spark can split the edges of a hot node.
+    """
+    least = least.withColumn("_s", F.pmod("_u", F.lit(64)))
+    return edges.join(least, (F.col("u") == F.col("_u")) & (F.pmod("u", F.lit(64)) == F.col("_s")))
+
+
 def _smallest(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("_m"))
 
@@ -15,7 +25,7 @@ def _smallest(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the node's smallest neighbour."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    joined = both.join(_smallest(both), F.col("u") == F.col("_u")).where("v > u")
+    joined = _with_smallest(both, _smallest(both)).where("v > u")
     return joined.select(F.col("v").alias("u"), F.least("u", "_m").alias("v")).distinct()
 
 
@@ -23,7 +33,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are tied to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = _smallest(down)
-    joined = down.join(least, F.col("u") == F.col("_u")).where("v > _m")
+    joined = _with_smallest(down, least).where("v > _m")
     moved = joined.select(F.col("v").alias("u"), F.col("_m").alias("v"))
     return moved.unionByName(least.select(F.col("_u").alias("u"), F.col("_m").alias("v"))).distinct()
 
