@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from functools import lru_cache
 
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
@@ -70,17 +69,21 @@ def literal_alternatives(pattern: str) -> list[str] | None:
     return match.group(1).split("|") if match else None
 
 
-@lru_cache(maxsize=256)
+_usable: dict[str, bool] = {}
+
+
 def usable_pattern(spark: SparkSession, pattern: str | None) -> str | None:
     """``pattern`` if the engine can compile it, ``None`` if blank or invalid.
 
     A hint that cannot be compiled matches nothing.  The probe is a constant
-    expression, so no job is started.
+    expression, so no job is started; its verdict is remembered by pattern.
     """
     if is_blank(pattern):
         return None
-    try:
-        spark.sql("SELECT '' RLIKE :rx", {"rx": ignore_case(pattern)}).collect()
-    except PySparkException:
-        return None
-    return pattern
+    if pattern not in _usable:
+        try:
+            spark.sql("SELECT '' RLIKE :rx", {"rx": ignore_case(pattern)}).collect()
+            _usable[pattern] = True
+        except PySparkException:
+            _usable[pattern] = False
+    return pattern if _usable[pattern] else None

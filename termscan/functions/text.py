@@ -24,9 +24,13 @@ def match_position(folded_text: Column, needle: Column) -> Column:
 
 
 def line_context(text: Column, position: Column, width: int = CONTEXT_LENGTH) -> Column:
-    """The line at ``position``, cut to ``width`` from its start, white space collapsed."""
+    """The line at ``position``, cut to ``width`` from its start, white space collapsed.
+
+    The line starts at or before ``position``, so ``width`` characters from
+    there are all that can be needed.
+    """
     head = F.substring_index(F.substring(text, F.lit(1), position - 1), "\n", -1)
-    tail = F.substring_index(F.substring(text, position, F.lit(2**31 - 1)), "\n", 1)
+    tail = F.substring_index(F.substring(text, position, F.lit(width)), "\n", 1)
     line = F.substring(F.concat(head, tail), 1, width)
     return F.trim(F.regexp_replace(line, r"(?U)\s+", " "))
 

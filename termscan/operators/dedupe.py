@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from termscan.functions.paths import is_below
 
-# Most repeated paths that are sent to every executor.
-BROADCAST_ROWS = 100_000
-
 
 def files_per_root(files: DataFrame, roots: Sequence[str]) -> DataFrame:
     """Files once per root they lie under, with ``root_id``: duplicates kept.
@@ -26,13 +23,14 @@ def files_per_root(files: DataFrame, roots: Sequence[str]) -> DataFrame:
 
 
 def distinct_roots(roots: Sequence[str]) -> list[str]:
-    """Roots that are not inside another listed root, first spelling kept.
+    """Roots that are not inside another listed root, in the order given.
 
     Reading only these lists every file once, so nothing has to be removed
-    from the data afterwards.
+    from the data afterwards.  Roots are compared letter by letter: names that
+    differ in case are different directories on most stores.
     """
     def stem(root: str) -> str:
-        return root.replace("\\", "/").rstrip("/").lower()
+        return root.replace("\\", "/").rstrip("/")
 
     kept: list[str] = []
     for root in roots:
@@ -43,28 +41,25 @@ def distinct_roots(roots: Sequence[str]) -> list[str]:
 
 
 def distinct_files(files: DataFrame, order: Sequence[str] = ("path",)) -> DataFrame:
-    """One file per path, any case: the first by ``order``, which must be unique.
+    """One row per path, any case: the first by ``order``, then by the other columns.
+
+    A single aggregation with partial results; exact copies collapse to one
+    row.  All columns of ``files`` go through it, so select what is needed
+    first; :func:`repeated_paths` serves tables that carry texts.
+    """
+    rest = [c for c in files.columns if c not in order]
+    first = files.groupBy(F.lower("path").alias("_key")).agg(F.min(F.struct(*order, *rest)).alias("_first"))
+    return first.select(*[F.col(f"_first.{c}").alias(c) for c in files.columns])
+
+
+def repeated_paths(files: DataFrame) -> DataFrame:
+    """``path_key, first_path, first_text`` of paths that occur more than once, any case.
 
-    Only paths and order columns are grouped, never texts.  The paths that
-    occur more than once are counted first: without any, the input is returned
-    as it is; a bounded number is broadcast; beyond that Spark joins by path.
+    The row that stays is the first by path and hash of its text; texts
+    themselves are not exchanged, and without repeated paths the table is
+    empty.
     """
-    key = F.lower("path")
-    narrow = files.select(*dict.fromkeys(["path", *order]))
-    repeated = (
-        narrow.groupBy(key.alias("path_key"))
-        .agg(F.count("*").alias("copies"), F.min(F.struct(*order)).alias("winner"))
-        .where("copies > 1")
-        .drop("copies")
-    )
-    count = repeated.count()
-    if count == 0:
-        return files
-    if count <= BROADCAST_ROWS:
-        repeated = F.broadcast(repeated)
-    return (
-        files.withColumn("path_key", key)
-        .join(repeated, "path_key", "left")
-        .where(F.col("winner").isNull() | (F.col("winner") == F.struct(*order)))
-        .select(*files.columns)
-    )
+    first = F.min(F.struct("path", F.xxhash64("text").alias("text_key")))
+    counted = files.groupBy(F.lower("path").alias("path_key")).agg(F.count("*").alias("copies"), first.alias("first"))
+    repeated = counted.where("copies > 1")
+    return repeated.select("path_key", F.col("first.path").alias("first_path"), F.col("first.text_key").alias("first_text"))

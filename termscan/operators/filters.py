@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termscan.functions import paths
-from termscan.functions.patterns import ignore_case, is_blank, rule_runs
+from termscan.functions.patterns import escape, ignore_case, is_blank, rule_runs
 
 MEGABYTE = 1024 * 1024
 
@@ -80,12 +80,16 @@ def max_megabytes(files: DataFrame, limit: int) -> DataFrame:
     return max_bytes(files, limit * MEGABYTE)
 
 
-def skip_output_directory(files: DataFrame, directory: str | None) -> DataFrame:
-    """Do not scan earlier results: drop paths that start with ``directory``, any case."""
-    if is_blank(directory):
-        return files
-    stem = directory.rstrip("/\\")
-    return files.where(F.lower(F.substring("path", 1, len(stem))) != F.lower(F.lit(stem)))
+def skip_output_directory(files: DataFrame, *directories: str | None) -> DataFrame:
+    """Do not scan earlier results: drop what lies in one of the directories, any case.
+
+    A directory ends at a separator: ``/c/out`` leaves ``/c/out2`` alone.
+    """
+    for directory in directories:
+        if not is_blank(directory):
+            inside = f"^{escape(directory.rstrip('/' + chr(92)))}([/\\\\]|$)"
+            files = files.where(~F.rlike("path", F.lit(ignore_case(inside))))
+    return files
 
 
 def skip_generated(files: DataFrame) -> DataFrame:

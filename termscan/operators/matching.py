@@ -1,13 +1,13 @@
 """Files x terms: which terms occur in which text.
 
 The vocabulary is configuration, so it travels inside the plan; texts are never
-shuffled or sorted.  Three plans give the same rows:
+shuffled or sorted, and everything runs inside generated code.  Two plans give
+the same rows, and the caller chooses (``ScanSpec.search``):
 
-* up to ``TERMS_IN_PLAN`` terms: the terms are a constant array of the plan and
-  every text is searched once per term, all inside generated code;
-* beyond: an automaton reads each text once for all terms (``automaton.py``);
-* the same without that library: one regex pass per prefix-free layer reports
-  which terms occur, and the found words are looked up in a broadcast table.
+* ``each``: every text is searched once per term, for vocabularies of up to
+  some hundred terms;
+* ``layers``: one regex pass per prefix-free layer of the vocabulary reports
+  which terms occur, and only those are counted, for thousands of terms.
 
 Terms are counted independently of each other, so nested terms
 (``light``, ``lightning``) both count.
@@ -22,17 +22,14 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termscan.functions.folding import fold_string, folded
+from termscan.functions.folding import case_variants, fold_string, folded
 from termscan.functions.patterns import escape, is_blank
 from termscan.functions.text import match_count, match_position
-from termscan.operators import automaton
 
-# Measured break-even of searching each term and of the automaton.
-TERMS_IN_PLAN = 24
-# Bounds one automaton, one compiled pattern and one broadcast table; a larger
-# vocabulary is matched block by block, each block in a scan of its own.
-TERMS_PER_BLOCK = 50_000
-CHARS_PER_BLOCK = 2_000_000
+SEARCHES = ("each", "layers")
+# Longest alternation put into one pattern; a longer layer becomes several
+# patterns of the same projection, over the same scan.
+CHARS_PER_PATTERN = 50_000
 
 FOLDED = "folded_text"
 ENTRY = "struct<term_id:int,term:string,needle:string>"
@@ -59,32 +56,27 @@ def alphabet(terms: Iterable[Term]) -> set[str]:
     return {char for term in terms for char in term.needle}
 
 
-def distinct_terms(terms: DataFrame) -> DataFrame:
-    """The same rule for a table (term_id, term), by partial aggregation."""
-    named = terms.where(F.trim("term") != "")
-    return named.groupBy(F.lower("term").alias("key")).agg(
-        F.min(F.struct("term_id", "term")).alias("first")
-    ).select("first.term_id", "first.term")
+def distinct_terms(terms: DataFrame, order: Sequence[str] = ("term_id",)) -> DataFrame:
+    """The same rule for a table with ``term`` and order columns: the first spelling stays."""
+    named = terms.where(F.rlike("term", F.lit(r"[^\p{Z}\s\x1c-\x1f\x85]")))
+    key = folded(F.col("term"), case_variants().values())
+    first = named.groupBy(key.alias("key")).agg(F.min(F.struct(*order, "term")).alias("first"))
+    return first.select(*[F.col(f"first.{c}").alias(c) for c in [*order, "term"]])
 
 
 def with_folded(files: DataFrame, letters: Iterable[str]) -> DataFrame:
     return files.withColumn(FOLDED, folded(F.col("text"), letters))
 
 
-def match_terms(files: DataFrame, terms: Sequence[Term]) -> DataFrame:
+def match_terms(files: DataFrame, terms: Sequence[Term], search: str = "each") -> DataFrame:
     """One row per (file, term) with at least one match.
 
     ``files`` carries ``text`` and the folded text; added are ``term_id``,
     ``term``, ``frequency`` and ``position`` of the first match.
     """
-    if len(terms) <= TERMS_IN_PLAN:
-        return _search_each(files, terms)
-    search = _search_at_once if automaton.available() else _search_layers
-    parts = [search(files, block) for block in _blocks(terms)]
-    matched = parts[0]
-    for part in parts[1:]:
-        matched = matched.unionByName(part)
-    return matched
+    if search not in SEARCHES:
+        raise ValueError(f"search must be one of {SEARCHES}")
+    return _search_layers(files, terms) if search == "layers" and terms else _search_each(files, terms)
 
 
 def _measured(matched: DataFrame, columns: list[str], term: str) -> DataFrame:
@@ -106,36 +98,30 @@ def _search_each(files: DataFrame, terms: Sequence[Term]) -> DataFrame:
     return _measured(found, files.columns, "candidate")
 
 
-def _search_at_once(files: DataFrame, terms: Sequence[Term]) -> DataFrame:
-    found = automaton.found_terms(F.col(FOLDED), [(t.term_id, t.term, t.needle) for t in terms])
-    return files.withColumn("found", F.explode(found)).select(*files.columns, "found.*")
-
-
 def _search_layers(files: DataFrame, terms: Sequence[Term]) -> DataFrame:
     spark = files.sparkSession
-    found = [F.array_distinct(F.regexp_extract_all(F.col(FOLDED), F.lit(pattern), F.lit(1)))
-             for pattern in map(_lookahead, prefix_free_layers([t.needle for t in terms]))]
+    patterns = [p for layer in prefix_free_layers([t.needle for t in terms]) for p in _patterns(layer)]
+    found = [F.array_distinct(F.regexp_extract_all(F.col(FOLDED), F.lit(p), F.lit(1))) for p in patterns]
     table = spark.createDataFrame(
         [(t.needle, (t.term_id, t.term, t.needle)) for t in terms],
         f"found string, entry {ENTRY}",
     )
     rows = files.withColumn("found", F.explode(F.concat(*found)))
-    # The table is bounded by TERMS_PER_BLOCK and CHARS_PER_BLOCK.
+    # The table is the vocabulary, which the driver holds already.
     return _measured(rows.join(F.broadcast(table), "found"), files.columns, "entry")
 
 
-def _blocks(terms: Sequence[Term]) -> list[list[Term]]:
-    """Consecutive runs of the sorted vocabulary within the block bounds."""
-    blocks: list[list[Term]] = []
-    chars = 0
-    for term in sorted(terms, key=lambda t: t.needle):
-        full = blocks and (len(blocks[-1]) == TERMS_PER_BLOCK or chars + len(term.needle) > CHARS_PER_BLOCK)
-        if not blocks or full:
-            blocks.append([])
-            chars = 0
-        blocks[-1].append(term)
-        chars += len(term.needle)
-    return blocks
+def _patterns(layer: Sequence[str]) -> list[str]:
+    """A layer as patterns of bounded length; neighbours in order stay together."""
+    runs: list[list[str]] = [[]]
+    size = 0
+    for needle in sorted(layer):
+        if runs[-1] and size + len(needle) > CHARS_PER_PATTERN:
+            runs.append([])
+            size = 0
+        runs[-1].append(needle)
+        size += len(needle)
+    return [_lookahead(run) for run in runs if run]
 
 
 def prefix_free_layers(needles: Iterable[str]) -> list[list[str]]:

@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termscan.functions.scores import relative_score, rounded_score, tier_label
 from termscan.spec import DEFAULT_CREST, DEFAULT_SLOPES
 
 
+def _label(hits: DataFrame) -> Column:
+    """The spelling a term goes by: the first by ``term_id`` if the hits carry it.
+
+    Hit tables on disk have no ids; among their spellings the smallest is taken.
+    """
+    return F.min_by("term", F.struct("term_id", "term")) if "term_id" in hits.columns else F.min("term")
+
+
 def term_totals(hits: DataFrame) -> DataFrame:
     """Summed frequency per term, any case, under one spelling.
 
-    The wide step groups by exact spelling with a hash aggregate over two
-    columns; spellings are folded together only afterwards, on as many rows as
-    there are spellings.
+    The wide step groups by exact spelling with a hash aggregate; spellings
+    are folded together only afterwards, on as many rows as there are
+    spellings.
     """
-    spelled = hits.groupBy("term").agg(F.sum("frequency").alias("total"))
+    ids = [F.min("term_id").alias("term_id")] if "term_id" in hits.columns else []
+    spelled = hits.groupBy("term").agg(F.sum("frequency").alias("total"), *ids)
     return spelled.groupBy(F.lower("term").alias("term_key")).agg(
-        F.min("term").alias("term"), F.sum("total").alias("total")
+        _label(spelled).alias("term"), F.sum("total").alias("total")
     )
 
 
@@ -44,7 +53,7 @@ def term_profiles(hits: DataFrame) -> DataFrame:
     """
     best = F.min_by("context", F.struct((-F.col("frequency")).alias("rank"), "file", "context"))
     return hits.groupBy(F.lower("term").alias("term_key")).agg(
-        F.min("term").alias("term"), F.sum("frequency").alias("total"), best.alias("example")
+        _label(hits).alias("term"), F.sum("frequency").alias("total"), best.alias("example")
     )
 
 

@@ -124,9 +124,10 @@ def _word_map(hits: str) -> str:
     return _numbered([head, body])
 
 
-def _section_bodies(hits: str) -> dict[str, str]:
+def _section_bodies(hits: str, fixed: bool = False) -> dict[str, str]:
     tiers = _tiers(hits)
     score = "CASE WHEN score = 1 THEN '1' WHEN score = 0 THEN '0' ELSE rtrim(printf('%.3f', score), '0') END"
+    score = "printf('%.3f', score)" if fixed else score
     return {
         "bucket": f"SELECT bucket AS name, items AS value, concat('| ', bucket, ' | ', items, ' |') AS line FROM ({_counts(hits, 'bucket')})",
         "tier": f"SELECT tier AS name, count(*) AS value, concat('| ', tier, ' | ', count(*), ' |') AS line FROM ({tiers}) GROUP BY tier",
@@ -135,10 +136,10 @@ def _section_bodies(hits: str) -> dict[str, str]:
     }
 
 
-def _summary(hits: str) -> str:
+def _summary(hits: str, fixed: bool = False) -> str:
     rows = [(0, i, line) for i, line in enumerate(reports.SUMMARY_TITLE)]
     parts = []
-    for number, (name, body) in enumerate(_section_bodies(hits).items(), start=1):
+    for number, (name, body) in enumerate(_section_bodies(hits, fixed).items(), start=1):
         head = reports.SUMMARY_SECTIONS[name]
         rows += [(number, i - len(head), line) for i, line in enumerate(head)]
         rows += [(number, 1000000, "")] if number < 4 else []
@@ -174,7 +175,7 @@ def _excluded() -> str:
     return f"(CASE {cases} ELSE false END)"
 
 
-FILTERED = f"""SELECT * FROM ({DOCUMENTS}) WHERE length <= 2 * 1024 * 1024 AND NOT starts_with(path, '/corpus/src3')
+FILTERED = f"""SELECT * FROM ({DOCUMENTS}) WHERE length <= 2 * 1024 * 1024 AND NOT starts_with(path, '/corpus/src3/')
     AND lower({BASE_NAME}) NOT IN ('summary.md', 'wordmap_raw.csv', 'wordmap_table.md')
     AND {EXT} IN ('.md', '.txt', '.html')
     AND NOT (regexp_matches(path, '(?i)^.*/bin/.*$') AND NOT regexp_matches(path, '(?i)^.*/bin/[^/]*\\.md$'))
@@ -218,6 +219,19 @@ def _row_counts(left: str, right: str) -> str:
 PRUNED = f"""len(list_filter(generate_series(2, len(string_split(path, '/')) - 1),
     lambda i: regexp_matches(array_to_string(list_slice(string_split(path, '/'), 1, i), '/'), {_any_case(q.PRUNE_REGEX)}))) > 0"""
 
+# The tree scan: what its filters leave, written out by hand.
+TREE_FILES = """
+    SELECT concat('/tree/source=', source, '/lang=', lang, '/doc_id=', doc_id) AS path, concat(text, chr(10)) AS text
+    FROM documents WHERE source NOT IN ('src1', 'src13') AND lang <> 'de' AND NOT (source = 'src7' AND lang <> 'en')
+      AND NOT (source = 'src5' AND lang = 'fr') AND doc_id % 10 <> 7"""
+TREE_HITS = f"""SELECT * REPLACE ('.txt' AS ext,
+        CASE WHEN starts_with(file, '/tree/source=src0/') THEN string_split(file, '/')[4] ELSE string_split(file, '/')[3] END AS repo)
+    FROM ({_hits(TREE_FILES, q.TREE_SPEC)})"""
+DIGEST = ("('0x' || substr(md5(concat_ws(chr(31), " + ", ".join(f"coalesce('=' || {c}, '-')" for c in HIT_LIST.split(", "))
+          + ")), 1, 15))::BIGINT")
+BACKSLASHED = f"""SELECT replace(CASE WHEN contains(path, '/en/') THEN regexp_replace(path, '^/corpus/[^/]+', '/corpus/ ') ELSE path END,
+        '/', chr(92)) AS path FROM ({DOCUMENTS})"""
+
 ORACLE: dict[str, str] = {
     "term_tiers": _tiers(HITS),
     "doc_buckets": f"SELECT path, {_bucket(q.SPEC)} AS bucket FROM ({DOCUMENTS})",
@@ -230,7 +244,7 @@ ORACLE: dict[str, str] = {
     "dir_exclude": _files(f"NOT ({PRUNED})"),
     "glob_exclude_last_match": _files(f"NOT {_excluded()}"),
     "size_filter": _files(f"length <= {q.SIZE_LIMIT}"),
-    "own_output_exclude": _files("NOT starts_with(lower(path), '/corpus/src1')"),
+    "own_output_exclude": _files("NOT starts_with(lower(path), '/corpus/src1/')"),
     "generated_exclude": _files(f"lower({BASE_NAME}) <> 'summary.md'"),
     "repo_attribution": f"""SELECT path, {_repo(['/corpus/'])} AS repo, {_repo(q.OTHER_ROOTS)} AS other_repo,
         {EXT} AS ext, {BASE_NAME} AS base_name FROM ({DOCUMENTS})""",
@@ -249,10 +263,10 @@ ORACLE: dict[str, str] = {
     "overlapping_roots_all": _rooted(""),
     "overlapping_roots_distinct": _rooted("QUALIFY row_number() OVER (PARTITION BY lower(path) ORDER BY root_id, path) = 1"),
     "vocab_distinct": """
-        SELECT term_id, term FROM (
-          SELECT item_id * 1000000 + unnest(range(len(words))) AS term_id, unnest(words) AS term
+        SELECT item_id, place::INTEGER AS place, term FROM (
+          SELECT item_id, unnest(range(len(words))) AS place, unnest(words) AS term
           FROM (SELECT item_id, string_split(text, ' ') AS words FROM benchmark))
-        WHERE trim(term) <> '' QUALIFY row_number() OVER (PARTITION BY lower(term) ORDER BY term_id) = 1""",
+        WHERE trim(term) <> '' QUALIFY row_number() OVER (PARTITION BY lower(term) ORDER BY item_id, place) = 1""",
     "large_vocabulary_tiers": _tiers(f"""
         SELECT term, ((length(low) - length(replace(low, lower(term), ''))) / length(term))::INTEGER AS frequency
         FROM (SELECT lower(text) AS low FROM documents) CROSS JOIN ({_terms(q.SYLLABLES)}) WHERE contains(low, lower(term))"""),
@@ -265,7 +279,10 @@ ORACLE: dict[str, str] = {
     "conversation_summary_lines": _summary(TURN_HITS),
     "diff_counts": f"SELECT {_row_counts(LEFT_ROWS, RIGHT_ROWS)}",
     "diff_equal": f"SELECT {_row_counts(LEFT_ROWS, RIGHT_ROWS)}, (SELECT count(*) = 0 FROM ({DIFFERENCES})) AS equal",
-    "same_equal": f"SELECT {_row_counts(LEFT_ROWS, LEFT_ROWS)}, true AS equal",
+    "same_equal": f"""SELECT {_row_counts(LEFT_ROWS, LEFT_ROWS)},
+        (SELECT count(*) = 0 FROM (({LEFT_ROWS}) EXCEPT ALL (SELECT * FROM ({LEFT_ROWS}) ORDER BY file DESC))) AS equal""",
+    "diff_hash": f"""SELECT count(*) AS row_count, coalesce(bit_xor(d), 0) AS hash_xor, coalesce(sum(d), 0)::DECIMAL(38, 0) AS hash_sum
+        FROM (SELECT {DIGEST} AS d FROM ({LEFT_ROWS}))""",
     "diff_rows": DIFFERENCES,
     "diff_sample": f"{DIFFERENCES} ORDER BY {HIT_LIST}, side LIMIT 30",
     "diff_columns": _column_differences(),
@@ -273,4 +290,34 @@ ORACLE: dict[str, str] = {
         SELECT term, concat('source=', source) AS repo, '.txt' AS ext, sum(len(regexp_extract_all(text, rx)))::BIGINT AS total
         FROM documents CROSS JOIN ({_terms(q.TERMS)}) WHERE regexp_matches(text, rx) GROUP BY term, source""",
     "csv_reload": LEFT_ROWS,
+    "csv_sorted_reload": LEFT_ROWS,
+    "tree_largest_files": f"""
+        SELECT concat('/tree/source=', source, '/lang=', lang, '/doc_id=', doc_id) AS path, octet_length(encode(text))::BIGINT + 1 AS length
+        FROM documents ORDER BY length DESC, path LIMIT 10""",
+    "tree_hits": f"SELECT {HIT_LIST} FROM ({TREE_HITS})",
+    "tree_summary_lines": _summary(TREE_HITS),
+    "tree_skipped": "SELECT '/tree/nowhere/' AS path, 'missing root' AS reason",
+    "decoded_texts": "SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN concat(text, chr(65533)) ELSE text END AS text FROM documents",
+    "duplicate_paths_tiers": _tiers(_hits(f"SELECT * FROM ({DOCUMENTS}) WHERE lower({BASE_NAME}) <> 'summary.md'", q.SPEC)),
+    "unique_files": f"SELECT path, length FROM ({DOCUMENTS})",
+    "mixed_spelling_tiers": f"""
+        SELECT term, total, round_even(share, 3)::DOUBLE AS score,
+               CASE WHEN share >= 0.9 THEN 'Crest' WHEN share >= 0.6 THEN 'Slopes' ELSE 'Base' END AS tier
+        FROM (SELECT *, total::DOUBLE / max(total) OVER () AS share FROM (
+          SELECT CASE WHEN bool_or(length(file) % 2 = 0) THEN upper(min(term)) ELSE min(term) END AS term,
+                 sum(frequency)::BIGINT AS total FROM ({HITS}) GROUP BY lower(term)))""",
+    "benchmark_vocabulary_tiers": """
+        WITH v AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[ \\n.,]+')) AS term FROM benchmark),
+        t AS (SELECT term, sum((length(low) - length(replace(low, term, ''))) // length(term))::BIGINT AS total
+              FROM (SELECT lower(text) AS low FROM documents) CROSS JOIN v WHERE term <> '' AND contains(low, term) GROUP BY term)
+        SELECT term, total, round_even(share, 3)::DOUBLE AS score,
+               CASE WHEN share >= 0.9 THEN 'Crest' WHEN share >= 0.6 THEN 'Slopes' ELSE 'Base' END AS tier
+        FROM (SELECT *, total::DOUBLE / max(total) OVER () AS share FROM t)""",
+    "backslash_attribution": f"""
+        SELECT path, replace(path, chr(92), '/') AS slashed,
+               CASE WHEN trim(string_split(path, chr(92))[3]) = '' THEN '(root)' ELSE string_split(path, chr(92))[3] END AS repo,
+               {EXT} AS ext, {BASE_NAME} AS base_name FROM ({BACKSLASHED})""",
+    "emptied_texts": f"SELECT path, {_bucket(q.SPEC)} AS bucket FROM ({DOCUMENTS}) WHERE length % 3 <> 0",
+    "invalid_hint_buckets": f"SELECT path, CASE WHEN {_hint(q.CODE)} THEN 'Code' ELSE 'Unknown' END AS bucket FROM ({DOCUMENTS})",
+    "fixed_score_lines": _summary(HITS, fixed=True),
 }

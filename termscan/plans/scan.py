@@ -33,11 +33,12 @@ class ScanResult:
     hits: DataFrame
     tiers: DataFrame
     summaries: Summaries
+    skipped: DataFrame | None = None  # path, reason: what a tree scan had to leave out
 
 
 def select_files(files: DataFrame, spec: ScanSpec, roots: Sequence[str] | None = None) -> DataFrame:
     """All path filters of a spec; ``roots`` as they appear in the paths."""
-    kept = filters.skip_output_directory(files, spec.output_dir)
+    kept = filters.skip_output_directory(files, spec.output_dir, *spec.skip_dirs)
     kept = filters.skip_generated(kept)
     if spec.extensions:
         kept = filters.keep_extensions(kept, spec.extensions)
@@ -83,7 +84,7 @@ def file_buckets(files: DataFrame, spec: ScanSpec) -> DataFrame:
 def matches(files: DataFrame, spec: ScanSpec) -> DataFrame:
     """(file, term) rows with frequency and position of the first match."""
     terms = matching.vocabulary(spec.anchor_terms)
-    return matching.match_terms(classified(files, spec), terms)
+    return matching.match_terms(classified(files, spec), terms, spec.search)
 
 
 def hit_rows(files: DataFrame, spec: ScanSpec) -> DataFrame:
@@ -103,6 +104,24 @@ def hit_rows(files: DataFrame, spec: ScanSpec) -> DataFrame:
     ).select(*HIT_COLUMNS)
 
 
+def distinct_hit_rows(files: DataFrame, spec: ScanSpec) -> DataFrame:
+    """The hit table with one file per path, any case.
+
+    Hits are compared, not texts: those of files that are not the first of
+    their path go, and the equal hits of exact copies collapse.
+    """
+    key = F.xxhash64("text").alias("text_key")
+    context = line_context(F.col("text"), F.col("position")).alias("context")
+    found = matches(files, spec).select(
+        "term", "repo", F.col("path").alias("file"), "ext", "bucket", "frequency", context, key
+    )
+    repeated = dedupe.repeated_paths(files)
+    joined = found.join(repeated, F.lower("file") == F.col("path_key"), "left")
+    first = (F.col("file") == F.col("first_path")) & (F.col("text_key") == F.col("first_text"))
+    kept = joined.where(F.col("path_key").isNull() | first)
+    return kept.select(*HIT_COLUMNS, "text_key").distinct().select(*HIT_COLUMNS)
+
+
 def result_of(hits: DataFrame, spec: ScanSpec) -> ScanResult:
     tiers = ranking.term_tiers(hits, spec.crest_threshold, spec.slopes_threshold)
     return ScanResult(
@@ -118,15 +137,9 @@ def result_of(hits: DataFrame, spec: ScanSpec) -> ScanResult:
 
 
 def scan_files(files: DataFrame, spec: ScanSpec) -> ScanResult:
-    """Scan a table of ``path, length, text``.
-
-    The size limit comes after removing duplicates, which then needs to read
-    paths only.
-    """
-    kept = select_files(files, spec)
-    if spec.dedupe:
-        kept = dedupe.distinct_files(kept)
-    return result_of(hit_rows(filters.max_megabytes(kept, spec.max_file_mb), spec), spec)
+    """Scan a table of ``path, length, text``."""
+    kept = filters.max_megabytes(select_files(files, spec), spec.max_file_mb)
+    return result_of(distinct_hit_rows(kept, spec) if spec.dedupe else hit_rows(kept, spec), spec)
 
 
 def scan(spark: SparkSession, spec: ScanSpec) -> ScanResult:
@@ -140,19 +153,20 @@ def scan(spark: SparkSession, spec: ScanSpec) -> ScanResult:
     # Paths are compared without their scheme, so roots are too.
     plain = replace(spec, include_paths=[paths.plain_path(root) for root in spec.include_paths])
     if spec.include_hidden:
-        listing = trees.walk_tree(spark, spec.include_paths, spec.prune_dir_regex, spec.dedupe)
+        everything = trees.walk_everything(spark, spec.include_paths, spec.prune_dir_regex, spec.dedupe)
+        listing = everything.where("skipped IS NULL").drop("skipped")
         kept = filters.max_megabytes(select_files(listing, spec, plain.include_paths), spec.max_file_mb)
         files = trees.read_listed(kept)
-    else:
-        listing = trees.read_tree(spark, spec.include_paths, spec.extensions, spec.dedupe)
-        files = filters.max_megabytes(select_files(listing, spec, plain.include_paths), spec.max_file_mb)
+        return replace(result_of(hit_rows(files, plain), spec), skipped=trees.skipped_files(everything, kept))
+    listing = trees.read_tree(spark, spec.include_paths, spec.extensions, spec.dedupe)
+    files = filters.max_megabytes(select_files(listing, spec, plain.include_paths), spec.max_file_mb)
     return result_of(hit_rows(files, plain), spec)
 
 
 def stored_scan(result: ScanResult, spec: ScanSpec, path: str | None = None) -> ScanResult:
     """Write the hits once and derive everything else from the stored table."""
     hits = sinks.write_hits(result.hits, path) if path else sinks.stored(result.hits, "hits")
-    return result_of(hits, spec)
+    return replace(result_of(hits, spec), skipped=result.skipped)
 
 
 def write_reports(result: ScanResult, spec: ScanSpec, output_dir: str | None = None) -> ScanResult:

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termscan.functions import paths
+from termscan.functions.text import with_text
 from termscan.operators import dedupe, filters, matching, ranking, reconcile, reports, summaries
 from termscan.plans import scan
 from termscan.sources import sinks, trees
-from termscan.sources.tables import spread_if_small, texts_as_files
+from termscan.sources.tables import in_partitions, texts_as_files
 from termscan.spec import ScanSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 DOCUMENT_PATH = """concat('/corpus/', source, '/',
     CASE WHEN source = 'src7' THEN 'bin' WHEN source = 'src13' THEN 'out_cli' ELSE lang END, '/',
     CAST(doc_id AS STRING),
-    CASE WHEN source = 'src11' THEN '/SUMMARY' WHEN source = 'src5' AND lang <> 'fr' THEN ' - Copy' ELSE '' END,
+    CASE WHEN source = 'src11' THEN '/SUMMARY' WHEN source = 'src5' AND lang <> 'fr' THEN ' (old)' ELSE '' END,
     CASE lang WHEN 'en' THEN '.MD' WHEN 'de' THEN '.txt' WHEN 'es' THEN '.html' ELSE '.Py' END)"""
 TURN_PATH = "concat('/talk/', role, '/', CAST(conv_id AS STRING), '/', CAST(turn AS STRING), '.txt')"
 # A second edition of the documents: license lines cut off.
@@ -45,17 +47,28 @@ EDITION_SPEC = ScanSpec(include_paths=["/corpus/"], anchor_terms=EDITION_TERMS,
 FILTERED_SPEC = ScanSpec(
     include_paths=["/corpus/"], anchor_terms=TERMS, planned_hints_regex=PLANNED_REGEX, code_hints_regex=CODE_REGEX,
     extensions=["*.md", ".txt", "HTML"], exclude_dir_regex=r"(^|[\\/])out_cli([\\/]|$)",
-    exclude_file_regex=r"- Copy( \([0-9]+\))?\.[a-z]+$",
+    exclude_file_regex=r" \(old\)\.[a-z]+$",
     exclusion_patterns=["# build output", "**/bin/**", "!**/bin/*.md"],
     crest_threshold=0.66, slopes_threshold=0.33, max_file_mb=2, output_dir="/corpus/src3/",
 )
 PAGE_SPEC = ScanSpec(anchor_terms=PAGE_TERMS, planned_hints_regex="lorem|cookie", code_hints_regex="script|function")
 TURN_SPEC = ScanSpec(include_paths=["/talk/"], anchor_terms=TURN_TERMS, planned_hints_regex="que|wie", code_hints_regex="[0-9]+")
 
+# A scan of files, one per document, that lie under TREE.
+TREE = "/tree"
+TREE_RULES = ["# kept out", "**/source=src7/**", "!**/source=src7/lang=en/**"]
+TREE_SPEC = ScanSpec(
+    include_paths=[f"{TREE}/source=src0/", f"{TREE}/", f"{TREE}/nowhere/"], extensions=["txt"], anchor_terms=TERMS,
+    planned_hints_regex=PLANNED, code_hints_regex=CODE, prune_dir_regex="/lang=de$", exclude_dir_regex="/source=src13(/|$)",
+    exclude_file_regex="/doc_id=[0-9]*7/", exclusion_patterns=["**/source=src5/lang=fr/**"], max_file_mb=2,
+    output_dir=f"{TREE}/source=src1",
+)
+BROKEN_SPEC = replace(SPEC, planned_hints_regex="[broken")
+
 EXTENSIONS = ["*.md", ".txt", "PY"]
 RULES = ["# comment", "", "**/bin/**", "**/out_cli/*", "!**/*.md", "/corpus/src?/en/*", "!/corpus/src4/**", "/corpus/*.txt"]
 PATH_REGEX = r"(^|[\\/])(bin|out_cli)([\\/]|$)"
-FILE_REGEX = r"- Copy( \([0-9]+\))?\.[a-z]+$"
+FILE_REGEX = r" \(old\)\.[a-z]+$"
 PRUNE_REGEX = "/(bin|out_cli)$"
 SIZE_LIMIT = 8192
 OUTPUT_DIR = "/CORPUS/src1/"
@@ -65,8 +78,8 @@ OTHER_ROOTS = ["/corpus/src2", "/elsewhere/"]
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document table as files."""
-    table = spread_if_small(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text"), "doc_id")
-    return texts_as_files(table, F.expr(DOCUMENT_PATH), F.col("text"))
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return in_partitions(texts_as_files(table, F.expr(DOCUMENT_PATH), F.col("text")))
 
 
 def second_edition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,13 +88,13 @@ def second_edition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spread_if_small(spark.read.parquet(f"{sf_dir}/pages.parquet").select("url", "html"), "url")
-    return texts_as_files(table, F.col("url"), F.col("html"))
+    table = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return in_partitions(texts_as_files(table, F.col("url"), F.col("html")))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spread_if_small(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id", "turn")
-    return texts_as_files(table, F.expr(TURN_PATH), F.col("text"))
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return in_partitions(texts_as_files(table, F.expr(TURN_PATH), F.col("text")))
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,14 +147,13 @@ def first_root_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def overlapping_roots_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = dedupe.files_per_root(documents(spark, sf_dir), ORDERED_ROOTS)
-    return dedupe.distinct_files(every, ["root_id", "path"]).select("path", "length", "root_id")
+    return dedupe.distinct_files(every.select("path", "length", "root_id"), ["root_id", "path"])
 
 
 def vocab_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     words = items.select("item_id", F.posexplode(F.split("text", " ")).alias("place", "term"))
-    term_id = (F.col("item_id") * 1_000_000 + F.col("place")).alias("term_id")
-    return matching.distinct_terms(words.select(term_id, "term"))
+    return matching.distinct_terms(words, ["item_id", "place"])
 
 
 def filtered_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +203,7 @@ def tree_repo_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def large_vocabulary_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiers of more terms than are searched one by one."""
-    return ranking.term_tiers(scan.hit_rows(documents(spark, sf_dir), ScanSpec(anchor_terms=SYLLABLES)))
+    return ranking.term_tiers(scan.hit_rows(documents(spark, sf_dir), ScanSpec(anchor_terms=SYLLABLES, search="layers")))
 
 
 def csv_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,11 +213,127 @@ def csv_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.read_hits(spark, path)
 
 
+def document_tree(spark: SparkSession, sf_dir: str) -> str:
+    """Every document as a file of its own: /source=../lang=../doc_id=../part-*.txt."""
+    root = sinks.new_folder(spark, "tree")
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "lang", "doc_id", "text")
+    table.hint("rebalance", "doc_id").write.partitionBy("source", "lang", "doc_id").text(root)
+    return root
+
+
+def _place(path: Column, root: str) -> Column:
+    """Where a file of a document tree lies, without the tree's own place and the part's name."""
+    inner = F.substring(path, F.lit(len(paths.plain_path(root)) + 1), F.length(path))
+    return F.regexp_replace(F.concat(F.lit(TREE), inner), "/[^/]*$", "")
+
+
 def tree_largest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Largest files of the data directory itself, from the listing alone."""
-    largest = summaries.largest_files(trees.list_tree(spark, [sf_dir]))
+    """Largest files of a tree, from the listing alone."""
+    root = document_tree(spark, sf_dir)
+    listing = trees.walk_tree(spark, [root]).where(F.endswith("path", F.lit(".txt")))
+    largest = summaries.largest_files(listing.withColumn("path", _place(F.col("path"), root)))
+    return largest.select("path", "length")
+
+
+def _tree_result(spark: SparkSession, sf_dir: str) -> tuple[scan.ScanResult, str]:
+    """A scan of a document tree with every filter, nested roots, a missing one and a rule file."""
+    root = document_tree(spark, sf_dir)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    rule_file = jvm.org.apache.hadoop.fs.Path(f"{root}/.scanignore")
+    stream = rule_file.getFileSystem(conf).create(rule_file)
+    stream.write(bytearray("\n".join(TREE_RULES).encode()))
+    stream.close()
+    moved = replace(TREE_SPEC, include_paths=[p.replace(TREE, root, 1) for p in TREE_SPEC.include_paths],
+                    output_dir=TREE_SPEC.output_dir.replace(TREE, paths.plain_path(root), 1))
+    return scan.scan(spark, moved), root
+
+
+def tree_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result, root = _tree_result(spark, sf_dir)
+    return result.hits.withColumn("file", _place(F.col("file"), root))
+
+
+def tree_summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.summary_lines(scan.stored_scan(_tree_result(spark, sf_dir)[0], TREE_SPEC).hits)
+
+
+def tree_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the scan of the tree had to leave out: the missing root."""
+    result, root = _tree_result(spark, sf_dir)
+    path = F.replace(F.col("path"), F.lit(paths.plain_path(root)), F.lit(TREE))
+    return result.skipped.select(path.alias("path"), "reason")
+
+
+def decoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded in one of four ways by its id and decoded again."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    way = F.pmod("doc_id", F.lit(4))
+    content = (
+        F.when(way == 0, F.encode("text", "UTF-8"))
+        .when(way == 1, F.encode("text", "UTF-16"))
+        .when(way == 2, F.concat(F.unhex(F.lit("0000FEFF")), F.encode("text", "UTF-32")))
+        .otherwise(F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF"))))
+    )
+    return with_text(table.select("doc_id", content.alias("content")))
+
+
+def duplicate_paths_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents stacked on themselves: exact copies count once."""
+    files = documents(spark, sf_dir)
+    return scan.scan_files(files.unionByName(files), SPEC).tiers
+
+
+def unique_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by path, each once."""
+    files = documents(spark, sf_dir).select("path", "length")
+    return dedupe.distinct_files(files.unionByName(files)).orderBy("path")
+
+
+def mixed_spelling_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits in two spellings; the one with the smaller term_id names the term."""
+    found = scan.matches(documents(spark, sf_dir), SPEC)
+    loud = F.length("path") % 2 == 0
+    spelled = found.select(
+        F.when(loud, F.upper("term")).otherwise(F.col("term")).alias("term"),
+        (F.col("term_id") * 2 + F.when(loud, 0).otherwise(1)).alias("term_id"), "frequency",
+    )
+    return ranking.term_tiers(spelled)
+
+
+def benchmark_vocabulary_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiers of all words of the benchmark items: a vocabulary of some thousand terms.
+
+    The vocabulary of a scan is configuration and lives on the driver.
+    """
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    words = items.select(F.explode(F.split(F.lower("text"), r"[ \n.,]+")).alias("word")).where("word <> ''").distinct()
+    terms = sorted(row.word for row in words.collect())
+    return ranking.term_tiers(scan.hit_rows(documents(spark, sf_dir), ScanSpec(anchor_terms=terms, search="layers")))
+
+
+def csv_sorted_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hit table after a round through sorted CSV, with its place in the files' order."""
+    path = sinks.new_folder(spark, "hits-sorted-csv")
+    sinks.write_hits_csv_sorted(_hits(spark, sf_dir), path)
+    return trees.read_hits(spark, path)
+
+
+def backslash_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths with the other separator; a blank segment below the root is named."""
+    blank = F.when(F.col("path").contains("/en/"), F.regexp_replace("path", "^/corpus/[^/]+", "/corpus/ ")).otherwise(F.col("path"))
+    path = F.translate(blank, "/", "\\")
+    table = documents(spark, sf_dir).select(path.alias("path"))
     path = F.col("path")
-    return largest.select(paths.base_name(path).alias("name"), paths.extension(path).alias("ext"), "length")
+    return table.select(
+        "path", paths.slashes(path).alias("slashed"), paths.repo_name(path, ["\\corpus\\"]).alias("repo"),
+        paths.extension(path).alias("ext"), paths.base_name(path).alias("base_name"),
+    )
+
+
+def emptied_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets of what is left when every third text is emptied."""
+    emptied = F.when(F.col("length") % 3 == 0, F.lit("")).otherwise(F.col("text"))
+    return scan.file_buckets(documents(spark, sf_dir).withColumn("text", emptied), SPEC)
 
 
 QUERIES: dict[str, Query] = {
@@ -255,5 +383,18 @@ QUERIES: dict[str, Query] = {
     "diff_hash": _on_hits(reconcile.fingerprint),
     "tree_repo_totals": tree_repo_totals,
     "csv_reload": csv_reload,
+    "csv_sorted_reload": csv_sorted_reload,
     "tree_largest_files": tree_largest_files,
+    "tree_hits": tree_hits,
+    "tree_summary_lines": tree_summary_lines,
+    "tree_skipped": tree_skipped,
+    "decoded_texts": decoded_texts,
+    "duplicate_paths_tiers": duplicate_paths_tiers,
+    "unique_files": unique_files,
+    "mixed_spelling_tiers": mixed_spelling_tiers,
+    "benchmark_vocabulary_tiers": benchmark_vocabulary_tiers,
+    "backslash_attribution": backslash_attribution,
+    "emptied_texts": emptied_texts,
+    "invalid_hint_buckets": _buckets(BROKEN_SPEC),
+    "fixed_score_lines": _on_hits(lambda hits: reports.summary_lines(hits, fixed_scores=True)),
 }

@@ -2,38 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FILE_COLUMNS = ["path", "length", "text"]
 
+# How many partitions the caller wants input tables in.  Unset, a table is read
+# as its files lie, without any exchange; set it where a small table lies in
+# fewer row groups than there are cores.
+PARTITIONS_SETTING = "spark.termscan.inputPartitions"
+
 
 def texts_as_files(table: DataFrame, path: Column, text: Column) -> DataFrame:
     """``path, length, text``, the length in UTF-8 bytes as for a file."""
     return table.select(path.alias("path"), F.octet_length(text).cast("bigint").alias("length"), text.alias("text"))
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Size Catalyst expects the plan to read, from file sizes; no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def spread_if_small(table: DataFrame, *keys: str) -> DataFrame:
-    """Give every core some rows when the input would not do so by itself.
+def in_partitions(files: DataFrame) -> DataFrame:
+    """Spread files by path over the partitions the session asks for, if it does.
 
-    A parquet row group is one task however little it holds, so a table below
-    one scan partition per core is redistributed by its key.  A larger table
-    has enough row groups and is left alone: no shuffle of texts.
+    Columns that are not used further on do not go through the exchange.
     """
-    spark = table.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    partition = _bytes(spark, "spark.sql.files.maxPartitionBytes", 128 * 1024 * 1024)
-    if estimated_bytes(table) >= cores * partition:
-        return table
-    return table.repartition(cores, *keys)
-
-
-def _bytes(spark: SparkSession, key: str, default: int) -> int:
-    value = spark.conf.get(key, str(default)).strip().lower().rstrip("b")
-    units = {"k": 1024, "m": 1024**2, "g": 1024**3, "t": 1024**4}
-    return int(value[:-1]) * units[value[-1]] if value[-1] in units else int(value)
+    wanted = files.sparkSession.conf.get(PARTITIONS_SETTING, None)
+    return files.repartition(int(wanted), "path") if wanted else files

@@ -18,7 +18,9 @@ HIT_FILE_SCHEMA = (
     "Term string, Repo string, File string, Ext string, Bucket string, Frequency int, Context string"
 )
 
+# A longer file does not fit one value; it is reported as skipped.
 MAX_VALUE_BYTES = 2**31 - 1
+MISSING_ROOT, TOO_LONG = "missing root", "too long for one value"
 
 
 def existing_roots(spark: SparkSession, roots: Iterable[str]) -> list[str]:
@@ -88,12 +90,14 @@ def read_tree(
     return with_text(listed.where(F.col("length") <= MAX_VALUE_BYTES))
 
 
-def walk_tree(
+def walk_everything(
     spark: SparkSession, roots: Sequence[str], prune_dir_regex: str | None = None, dedupe: bool = True
 ) -> DataFrame:
-    """``path, root, name, length, modification_time`` of all files, hidden names included.
+    """``path, root, name, length, modification_time, skipped`` of all files, hidden names included.
 
-    Directories whose path matches ``prune_dir_regex`` are not entered.
+    Directories whose path matches ``prune_dir_regex`` are not entered.  Rows
+    with a reason in ``skipped`` are roots and directories that could not be
+    listed.
     """
     def enter(directories: DataFrame) -> DataFrame:
         if is_blank(prune_dir_regex):
@@ -101,20 +105,39 @@ def walk_tree(
         return directories.where(~F.rlike(without_scheme(F.col("path")), F.lit(ignore_case(prune_dir_regex))))
 
     found = existing_roots(spark, roots)
+    missing = [root for root in map(expand_env, roots) if not is_blank(root) and root not in found]
+    schema = "root string, name string, path string, length bigint, modification_time timestamp, skipped string"
+    listed = spark.createDataFrame([(root, None, root, 0, None, MISSING_ROOT) for root in missing], schema)
     groups = [distinct_roots(found)] if dedupe else [[root] for root in found]
-    listings = [walk.walk(spark, group, enter) for group in groups if group]
-    if not listings:
-        return spark.createDataFrame([], "root string, name string, path string, length bigint, modification_time timestamp")
-    listed = listings[0]
-    for listing in listings[1:]:
-        listed = listed.unionByName(listing)
+    for group in groups:
+        if group:
+            listed = listed.unionByName(walk.walk(spark, group, enter))
     return listed.withColumn("path", without_scheme(F.col("path")))
 
 
+def walk_tree(
+    spark: SparkSession, roots: Sequence[str], prune_dir_regex: str | None = None, dedupe: bool = True
+) -> DataFrame:
+    """The files of :func:`walk_everything`."""
+    return walk_everything(spark, roots, prune_dir_regex, dedupe).where("skipped IS NULL").drop("skipped")
+
+
 def read_listed(listing: DataFrame) -> DataFrame:
-    """Files of a (filtered) listing with decoded ``text``."""
+    """Files of a (filtered) listing with decoded ``text``; see :func:`skipped_files` for the others."""
     wanted = listing.where(F.col("length") <= MAX_VALUE_BYTES)
-    return with_text(walk.read_contents(wanted))
+    return with_text(walk.read_contents(wanted).where("skipped IS NULL").drop("skipped"))
+
+
+def skipped_files(everything: DataFrame, listing: DataFrame) -> DataFrame:
+    """``path, reason`` of all that is left out: roots, directories, and files of the filtered listing.
+
+    Files are opened again to see which cannot be read.
+    """
+    listed = everything.where("skipped IS NOT NULL").select("path", F.col("skipped").alias("reason"))
+    fits = F.col("length") <= MAX_VALUE_BYTES
+    long = listing.where(~fits).select("path", F.lit(TOO_LONG).alias("reason"))
+    unread = walk.read_contents(listing.where(fits)).where("skipped IS NOT NULL")
+    return listed.unionByName(long).unionByName(unread.select("path", F.col("skipped").alias("reason")))
 
 
 def rule_lines(

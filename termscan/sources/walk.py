@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +21,9 @@ from termscan.sources.sinks import stored
 
 # ``root`` names the file system, ``name`` the file within it: file names are
 # never parsed as addresses, whatever characters they hold.
-ENTRY_SCHEMA = "root string, name string, path string, is_dir boolean, length bigint, modification_time timestamp"
-CONTENT_SCHEMA = "path string, length bigint, modification_time timestamp, content binary"
+# ``skipped`` says why a directory was not listed or a file not read.
+ENTRY_SCHEMA = "root string, name string, path string, is_dir boolean, length bigint, modification_time timestamp, skipped string"
+CONTENT_SCHEMA = "path string, length bigint, modification_time timestamp, content binary, skipped string"
 
 # Bytes of content per task and per Arrow batch.
 TASK_BYTES = 128 * 1024 * 1024
@@ -36,19 +38,23 @@ def _lister() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
 
         schema = pa.schema([
             ("root", pa.string()), ("name", pa.string()), ("path", pa.string()), ("is_dir", pa.bool_()),
-            ("length", pa.int64()), ("modification_time", pa.timestamp("us", tz="UTC")),
+            ("length", pa.int64()), ("modification_time", pa.timestamp("us", tz="UTC")), ("skipped", pa.string()),
         ])
         for batch in batches:
             for root, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 system, top = fs.FileSystem.from_uri(root)
                 prefix = root.removesuffix(top) if root.endswith(top) else ""
+                folder = top if name is None else name
                 try:
-                    infos = system.get_file_info(fs.FileSelector(top if name is None else name))
-                except OSError:
+                    infos = system.get_file_info(fs.FileSelector(folder))
+                except (FileNotFoundError, PermissionError) as problem:
+                    # Anything else fails the task, which is then repeated.
+                    row = (root, folder, prefix + folder, False, 0, None, type(problem).__name__)
+                    yield pa.record_batch([pa.array([v], f.type) for v, f in zip(row, schema)], schema)
                     continue
                 local = isinstance(system, fs.LocalFileSystem)
                 rows = [
-                    (root, i.path, prefix + i.path, i.type == fs.FileType.Directory, max(i.size or 0, 0), i.mtime)
+                    (root, i.path, prefix + i.path, i.type == fs.FileType.Directory, max(i.size or 0, 0), i.mtime, None)
                     for i in infos
                     if i.type != fs.FileType.NotFound and not (local and os.path.islink(i.path))
                 ]
@@ -64,20 +70,21 @@ def _reader(batch_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
         schema = pa.schema([
             ("path", pa.string()), ("length", pa.int64()),
-            ("modification_time", pa.timestamp("us", tz="UTC")), ("content", pa.binary()),
+            ("modification_time", pa.timestamp("us", tz="UTC")), ("content", pa.binary()), ("skipped", pa.string()),
         ])
         for batch in batches:
             rows: list[tuple] = []
             size = 0
             for root, name, path, length, modified in zip(*[column.to_pylist() for column in batch.columns]):
+                data, skipped = None, None
                 try:
                     system, _ = fs.FileSystem.from_uri(root)
                     with system.open_input_stream(name) as stream:
                         data = stream.read()
-                except OSError:
-                    continue
-                rows.append((path, length, modified, data))
-                size += len(data)
+                    size += len(data)
+                except (FileNotFoundError, PermissionError) as problem:
+                    skipped = type(problem).__name__
+                rows.append((path, length, modified, data, skipped))
                 if size >= batch_bytes:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema)
                     rows, size = [], 0
@@ -90,12 +97,19 @@ def _reader(batch_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 def walk(
     spark: SparkSession, roots: Sequence[str], enter: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
-    """``root, name, path, length, modification_time`` of all files below the roots.
+    """``root, name, path, length, modification_time, skipped`` of all files below the roots.
 
     ``enter`` filters a table of directories (``path``) before they are
-    listed, which skips whole subtrees.  Links and unreadable directories are
-    skipped.  Each level is stored, so a lost executor repeats one level only.
+    listed, which skips whole subtrees.  Links are passed over.  A directory
+    that has vanished or must not be read is a row with the reason in
+    ``skipped``; any other failure fails the task, so no subtree is lost
+    unseen.  Each level is stored, so a lost executor repeats one level only.
     """
+    for root in roots:
+        try:
+            fs.FileSystem.from_uri(root)
+        except (pa.ArrowInvalid, OSError) as problem:
+            raise ValueError(f"{root} cannot be listed by tasks; use include_hidden=False") from problem
     most = spark.sparkContext.defaultParallelism * 4
     tops = [root.rstrip("/") or "/" for root in roots]
     frontier = spark.createDataFrame([(top, None, top) for top in tops], "root string, name string, path string")
@@ -115,7 +129,7 @@ def walk(
 
 
 def read_contents(listing: DataFrame) -> DataFrame:
-    """Add ``content`` to a listing; files that cannot be read are skipped.
+    """Add ``content`` to a listing, or the reason in ``skipped`` for files gone or not readable.
 
     Files are spread by path over as many tasks as their total size needs.
     """

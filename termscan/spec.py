@@ -38,6 +38,8 @@ class ScanSpec:
     dedupe: bool = True
     include_hidden: bool = True
     ignore_file_name: str = ".scanignore"
+    skip_dirs: Sequence[str] = ()  # further output directories
+    search: str = "each"  # or "layers", see operators/matching.py
 
     @classmethod
     def from_mapping(cls, raw: Mapping[str, object]) -> ScanSpec:
@@ -61,6 +63,7 @@ class ScanSpec:
             exclude_file_regex=blank_to_none(self.exclude_file_regex),
             prune_dir_regex=blank_to_none(self.prune_dir_regex),
             exclusion_patterns=list(self.exclusion_patterns),
+            skip_dirs=filled(self.skip_dirs),
             exclusion_files=[expand_env(p) for p in filled(self.exclusion_files)],
             planned_hints_regex=blank_to_none(self.planned_hints_regex),
             code_hints_regex=blank_to_none(self.code_hints_regex),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from termscan.functions import paths
 from termscan.functions.patterns import glob_regex, literal_alternatives, parse_rules, rule_runs, usable_pattern
 from termscan.operators import classify, dedupe, filters
-from termscan.plans.scan import file_buckets, hit_rows
+from termscan.plans.scan import file_buckets, hit_rows, scan_files
 from termscan.spec import ScanSpec, SpecError
 
 
@@ -111,7 +112,10 @@ def test_size_limit_is_inclusive(files_of):
 
 def test_output_directory_and_generated_files(files_of):
     files = paths_only(files_of, "/Out/a.md", "/outer/b.md", "/x/Summary.MD", "/x/wordmap_raw.csv", "/x/c.md")
-    assert kept(filters.skip_output_directory(files, "/out/")) == ["/x/Summary.MD", "/x/c.md", "/x/wordmap_raw.csv"]
+    left = ["/outer/b.md", "/x/Summary.MD", "/x/c.md", "/x/wordmap_raw.csv"]
+    assert kept(filters.skip_output_directory(files, "/out/")) == left
+    assert kept(filters.skip_output_directory(files, None, " ", "/out", "/X")) == left[:1]
+    assert kept(filters.skip_output_directory(paths_only(files_of, "C:\\o\\a", "C:\\o2\\a"), "c:\\O\\")) == ["C:\\o2\\a"]
     assert kept(filters.skip_generated(files)) == ["/Out/a.md", "/outer/b.md", "/x/c.md"]
 
 
@@ -188,15 +192,34 @@ def test_overlapping_roots(files_of):
     assert sorted(again.collect()) == sorted(once.collect())
 
 
-@pytest.mark.parametrize("bound", [0, 100])
-def test_distinct_files_by_path_in_any_case(files_of, monkeypatch, bound):
-    monkeypatch.setattr(dedupe, "BROADCAST_ROWS", bound)
-    files = files_of(("/a/X.md", "1"), ("/a/x.md", "2"), ("/b", "3"))
+def test_distinct_files_by_path_in_any_case(files_of):
+    files = files_of(("/a/X.md", "1"), ("/a/x.md", "2"), ("/b", "3"), ("/b", "3"), ("/b", "2"))
     assert kept(dedupe.distinct_files(files)) == ["/a/X.md", "/b"]
+    assert {r.path: r.text for r in dedupe.distinct_files(files).collect()}["/b"] == "2"
+
+
+def test_copies_of_a_file_count_once(files_of):
+    spec = ScanSpec(include_paths=["/r/"], extensions=["md"], anchor_terms=["iris", "b"])
+    exact = files_of(("/r/a.md", "iris iris b"), ("/r/a.md", "iris iris b"), ("/r/b.md", "iris"))
+    assert {r.term: r.total for r in scan_files(exact, spec).tiers.collect()} == {"iris": 3, "b": 1}
+    assert scan_files(exact, replace(spec, dedupe=False)).hits.count() == 5
+    differing = files_of(("/r/a.md", "iris iris b"), ("/r/A.md", "iris"), ("/r/a.md", "b b"), ("/r/c.md", "b"), ("/r/c.md", "none"))
+    rows = scan_files(differing, spec).hits.collect()
+    assert [(r.file, r.frequency) for r in rows if r.file != "/r/c.md"] == [("/r/A.md", 1)]
+    assert len([r for r in rows if r.file == "/r/c.md"]) <= 1
+
+
+def test_removing_copies_exchanges_no_text(files_of):
+    hits = scan_files(files_of(("/r/a.md", "iris")), ScanSpec(extensions=["md"], anchor_terms=["iris"])).hits
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Python" not in plan
+    formatted = hits._jdf.queryExecution().explainString(hits.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    exchanges = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", formatted)
+    assert exchanges and not any(re.search(r"\b(text|folded_text)#", columns) for columns in exchanges)
 
 
 def test_distinct_roots():
-    assert dedupe.distinct_roots(["/r/a/", "/r/", "/R", "/rb", "/r/a/b"]) == ["/r/", "/rb"]
+    assert dedupe.distinct_roots(["/r/a/", "/r/", "/R", "/rb", "/r/a/b", "/r"]) == ["/r/", "/R", "/rb"]
 
 
 def test_expand_env(monkeypatch):

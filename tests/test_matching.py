@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from termscan.functions.folding import case_variants, fold_string, folded
 from termscan.functions.text import line_context
-from termscan.operators import matching
+from termscan.operators import matching, ranking
 from termscan.operators.matching import Term, prefix_free_layers, vocabulary
 from termscan.plans.scan import hit_rows
 from termscan.spec import ScanSpec
 
 
-PLANS = [matching._search_each, matching._search_at_once, matching._search_layers]
+PLANS = [matching._search_each, matching._search_layers]
 
 
 def counts(files, terms, plan=None):
@@ -131,18 +131,31 @@ def test_line_context(spark, text, position, expected):
     assert table.select(line_context(F.col("t"), F.col("p"))).first()[0] == expected
 
 
-def test_large_vocabulary_is_split_into_blocks_without_changing_the_result(files_of, monkeypatch):
+def test_long_layers_are_cut_into_patterns_without_changing_the_result(files_of, monkeypatch):
     terms = [f"t{i}x" for i in range(300)] + ["t1", "t12", "T5X"]
     text = " ".join(f"T{i}x" for i in range(0, 300, 3))
     files = files_of(("/f", text), ("/g", "t12 only"))
     whole = counts(files, terms)
     for plan in PLANS:
         assert whole == counts(files, terms, plan)
-    monkeypatch.setattr(matching, "TERMS_PER_BLOCK", 50)
-    assert counts(files, terms) == whole
-    assert len(matching._blocks(vocabulary(terms))) == 7
-    monkeypatch.setattr(matching.automaton, "available", lambda: False)
-    assert counts(files, terms) == whole
+    monkeypatch.setattr(matching, "CHARS_PER_PATTERN", 100)
+    assert counts(files, terms, matching._search_layers) == whole
+    layers = prefix_free_layers([t.needle for t in vocabulary(terms)])
+    assert len(matching._patterns(layers[0])) > 7
+
+
+def test_one_rule_for_blank_and_equal_terms(spark):
+    terms = ["\t", " ", "\u2003", "Zeta", "zeta", "ſun", "Sun", "\x1f", "K", "\u212a"]
+    table = spark.createDataFrame(list(enumerate(terms)), "term_id int, term string")
+    assert [(t.term_id, t.term) for t in vocabulary(terms)] == sorted(map(tuple, matching.distinct_terms(table).collect()))
+
+
+def test_the_first_spelling_names_a_term(spark):
+    rows = [("zeta", 2, 1), ("ZETA", 1, 3), ("Zeta", 0, 1), ("b", 5, 1)]
+    hits = spark.createDataFrame([(t, i, n, "f", "c") for t, i, n in rows], "term string, term_id int, frequency int, file string, context string")
+    assert [(r.term, r.total) for r in ranking.term_tiers(hits).collect()] == [("Zeta", 5), ("b", 1)]
+    assert sorted(r.term for r in ranking.top_examples(hits).collect()) == ["Zeta", "b"]
+    assert ranking.term_tiers(hits.drop("term_id")).first().term == "ZETA"
 
 
 def test_hit_rows_have_the_full_schema_even_when_empty(files_of):

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import csv
 import os
+import re
 from dataclasses import replace
 from pathlib import Path
 
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from termscan.operators.reconcile import HIT_COLUMNS, row_differences
 from termscan.plans import scan
+from termscan.queries import QUERIES
 from termscan.sources import sinks, tables, trees, walk
 from termscan.spec import ScanSpec, SpecError
 
@@ -200,11 +203,66 @@ def test_intermediates_go_to_the_checkpoint_folder(spark):
     assert any(name.startswith("numbers-") for name in os.listdir(folder))
 
 
-def test_small_tables_are_spread_and_large_ones_are_not(spark, monkeypatch):
-    table = spark.range(10)
-    assert "Exchange" in tables.spread_if_small(table, "id")._jdf.queryExecution().executedPlan().toString()
-    monkeypatch.setattr(tables, "estimated_bytes", lambda df: 2**50)
-    assert tables.spread_if_small(table, "id") is table
+def test_tables_are_spread_only_when_asked(spark, small_dir):
+    def plan(query):
+        return QUERIES[query](spark, small_dir)._jdf.queryExecution().executedPlan().toString()
+
+    for query in ("term_hits", "path_regex_exclude", "ext_filter", "size_filter"):
+        assert "Exchange" not in plan(query)
+    spark.conf.set(tables.PARTITIONS_SETTING, "3")
+    try:
+        assert "Exchange hashpartitioning(path" in plan("term_hits")
+        frame = QUERIES["path_regex_exclude"](spark, small_dir)
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        exchanged = re.findall(r"Exchange\nInput \[\d+\]: \[([^\]]*)\]", frame._jdf.queryExecution().explainString(mode))
+        assert exchanged and not any("text" in columns for columns in exchanged)
+    finally:
+        spark.conf.unset(tables.PARTITIONS_SETTING)
+
+
+def test_large_vocabularies_stay_in_generated_code(spark, small_dir):
+    for query in ("large_vocabulary_tiers", "benchmark_vocabulary_tiers"):
+        plan = QUERIES[query](spark, small_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_roots_that_differ_in_case_are_both_read(spark, tmp_path):
+    for name in ("Docs", "docs/sub"):
+        (tmp_path / name).mkdir(parents=True)
+        (tmp_path / name / "a.md").write_text("iris")
+    found = trees.walk_tree(spark, [str(tmp_path / "Docs"), str(tmp_path / "docs/sub")])
+    assert relative(found.collect(), tmp_path) == ["Docs/a.md", "docs/sub/a.md"]
+
+
+def test_what_is_left_out_is_reported(spark, tree, monkeypatch):
+    spec = ScanSpec(include_paths=[tree, tree + "/nowhere"], extensions=["txt", "md"], anchor_terms=["iris"])
+    monkeypatch.setattr(trees, "MAX_VALUE_BYTES", 1_000_000)
+    skipped = {(os.path.relpath(r.path, tree), r.reason) for r in scan.scan(spark, spec).skipped.collect()}
+    assert skipped == {("nowhere", trees.MISSING_ROOT), ("big.md", trees.TOO_LONG)}
+    nothing = scan.scan(spark, replace(spec, include_paths=["/nowhere/at/all"]))
+    assert nothing.hits.count() == 0 and nothing.skipped.count() == 1
+
+
+def test_a_vanished_file_is_reported_and_another_failure_raises(spark, tree):
+    everything = trees.walk_everything(spark, [tree])
+    listing = everything.where("path like '%.txt'").drop("skipped")
+    os.remove(tree + "/proj/deep/c.txt")
+    assert [r.reason for r in trees.skipped_files(everything, listing).collect()] == ["FileNotFoundError"]
+    os.mkdir(tree + "/proj/deep/c.txt")  # opening it fails in another way
+    with pytest.raises(PythonException):
+        trees.read_listed(listing).collect()
+
+
+def test_unknown_file_systems_are_named_at_once(spark):
+    with pytest.raises(ValueError, match="include_hidden=False"):
+        walk.walk(spark, ["viewfs://store/a"])
+
+
+def test_one_directory_of_many_files(spark, tmp_path):
+    for i in range(3000):
+        (tmp_path / f"{i}.md").write_text("iris")
+    spec = ScanSpec(include_paths=[str(tmp_path)], extensions=["md"], anchor_terms=["iris"])
+    assert scan.scan(spark, spec).tiers.first().total == 3000
 
 
 def test_texts_as_files_counts_bytes(spark):
