@@ -20,6 +20,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+MOST_READERS = 10_000
+
 _shipped: set[str] = set()
 
 
@@ -66,6 +68,16 @@ def open_input(folder: str, name: str):
     return system.open_input_file(f"{top}/{name}")
 
 
+def spread_by_file(rows: DataFrame, file: str, *order: str) -> DataFrame:
+    """Rows that name a file, a task per file up to ``MOST_READERS``.
+
+    The rows are small and the files are not, so the number of tasks is given:
+    left to itself, adaptive execution would put all of them into one.
+    """
+    files = rows.select(file).distinct().count()
+    return rows.repartition(max(1, min(files, MOST_READERS)), file).sortWithinPartitions(file, *order)
+
+
 def numbered(df: DataFrame, group: list[str], order: list[str], weight: Column | None = None, name: str = "ranked") -> DataFrame:
     """Add ``rank``: rows of the same group before this one, by ``order``, from 0.
 

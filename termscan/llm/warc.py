@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termscan.llm.storage import open_input, shared_path, stored, write_atomically
+from termscan.llm.storage import open_input, shared_path, spread_by_file, stored, write_atomically
 
 MANIFEST_SCHEMA = "folder string, file string, records long, bytes long"
 RECORD_SCHEMA = "record_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -211,5 +211,5 @@ def _reader(batch_bytes: int):
 
 def read_archives(manifest: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
     """The records of the files that the manifest names, spread by file."""
-    spread = manifest.repartition("file").select("folder", "file")
+    spread = spread_by_file(manifest.select("folder", "file"), "file")
     return spread.mapInArrow(_reader(batch_bytes), RECORD_SCHEMA)
