@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termscan.llm.storage import open_input, shared_path, write_atomically
+from termscan.llm.storage import open_input, shared_path, spread_by_file, write_atomically
 from termscan.llm.tokens import encoder, narrowed, widened
 
 INDEX_SCHEMA = "folder string, file string, part int, row long, position long, bytes long, doc_id long, n_tokens long"
@@ -163,6 +163,6 @@ def _reader(batch_bytes: int):
 
 
 def read_records(index: DataFrame, batch_bytes: int = PACK_BYTES) -> DataFrame:
-    """``file, row, doc_id, ids`` (32 bits each) of the index rows given, in the order they come."""
-    wanted = index.select("folder", "file", "row", "position", "bytes")
+    """``file, row, doc_id, ids`` (32 bits each) of the index rows given, a task per file."""
+    wanted = spread_by_file(index.select("folder", "file", "row", "position", "bytes"), "file", "position")
     return wanted.mapInArrow(_reader(batch_bytes), READ_SCHEMA)
