@@ -11,9 +11,20 @@ TOP_TERMS = 15
 LARGEST_FILES = 10
 
 
-def bucket_distribution(hits: DataFrame) -> DataFrame:
+def _counted(hits: DataFrame, column: str, any_case: bool) -> DataFrame:
+    """Hit rows per value; with ``any_case`` values that differ in case only are one, the smallest naming it.
+
+    Exact values are counted first, so the folding sees few rows.
+    """
+    counts = hits.groupBy(column).agg(F.count("*").alias("items"))
+    if not any_case:
+        return counts
+    return counts.groupBy(F.lower(column).alias("_key")).agg(F.min(column).alias(column), F.sum("items").alias("items")).drop("_key")
+
+
+def bucket_distribution(hits: DataFrame, any_case: bool = False) -> DataFrame:
     """Hit rows per bucket."""
-    return hits.groupBy("bucket").agg(F.count("*").alias("items")).orderBy(F.desc("items"), "bucket")
+    return _counted(hits, "bucket", any_case).orderBy(F.desc("items"), "bucket")
 
 
 def tier_distribution(tiers: DataFrame) -> DataFrame:
@@ -21,13 +32,13 @@ def tier_distribution(tiers: DataFrame) -> DataFrame:
     return tiers.groupBy("tier").agg(F.count("*").alias("terms")).orderBy(F.desc("terms"), "tier")
 
 
-def repo_counts(hits: DataFrame) -> DataFrame:
+def repo_counts(hits: DataFrame, any_case: bool = False) -> DataFrame:
     """Hit rows (not summed frequencies) per repository."""
-    return hits.groupBy("repo").agg(F.count("*").alias("items"))
+    return _counted(hits, "repo", any_case)
 
 
-def top_repos(hits: DataFrame, limit: int = TOP_REPOS) -> DataFrame:
-    return repo_counts(hits).orderBy(F.desc("items"), "repo").limit(limit)
+def top_repos(hits: DataFrame, limit: int = TOP_REPOS, any_case: bool = False) -> DataFrame:
+    return repo_counts(hits, any_case).orderBy(F.desc("items"), "repo").limit(limit)
 
 
 def top_terms(tiers: DataFrame, limit: int = TOP_TERMS) -> DataFrame:

@@ -128,9 +128,9 @@ def result_of(hits: DataFrame, spec: ScanSpec) -> ScanResult:
         hits,
         tiers,
         Summaries(
-            summaries.bucket_distribution(hits),
+            summaries.bucket_distribution(hits, spec.any_case_groups),
             summaries.tier_distribution(tiers),
-            summaries.top_repos(hits),
+            summaries.top_repos(hits, any_case=spec.any_case_groups),
             summaries.top_terms(tiers),
         ),
     )

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,7 +151,8 @@ def rule_lines(
 ) -> list[str]:
     """Ignore lines in effect order: configured, listed files, one file per root.
 
-    Rule files are configuration of a few lines; missing ones are skipped.
+    Rule files are configuration of a few lines.  Missing ones are skipped, and
+    so are, with a warning, those that cannot be read.
     """
     lines = list(patterns)
     per_root = [root.rstrip("/\\") + "/" + ignore_file_name for root in roots]
@@ -158,13 +161,18 @@ def rule_lines(
     for name in [*map(expand_env, rule_files), *per_root]:
         path = jvm.org.apache.hadoop.fs.Path(name)
         system = path.getFileSystem(conf)
-        if system.exists(path):
+        if not system.exists(path):
+            continue
+        try:
             stream = system.open(path)
             try:
                 content = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
             finally:
                 stream.close()
-            lines += content.removeprefix("\ufeff").splitlines()
+        except Py4JJavaError as problem:
+            warnings.warn(f"rule file {name} is not used: {problem.java_exception}", stacklevel=2)
+            continue
+        lines += content.removeprefix("\ufeff").splitlines()
     return lines
 
 

@@ -39,6 +39,7 @@ class ScanSpec:
     include_hidden: bool = True
     ignore_file_name: str = ".scanignore"
     skip_dirs: Sequence[str] = ()  # further output directories
+    any_case_groups: bool = False  # count buckets and repositories that differ in case as one
     search: str = "each"  # or "layers", see operators/matching.py
 
     @classmethod

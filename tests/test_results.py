@@ -65,6 +65,13 @@ def test_top_lists_and_distributions(table):
     assert tuple(summaries.scan_counts(files, hits).first()) == (40, 40, 40)
 
 
+def test_groups_in_any_case(spark):
+    hits = spark.createDataFrame([("Repo", "Code"), ("repo", "code"), ("x", "CODE"), ("x", "Code")], "repo string, bucket string")
+    assert [tuple(r) for r in summaries.bucket_distribution(hits, any_case=True).collect()] == [("CODE", 4)]
+    assert [tuple(r) for r in summaries.top_repos(hits, any_case=True).collect()] == [("Repo", 2), ("x", 2)]
+    assert summaries.top_repos(hits).count() == 3
+
+
 def test_word_map_escapes_pipes(table):
     lines = [r.line for r in reports.word_map_lines(table(hit("a|b", context="x|y"))).collect()]
     assert lines[4:] == ["| a|b | Crest | 1 | x\\|y |"]

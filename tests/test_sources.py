@@ -83,6 +83,12 @@ def test_rule_lines_keep_their_order(spark, tree, tmp_path):
     assert lines == ["first", "second", "#c", "third", "# rules of this root", "**/bin/**", "!**/keep.md"]
 
 
+def test_an_unreadable_rule_file_is_passed_over_with_a_warning(spark, tree, tmp_path):
+    (tmp_path / "folder.ignore").mkdir()
+    with pytest.warns(UserWarning, match="folder.ignore"):
+        assert trees.rule_lines(spark, ["first"], [str(tmp_path / "folder.ignore")], []) == ["first"]
+
+
 def test_a_walk_finds_hidden_names_and_skips_pruned_directories(spark, tree):
     root = Path(tree)
     (root / "pkg").mkdir()
