@@ -21,6 +21,10 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 WORD_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 WINDOW_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
+# What this process remembers for other kinds of work; let go when texts are cut
+# into words, so that a worker that goes on to another stage starts small.
+memories: list[dict] = []
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -110,6 +114,8 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
 
 def text_chunks(column: pa.Array, space: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     """The same for words between the bytes that the table ``space`` marks."""
+    for memory in memories:
+        memory.clear()
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if array.null_count:
         array = array.fill_null("")

@@ -20,6 +20,8 @@ from collections.abc import Iterable
 import numpy as np
 import regex
 
+from termscan.llm import texts
+
 # Most remembered pieces and pretokens of a process; then it starts anew.
 REMEMBERED = 800_000
 
@@ -95,6 +97,7 @@ class Encoder:
         self.letters = _byte_letters()
         self.pieces: dict[str, bytes] = {}
         self.pretokens: dict[str, bytes] = {}
+        texts.memories += [self.pieces, self.pretokens]
 
     def _pretoken(self, text: str) -> bytes:
         if text.isascii() and text.isalpha():
@@ -132,7 +135,8 @@ class Encoder:
 
     def _remember(self, pieces: list[str]) -> None:
         if len(self.pieces) + len(self.pretokens) > REMEMBERED:
-            self.pieces, self.pretokens = {}, {}
+            self.pieces.clear()
+            self.pretokens.clear()
         collecting = gc.isenabled()
         gc.disable()  # nothing here is cyclic; the collector would take half of the time
         for piece in pieces:
