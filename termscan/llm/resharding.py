@@ -1,14 +1,17 @@
 """Resharding by minimum-cost flow.
 
 Rows lie in blocks by the hash of their text, so equal texts stay together,
-and whole blocks lie in shards.  From the bytes of the old shards and the
+and whole blocks lie in shards.  Equal texts that weigh more than an average
+block together are dealt over all blocks, by their id and, where equal rows
+alone weigh more than that, by number: no block is heavy for its copies.  From the bytes of the old shards and the
 capacities of the new ones a minimum-cost flow gives how much each old shard
 hands to each new one when the fewest bytes move.  Blocks, largest first, then
 follow the flow, and single blocks are shifted or swapped until no such step
 evens the shards further.  Only the files of blocks that move are read and
 written anew; all others stay as they are.
 
-What reaches the driver is one row per block, whose number is a parameter.
+What reaches the driver is one row per block, whose number is a parameter, and
+the hashes of what is dealt, fewer than two per block.
 
 Defined cases: a null text has no bytes and lies in the block of the empty
 one; null and equal ids and repeated rows are rows like others; an empty table
@@ -159,6 +162,45 @@ class Layout:
         return rows.join(F.broadcast(shards), F.col("block") == F.col("_block")).drop("_block")
 
 
+def heavy_groups(rows: DataFrame, share: int) -> tuple[list[int], list[int]]:
+    """Hashes of equal texts, and of equal rows, that weigh more than ``share`` together and are more than one."""
+    hashed = rows.select(_text_hash().alias("h"), _row_hash().alias("p"), row_bytes(F.col("text")).alias("bytes"))
+    sums = hashed.groupingSets([["h"], ["h", "p"]], "h", "p").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
+    found = sums.where((F.col("bytes") > share) & (F.col("n") > 1)).collect()
+    return sorted(r["h"] for r in found if r["p"] is None), sorted(r["p"] for r in found if r["p"] is not None)
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _row_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")), "doc_id")
+
+
+def in_blocks(rows: DataFrame, blocks: int) -> DataFrame:
+    """``doc_id, text`` with the block of each row."""
+    total = rows.agg(F.sum(row_bytes(F.col("text")))).first()[0] or 0
+    texts, same = heavy_groups(rows, total // blocks)
+    key = F.when(_text_hash().isin(texts), _row_hash()).otherwise(_text_hash()) if texts else _text_hash()
+    block = F.pmod(key, F.lit(blocks)).cast("int").alias("block")
+    if not same:
+        return rows.select("doc_id", "text", block)
+    alike = _row_hash().isin(same)
+    return rows.where(~alike).select("doc_id", "text", block).unionByName(_dealt(rows.where(alike), blocks))
+
+
+def _dealt(rows: DataFrame, blocks: int) -> DataFrame:
+    """Equal rows, counted and dealt evenly over all blocks; a repeated task deals them alike."""
+    counted = rows.groupBy("doc_id", "text").agg(F.count("*").alias("n"))
+    turns = counted.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.least("n", F.lit(blocks)) - 1)).alias("i"))
+    block = F.pmod(F.pmod(_row_hash(), F.lit(blocks)) + F.col("i"), F.lit(blocks)).cast("int")
+    copies = F.expr(f"n div {blocks}") + (F.col("i") < F.col("n") % blocks).cast("long")
+    # The number of tasks is given: few rows come in, but any number of copies goes out.
+    spread = turns.select("doc_id", "text", block.alias("block"), copies.alias("copies")).repartition(blocks, "block")
+    return spread.select("doc_id", "text", "block", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("col")
+
+
 def write_layout(documents: DataFrame, shards: int, blocks: int = BLOCKS, folder: str | None = None) -> tuple[Layout, dict[int, int]]:
     """Write rows by block, block b in shard b mod ``shards``; returns the layout and the blocks' bytes.
 
@@ -166,10 +208,8 @@ def write_layout(documents: DataFrame, shards: int, blocks: int = BLOCKS, folder
     """
     spark = documents.sparkSession
     folder = folder or shared_path(spark, "layout")
-    text = F.col("text").cast("string")
-    block = F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(blocks)).cast("int")
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), block.alias("block"))
-    rows.hint("rebalance", "block").write.partitionBy("block").option("compression", "zstd").parquet(folder)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    in_blocks(rows, blocks).hint("rebalance", "block").write.partitionBy("block").option("compression", "zstd").parquet(folder)
     stored = spark.read.schema(ROW_SCHEMA).parquet(folder)
     found = stored.groupBy("block").agg(F.sum(row_bytes(F.col("text"))).alias("bytes")).collect()
     sizes = {row["block"]: row["bytes"] for row in found}

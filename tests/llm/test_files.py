@@ -135,6 +135,19 @@ def test_only_files_of_moved_blocks_are_written(spark, odd_documents, odd_texts,
     assert resharding.reshard(spark, empty, none, 3).read(spark).count() == 0
 
 
+@pytest.mark.parametrize("same_id", [False, True])
+def test_shards_are_even_with_a_third_of_the_rows_equal(spark, same_id):
+    rng = random.Random(6)
+    texts = [(i, " ".join(rng.choices("abcdefgh", k=300))) for i in range(2400)]
+    copies = [(7 if same_id else 9000 + i, "copied " * 85) for i in range(1200)]
+    table = spark.createDataFrame(texts + copies, "doc_id long, text string").repartition(4)
+    layout, sizes = resharding.write_layout(table, 5)
+    rows = resharding.reshard(spark, layout, sizes, 8).read(spark).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in rows) == sorted(texts + copies)
+    load = [sum(len(r["text"]) + 1 for r in rows if r["shard"] == j) for j in range(8)]
+    assert min(load) > 0.97 * max(load), load
+
+
 def test_slots_are_gapless(spark, small_dir):
     rows = op7_flow_resharding(spark, small_dir).collect()
     for shard in range(8):
