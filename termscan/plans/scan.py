@@ -160,7 +160,9 @@ def scan(spark: SparkSession, spec: ScanSpec) -> ScanResult:
         return replace(result_of(hit_rows(files, plain), spec), skipped=trees.skipped_files(everything, kept))
     listing = trees.read_tree(spark, spec.include_paths, spec.extensions, spec.dedupe)
     files = filters.max_megabytes(select_files(listing, spec, plain.include_paths), spec.max_file_mb)
-    return result_of(hit_rows(files, plain), spec)
+    everything = trees.list_tree(spark, spec.include_paths, spec.extensions, spec.dedupe).drop("content")
+    kept = filters.max_megabytes(select_files(everything, spec, plain.include_paths), spec.max_file_mb)
+    return replace(result_of(hit_rows(files, plain), spec), skipped=trees.left_out(spark, spec.include_paths, kept))
 
 
 def stored_scan(result: ScanResult, spec: ScanSpec, path: str | None = None) -> ScanResult:

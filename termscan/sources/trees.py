@@ -26,7 +26,7 @@ MISSING_ROOT, TOO_LONG = "missing root", "too long for one value"
 
 
 def existing_roots(spark: SparkSession, roots: Iterable[str]) -> list[str]:
-    """Expanded roots that exist; missing ones are skipped silently."""
+    """Expanded roots that exist; see :func:`missing_roots` for the others."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
 
     def exists(root: str) -> bool:
@@ -36,6 +36,11 @@ def existing_roots(spark: SparkSession, roots: Iterable[str]) -> list[str]:
     return [root for root in map(expand_env, roots) if not is_blank(root) and exists(root)]
 
 
+def missing_roots(roots: Iterable[str], found: Sequence[str]) -> list[str]:
+    """Expanded roots that are not among those found."""
+    return [root for root in map(expand_env, roots) if not is_blank(root) and root not in found]
+
+
 def _any_case_glob(extensions: Sequence[str]) -> str:
     """``*.{[mM][dD],...}``: the extension list as a listing filter."""
     def letters(name: str) -> str:
@@ -86,12 +91,21 @@ def read_tree(
     """Files with decoded ``text``.
 
     A file too long for one value is unreadable like any other and is skipped;
-    the predicate reaches the source, so it is not opened.
+    the predicate reaches the source, so it is not opened.  See
+    :func:`left_out` for these.
     """
     listed = list_tree(spark, roots, extensions, dedupe)
     return with_text(listed.where(F.col("length") <= MAX_VALUE_BYTES))
 
 
+def left_out(spark: SparkSession, roots: Sequence[str], listing: DataFrame) -> DataFrame:
+    """``path, reason`` of missing roots and of files of a (filtered) listing that are too long; none is opened."""
+    missing = missing_roots(roots, existing_roots(spark, roots))
+    table = spark.createDataFrame([(root, MISSING_ROOT) for root in missing], "path string, reason string")
+    long = listing.where(F.col("length") > MAX_VALUE_BYTES).select("path", F.lit(TOO_LONG).alias("reason"))
+    return table.withColumn("path", without_scheme(F.col("path"))).unionByName(long)
+
+
 def walk_everything(
     spark: SparkSession, roots: Sequence[str], prune_dir_regex: str | None = None, dedupe: bool = True
 ) -> DataFrame:
@@ -107,7 +121,7 @@ def walk_everything(
         return directories.where(~F.rlike(without_scheme(F.col("path")), F.lit(ignore_case(prune_dir_regex))))
 
     found = existing_roots(spark, roots)
-    missing = [root for root in map(expand_env, roots) if not is_blank(root) and root not in found]
+    missing = missing_roots(roots, found)
     schema = "root string, name string, path string, length bigint, modification_time timestamp, skipped string"
     listed = spark.createDataFrame([(root, None, root, 0, None, MISSING_ROOT) for root in missing], schema)
     groups = [distinct_roots(found)] if dedupe else [[root] for root in found]

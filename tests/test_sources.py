@@ -274,3 +274,10 @@ def test_one_directory_of_many_files(spark, tmp_path):
 def test_texts_as_files_counts_bytes(spark):
     table = spark.createDataFrame([("a", "né")], "p string, t string")
     assert tables.texts_as_files(table, F.col("p"), F.col("t")).first().length == 3
+
+
+def test_what_is_left_out_is_reported_without_hidden_names(spark, tree, monkeypatch):
+    spec = ScanSpec(include_paths=[tree, tree + "/nowhere"], extensions=["txt", "md"], anchor_terms=["iris"], include_hidden=False)
+    monkeypatch.setattr(trees, "MAX_VALUE_BYTES", 1_000_000)
+    skipped = {(os.path.relpath(r.path, tree), r.reason) for r in scan.scan(spark, spec).skipped.collect()}
+    assert skipped == {("nowhere", trees.MISSING_ROOT), ("big.md", trees.TOO_LONG)}
