@@ -30,13 +30,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: that with the smallest doc_id, once."""
+    """One document of each class stays: that with the smallest doc_id and then text key, once."""
     ship_package(spark)
-    found = neardup.near_duplicates(docs)
-    keepers = found.where("id = keeper_id").select(F.col("id").alias("_keeper")).distinct()
+    found = neardup.with_keepers(docs)
+    keepers = found.where("is_keeper").select(F.col("id").alias("_keeper"), F.col("text_key").alias("_keeper_text")).distinct()
     text = F.col("text").cast("string")
     keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("_id"), F.xxhash64(text).alias("_text"))
-    kept = keyed.join(keepers, F.col("_id") == F.col("_keeper"), "left_semi")
+    kept = keyed.join(keepers, (F.col("_id") == F.col("_keeper")) & (F.col("_text") == F.col("_keeper_text")), "left_semi")
     copy = Window.partitionBy("_id", "_text").orderBy(*[F.xxhash64(c) for c in docs.columns if c not in ("doc_id", "text")], F.lit(0))
     return kept.withColumn("_copy", F.row_number().over(copy)).where("_copy = 1").select(*docs.columns)
 

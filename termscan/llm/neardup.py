@@ -49,7 +49,7 @@ CELL_DOCUMENTS = 128
 CELL_SHINGLES = 200_000
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 
-SKETCH_SCHEMA = "doc_id long, id long, k1 long, k2 long, n_shingles int, sig binary"
+SKETCH_SCHEMA = "doc_id long, id long, k1 long, k2 long, n_shingles int, sig binary, text_key long"
 
 
 def shingle_sets(chunk: Chunk, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,8 +97,8 @@ def _sketcher(size: int):
                 rows = batch.slice(chunk.first, len(chunk))
                 packed = pa.array([row.tobytes() for row in sig], pa.binary())
                 yield pa.record_batch(
-                    [rows.column(0), rows.column(1), pa.array(k1), pa.array(k2), pa.array(np.diff(bounds).astype(np.int32)), packed],
-                    names=["doc_id", "id", "k1", "k2", "n_shingles", "sig"],
+                    [rows.column(0), rows.column(1), pa.array(k1), pa.array(k2), pa.array(np.diff(bounds).astype(np.int32)), packed, rows.column(3)],
+                    names=["doc_id", "id", "k1", "k2", "n_shingles", "sig", "text_key"],
                 )
 
     return sketch
@@ -335,12 +335,24 @@ def near_duplicates(
     null id a hash of the text; ``keeper_id`` is the id of the document that
     stands for the class.
     """
+    return with_keepers(documents, shingle, threshold, tolerance).drop("text_key", "is_keeper")
+
+
+def with_keepers(
+    documents: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRESHOLD, tolerance: float = TOLERANCE
+) -> DataFrame:
+    """The same with ``text_key``, a hash of the text, and ``is_keeper``.
+
+    The keeper of a class is the document with the smallest (id, text_key),
+    those with a doc_id before those without; rows that repeat it are keepers too.
+    """
     text = F.col("text").cast("string")
     doc_id = F.col("doc_id").cast("long")
-    table = documents.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64(text)).alias("id"), text.alias("text"))
+    table = documents.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64(text)).alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     sketched = stored(table.mapInArrow(_sketcher(shingle), SKETCH_SCHEMA), "sketches")
     merged = sketched.groupBy("k1", "k2").agg(
         F.count("*").alias("copies"), F.min("doc_id").alias("least_doc"), F.min("id").alias("id"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "id", "text_key")).alias("first"),
         F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"),
     )
     nodes = stored(merged.withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -349,20 +361,21 @@ def near_duplicates(
     roots = components(links.select("u", "v")).select(F.col("node").alias("_node"), "root")
     counts = links.groupBy(F.col("u").alias("_u")).agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     labelled = nodes.drop("sig").join(roots, F.col("node") == F.col("_node"), "left").join(counts, F.col("node") == F.col("_u"), "left")
-    labelled = labelled.select("k1", "k2", "copies", "least_doc", "id", F.coalesce("root", "node").alias("root"), "texts", "docs")
+    labelled = labelled.select("k1", "k2", "copies", "least_doc", "first", F.coalesce("root", "node").alias("root"), "texts", "docs")
     least = labelled.groupBy(F.col("root").alias("_root")).agg(
-        F.min("least_doc").alias("class_id"), F.coalesce(F.min("least_doc"), F.min("id")).alias("keeper_id")
+        F.min("least_doc").alias("class_id"), F.min("first").alias("keeper")
     )
     labelled = labelled.join(least, F.col("root") == F.col("_root")).select(
-        F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "class_id", "keeper_id",
+        F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "class_id", "keeper",
         (F.col("copies") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links"),
     )
     joined = sketched.drop("sig").join(labelled, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
     none = F.col("n_shingles") == 0
     return joined.select(
         "doc_id", "id", F.when(none, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(none, F.col("id")).otherwise(F.col("keeper_id")).alias("keeper_id"),
+        F.when(none, F.col("id")).otherwise(F.col("keeper.id")).alias("keeper_id"),
         F.when(none, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"),
         F.when(none, 0).otherwise(F.col("n_text_links")).cast("long").alias("n_text_links"),
-        F.col("n_shingles").cast("long").alias("n_shingles"),
+        F.col("n_shingles").cast("long").alias("n_shingles"), "text_key",
+        (none | (F.struct(F.col("doc_id").isNull().alias("unnamed"), "id", "text_key") == F.col("keeper"))).alias("is_keeper"),
     )

@@ -106,3 +106,16 @@ def test_repeated_and_empty_rows(spark, small_dir, no_documents):
     )
     for name, stage in pipeline.STAGES:
         assert stage(spark, docs.limit(0), small_dir).count() == 0, name
+
+
+def test_one_document_stays_where_ids_repeat(spark, small_dir):
+    words = [f"w{i}" for i in range(100)]
+    near = " ".join([*words[:99], "x"])
+    other = " ".join(f"v{i}" for i in range(100))
+    schema = spark.read.parquet(f"{small_dir}/documents.parquet").schema
+    def stay(*pairs):
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in pairs], schema)
+        return sorted((r["doc_id"], r["text"]) for r in pipeline.near_duplicates(spark, docs, small_dir).collect())
+
+    assert stay((3, " ".join(words)), (5, near), (5, other)) == [(3, " ".join(words)), (5, other)]
+    assert len(stay((5, " ".join(words)), (5, near), (5, "  ".join(words)))) == 1
