@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termscan.llm.storage import stored
 from termscan.llm.texts import WINDOW_BASES, WORD_BASES, span_hashes, text_chunks, window_hashes
 
 SEED = 5
@@ -188,20 +189,19 @@ def leaks(
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
-def _dropper(shared: list, names: list[str], percent: int):
+def _dropper(shared, names: list[str], percent: int):
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds: Seeds = shared.value
         at = names.index("text")
         for batch in batches:
             for chunk in text_chunks(batch.column(at), _GAP):
                 hashes = span_hashes(_LOWER[chunk.data], chunk.starts, chunk.ends, WORD_BASES[0])
                 keep = np.ones(len(chunk), bool)
-                for block in shared:
-                    seeds: Seeds = block.value
-                    for text, items in seeds.candidates(hashes, chunk.word_bounds).items():
-                        document = hashes[chunk.word_bounds[text] : chunk.word_bounds[text + 1]]
-                        for item in items:
-                            if keep[text] and 100 * seeds.matches(document, item)[0] >= percent * len(seeds.words[item]):
-                                keep[text] = False
+                for text, items in seeds.candidates(hashes, chunk.word_bounds).items():
+                    document = hashes[chunk.word_bounds[text] : chunk.word_bounds[text + 1]]
+                    for item in items:
+                        if keep[text] and 100 * seeds.matches(document, item)[0] >= percent * len(seeds.words[item]):
+                            keep[text] = False
                 yield batch.take(pa.array(chunk.first + np.flatnonzero(keep)))
 
     return drop
@@ -210,7 +210,17 @@ def _dropper(shared: list, names: list[str], percent: int):
 def without_leaks(
     documents: DataFrame, benchmark: DataFrame, least: int = SEED, percent: int = COVERED_PERCENT, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
-    """The documents that hold no item, with all their columns; nothing is shuffled."""
+    """The documents that hold no item, with all their columns; nothing is shuffled.
+
+    A block is a pass; between passes the kept rows are stored, so that a task
+    holds one block at a time.
+    """
     spark = documents.sparkSession
-    shared = [spark.sparkContext.broadcast(Seeds(items, least)) for items in benchmark_blocks(benchmark, block_bytes)]
-    return documents.mapInArrow(_dropper(shared, documents.columns, percent), documents.schema)
+    kept, shared = documents, None
+    for items in benchmark_blocks(benchmark, block_bytes):
+        if shared is not None:
+            kept = stored(kept, "clean")
+            shared.unpersist()
+        shared = spark.sparkContext.broadcast(Seeds(items, least))
+        kept = kept.mapInArrow(_dropper(shared, documents.columns, percent), documents.schema)
+    return kept
