@@ -1,8 +1,9 @@
 """Quality rules: boosted trees over document statistics.
 
 ``train_quality`` fits on a sample of labelled documents, bounded by
-``SAMPLE_ROWS``: the labels with the smallest hash of their id.  Only these
-rows' features reach the driver.  ``judge`` scores every document where it is
+``SAMPLE_ROWS``: the labels with the smallest hash of their id.  Of documents
+that share an id the one with the smallest hash of its text stands for all, so
+that no more rows of features reach the driver.  ``judge`` scores every document where it is
 read, with the forest as flat arrays.
 
 Defined cases: labels without an id or value are left out; without labels of
@@ -33,10 +34,12 @@ CUT = 0.0
 
 def labelled_features(documents: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Features and 0/1 labels of the sample."""
-    known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")).dropna()
+    known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")).dropna().distinct()
     sample = known.orderBy(F.xxhash64("_id"), "_id", "_label").limit(rows)
-    chosen = documents.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
-    found = document_statistics(chosen, ["doc_id", "_label"]).select("doc_id", "_label", "features").collect()
+    chosen = documents.select("doc_id", "text", F.xxhash64(F.col("text").cast("string")).alias("_hash")).join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+    measured = document_statistics(chosen, ["doc_id", "_label", "_hash"])
+    first = measured.groupBy("doc_id", "_label").agg(F.min(F.struct("_hash", "features")).alias("first"))
+    found = first.select("doc_id", "_label", "first.features").collect()
     found.sort(key=lambda row: (row["doc_id"], row["_label"], row["features"]))
     x = np.array([row["features"] for row in found], float).reshape(len(found), len(RATIOS))
     return x, np.array([row["_label"] for row in found], float)

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from termscan.llm import boosting, features, hmm, quality, tiling
 
@@ -169,3 +170,13 @@ def test_reordered_passages_are_leaks(spark, no_documents):
     assert tiling.leaks(documents, items.limit(0)).count() == 0
     assert tiling.leaks(no_documents, items).count() == 0
     assert tiling.without_leaks(no_documents, items).count() == 0
+
+
+def test_sample_is_bounded_with_repeated_ids(spark):
+    rows = [(7, f"text {i} of many") for i in range(300)] + [(i, f"single {i}") for i in range(100, 110)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(7, 1)] * 5 + [(i, i % 2) for i in range(100, 110)], "doc_id long, quality int")
+    x, y = quality.labelled_features(documents, labels)
+    assert x.shape[0] == len(y) == 11
+    again, _ = quality.labelled_features(documents.orderBy(F.desc("text")), labels)
+    assert (x == again).all()
