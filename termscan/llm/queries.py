@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termscan.llm import attribution, hmm, neardup, packing, quality, records, resharding, substrings, tiling, warc
+from termscan.llm import attribution, hmm, neardup, negatives, packing, quality, records, resharding, secrets, substrings, tiling, warc, whitening
 from termscan.llm.storage import numbered, ship_package
 from termscan.llm.tokens import tokenizer_path
 
@@ -98,6 +98,23 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of the base patterns and of values that are costly to guess, for every document."""
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 32 largest principal components, scaled to unit variance."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; some labels are shifted first."""
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", shifted.alias("label"), F.col("embedding").alias("vector"))
+    return negatives.hard_negatives(rows)
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_jaccard_join": op2_jaccard_join,
@@ -109,6 +126,9 @@ QUERIES: dict[str, Query] = {
     "op8_benchmark_leaks": op8_benchmark_leaks,
     "op9_section_tokens": op9_section_tokens,
     "op10_warc_archives": op10_warc_archives,
+    "op11_secret_scan": op11_secret_scan,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE: dict[str, str] = {
@@ -151,4 +171,20 @@ ORACLE: dict[str, str] = {
                CASE WHEN g.response IS NULL OR g.response = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN g.response <> page_id THEN g.response END AS refers_to
         FROM p LEFT JOIN g ON p.digest = g.digest AND p.n >= 1000""",
+    "op13_hard_negatives": """
+        WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+                   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+                   AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+                     list_dot_product(a.v, b.v)::BIGINT AS score
+              FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score,
+                     row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same),
+        n AS (SELECT p.anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+                     row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+              FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND place <= 5
+                   AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+        SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
+        FROM n WHERE rank <= 10""",
 }

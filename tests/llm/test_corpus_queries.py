@@ -17,7 +17,7 @@ duckdb = pytest.importorskip("duckdb")
 @pytest.fixture(scope="module")
 def connection(small_dir):
     connection = duckdb.connect()
-    for name in ("documents", "pages"):
+    for name in ("documents", "pages", "embeddings"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{small_dir}/{name}.parquet')")
     return connection
 
