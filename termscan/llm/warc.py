@@ -149,20 +149,21 @@ def write_archives(
 
 
 def parse_members(stream, step: int = 1 << 20) -> Iterator[bytes]:
-    """The uncompressed gzip members of a stream, one at a time."""
+    """The uncompressed gzip members of a stream, one at a time; a member that does not end raises ValueError."""
     data = b""
-    unpacker, parts = zlib.decompressobj(31), []
+    unpacker, parts, begun = zlib.decompressobj(31), [], False
     while True:
         if not data:
             data = stream.read(step)
             if not data:
                 break
+        begun = True
         parts.append(unpacker.decompress(data))
         data = unpacker.unused_data if unpacker.eof else b""
         if unpacker.eof:
             yield b"".join(parts)
-            unpacker, parts = zlib.decompressobj(31), []
-    if any(parts):
+            unpacker, parts, begun = zlib.decompressobj(31), [], False
+    if begun:
         raise ValueError("truncated archive")
 
 
@@ -195,14 +196,19 @@ def _reader(batch_bytes: int):
         ])
         for batch in batches:
             for entry in batch.to_pylist():
-                rows, size = [], 0
+                rows, size, found = [], 0, 0
                 with open_input(entry["folder"], entry["file"]) as stream:
+                    if stream.size() != entry["bytes"]:
+                        raise ValueError(f"{entry['file']} holds {stream.size()} bytes, its manifest says {entry['bytes']}")
                     for member in parse_members(stream):
                         rows.append(decode_record(member))
+                        found += 1
                         size += len(member)
                         if size >= batch_bytes:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, size = [], 0
+                if found != entry["records"]:
+                    raise ValueError(f"{entry['file']} holds {found} records, its manifest says {entry['records']}")
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -210,6 +216,9 @@ def _reader(batch_bytes: int):
 
 
 def read_archives(manifest: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
-    """The records of the files that the manifest names, spread by file."""
-    spread = spread_by_file(manifest.select("folder", "file"), "file")
+    """The records of the files that the manifest names, spread by file.
+
+    A file whose size or number of records differs from the manifest raises.
+    """
+    spread = spread_by_file(manifest.select("folder", "file", "records", "bytes"), "file")
     return spread.mapInArrow(_reader(batch_bytes), RECORD_SCHEMA)
