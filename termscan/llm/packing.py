@@ -2,10 +2,11 @@
 
 Every document is cut into full pieces of the sequence length and one
 remainder.  Only the histogram of remainder lengths, of fixed size, reaches
-the driver, counted in classes of a few tokens.  There a linear program over patterns (counts of lengths that fit
-one sequence) is solved by column generation: a knapsack dynamic program finds
-the pattern of largest value at the current prices, a revised simplex step
-brings it in.  Pattern counts are rounded down and what is left over is packed
+the driver: how many there are of each length.  There a linear program over
+patterns (counts of lengths that fit one sequence) is solved by column
+generation: from greedy patterns on, a knapsack dynamic program finds the
+pattern of largest value at the current prices, a revised simplex step brings
+it in.  Pattern counts are rounded down and what is left over is packed
 largest first.  The plan is a list of length intervals: the k-th remainder of
 a length, ranked by (doc_id, row), takes a known place in a known sequence.
 
@@ -16,6 +17,7 @@ pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,16 +28,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termscan.llm.storage import numbered, stored
+from termscan.llm.texts import lean
 from termscan.llm.tokens import encoder, narrowed, widened
 
 CAPACITY = 1024
 # Simplex steps at most; the plan is whole at any number, only less tight.
-STEPS = 3000
+STEPS = 300
 # A pattern worth less than one sequence plus this ends the search: the linear
 # program is then within this share of its optimum.
 TOLERANCE = 1e-3
-# Lengths are counted in classes of so many tokens.
-UNIT = 8
+# Lengths are counted in classes of so many tokens: each by itself.
+UNIT = 1
 
 
 def best_pattern(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -64,23 +67,66 @@ def best_pattern(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tupl
     return float(value[capacity]), counts
 
 
+def greedy_patterns(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Patterns that fill sequences largest first, a column per length, how often each is used, and the length it exhausts.
+
+    A pattern is used, in fractions too, until it exhausts one of its lengths;
+    later ones do not hold that length.  In this order the patterns form a
+    triangular matrix, and so a first basis that covers the demand exactly.
+    """
+    n = len(lengths)
+    sizes, left = lengths.tolist(), demand.tolist()
+    patterns, times, alive = np.zeros((n, n), np.int64), np.zeros(n), list(range(n - 1, -1, -1))
+    exhausted = np.zeros(n, np.int64)
+    for column in range(n):
+        room, used = capacity, []
+        for i in alive:
+            if sizes[i] <= room and (left[i] > 0 or not used):
+                count = min(room // sizes[i], max(1, math.ceil(left[i])))
+                used.append((i, count))
+                room -= count * sizes[i]
+            if left[alive[0]] == 0:
+                break  # exhausted by an earlier pattern: it gets one of its own that is never used
+        times[column], done = min((left[i] / count, i) for i, count in used)
+        for i, count in used:
+            patterns[i, column] = count
+            left[i] = max(0.0, left[i] - times[column] * count)
+        left[done] = 0.0
+        exhausted[column] = done
+        alive.remove(done)
+    return patterns, times, exhausted
+
+
+def triangular_inverse(patterns: np.ndarray, exhausted: np.ndarray) -> np.ndarray:
+    """The inverse of greedy patterns, by forward substitution in the order of exhaustion."""
+    lower = patterns[exhausted].astype(float)
+    solved = np.zeros_like(lower)
+    for k in range(len(lower)):
+        earlier = np.flatnonzero(lower[k, :k])
+        solved[k] = -(lower[k, earlier, None] * solved[earlier]).sum(0)
+        solved[k, k] += 1
+        solved[k] /= lower[k, k]
+    inverse = np.empty_like(solved)
+    inverse[:, exhausted] = solved
+    return inverse
+
+
 def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (a column each) and their fractional counts that cover the demand with fewest sequences.
 
-    Revised simplex on the basis of one pattern per length; the basis inverse
-    is updated in place.
+    Revised simplex from the greedy patterns; the basis inverse is updated in
+    place.
     """
     n = len(lengths)
-    start = capacity // lengths
-    basis = np.diag(start).astype(float)
-    inverse = np.diag(1.0 / start)
-    amount = demand / start
+    basis, amount, exhausted = greedy_patterns(lengths, demand, capacity)
+    inverse = triangular_inverse(basis, exhausted)
     prices = inverse.sum(0)
     for _ in range(steps):
         value, counts = best_pattern(prices, lengths, capacity)
         if value <= 1 + TOLERANCE:
             break
-        entering = inverse @ counts
+        used = np.flatnonzero(counts)
+        entering = (inverse[:, used] * counts[used]).sum(1)
         positive = entering > 1e-9
         ratio = np.full(n, np.inf)
         ratio[positive] = amount[positive] / entering[positive]
@@ -94,7 +140,7 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, st
         inverse -= np.outer(entering, row)
         inverse[leaving] = row
         prices = inverse.sum(0)
-    return basis.astype(np.int64), amount
+    return basis, amount
 
 
 @dataclass(frozen=True)
@@ -186,7 +232,7 @@ def pieces(documents: DataFrame, path: str, end_id: int, words: bool = False, ca
         F.col("text").cast("string").alias("text"),
     )
     schema = "doc_id long, row long, start long, length long, doc_tokens long, width int, ids binary"
-    return stored(table.mapInArrow(_cutter(path, words, end_id, capacity), schema), "pieces")
+    return stored(table.mapInArrow(lean(_cutter(path, words, end_id, capacity)), schema), "pieces")
 
 
 def _placer(shared):
@@ -248,14 +294,15 @@ def pack(documents: DataFrame, path: str, end_id: int, words: bool = False, capa
 
 def digests(cut: DataFrame) -> DataFrame:
     """Pieces with ``ids_crc32`` (of the ids in four bytes each) in place of their ids."""
-    names = ["doc_id", "row", "start", "length", "doc_tokens"]
+    names = ["doc_id", "row", "start", "length"]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             crc = [zlib.crc32(widened(i, w)) for i, w in zip(batch.column("ids").to_pylist(), batch.column("width").to_pylist())]
-            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(crc, pa.int64())], names=[*names, "ids_crc32"])
+            columns = [*(batch.column(c) for c in names), pa.array(crc, pa.int64()), batch.column("doc_tokens")]
+            yield pa.record_batch(columns, names=[*names, "ids_crc32", "doc_tokens"])
 
-    schema = ", ".join(f"{name} long" for name in [*names, "ids_crc32"])
+    schema = ", ".join(f"{name} long" for name in [*names, "ids_crc32", "doc_tokens"])
     return cut.mapInArrow(digest, schema)
 
 
