@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termscan.llm.texts import WINDOW_BASES, Chunk, chunks, span_hashes
+from termscan.llm.texts import WINDOW_BASES, Chunk, chunks, lean, span_hashes
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 RATIOS = [
@@ -130,15 +130,14 @@ def ratios(counts: dict[str, np.ndarray], n_bytes: np.ndarray) -> np.ndarray:
     ])
 
 
-def _measure(names: list[str], given: list[str], forest):
+def _measure(given: list[str], forest):
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index("_measured")
         for batch in batches:
-            for chunk in chunks(batch.column(at)):
+            for chunk in chunks(batch.column(len(given))):
                 counts = chunk_counts(chunk)
                 features = ratios(counts, np.diff(chunk.bounds))
                 rows = batch.slice(chunk.first, len(chunk))
-                columns = [*(rows.column(c) for c in given), *(pa.array(counts[c], pa.int64()) for c in COUNTS)]
+                columns = [*rows.columns[: len(given)], *(pa.array(counts[c], pa.int64()) for c in COUNTS)]
                 if forest is None:
                     bounds = np.arange(0, features.size + 1, len(RATIOS), dtype=np.int32)
                     columns.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(features.ravel())))
@@ -154,11 +153,12 @@ def document_statistics(documents: DataFrame, carry: Sequence[str] = ("doc_id",)
 
     Carried columns must not be named like a result.
     """
-    clash = set(carry) & {*COUNTS, "features", "log_odds"}
+    clash = {c.lower() for c in carry} & {*COUNTS, "features", "log_odds"}
     if clash:
         raise ValueError(f"carried columns are named like results: {sorted(clash)}")
-    table = documents.select(*carry, F.col("text").cast("string").alias("_measured"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.select(*carry).schema)
+    given = documents.select(*carry)
+    table = documents.select(*carry, F.col("text").cast("string")).toDF(*[f"_{i}" for i in range(len(carry) + 1)])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema)
     counts = ", ".join(f"{c} long" for c in COUNTS)
     last = "features array<double>" if forest is None else "log_odds double"
-    return table.mapInArrow(_measure(table.columns, list(carry), forest), f"{kinds}, {counts}, {last}")
+    return table.mapInArrow(lean(_measure(list(carry), forest)), f"{kinds}, {counts}, {last}")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termscan.llm.boosting import Forest, train
-from termscan.llm.features import RATIOS, document_statistics
+from termscan.llm.features import COUNTS, RATIOS, document_statistics
 
 SAMPLE_ROWS = 20_000
 # More of these never makes a document better.
@@ -55,7 +55,22 @@ def base_failed() -> Column:
 
 
 def judge(documents: DataFrame, forest: Forest, carry: Sequence[str] = ("doc_id",), cut: float = CUT) -> DataFrame:
-    """``*carry``, the counts, ``log_odds``, ``base_failed`` and ``kept``."""
+    """``*carry``, the counts, ``base_failed``, ``kept`` and ``log_odds``.
+
+    Carried columns must not be named like a result.
+    """
+    clash = {c.lower() for c in carry} & {"base_failed", "kept"}
+    if clash:
+        raise ValueError(f"carried columns are named like results: {sorted(clash)}")
     shared = documents.sparkSession.sparkContext.broadcast(forest)
     scored = document_statistics(documents, carry, shared).withColumn("base_failed", base_failed())
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("log_odds") >= cut))
+    kept = ~F.col("base_failed") & (F.col("log_odds") >= cut)
+    return scored.select(*carry, *COUNTS, "base_failed", kept.alias("kept"), "log_odds")
+
+
+def kept_documents(documents: DataFrame, forest: Forest, cut: float = CUT) -> DataFrame:
+    """The documents that ``judge`` keeps, with all their columns, whatever their names."""
+    names = [f"_column_{i}" for i in range(len(documents.columns))]
+    at = [c.lower() for c in documents.columns].index("text")
+    judged = judge(documents.toDF(*names).withColumn("text", F.col(names[at])), forest, names, cut)
+    return judged.where("kept").select(*names).toDF(*documents.columns)
