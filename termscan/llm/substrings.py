@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termscan.llm.storage import stored
-from termscan.llm.texts import WINDOW_BASES, Chunk, chunks, mix, span_hashes, window_hashes, words
+from termscan.llm.texts import WINDOW_BASES, Chunk, chunks, lean, mix, span_hashes, window_hashes, words
 
 WINDOW = 50
 ROWS = (0x243F6A8885A308D3, 0x13198A2E03707344)
@@ -130,7 +130,7 @@ def repeated_bitmaps(texts: DataFrame, size: int) -> tuple[list[bytes], int]:
     spark = texts.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     part_bits = min(14, max(6, (partitions - 1).bit_length()))
-    partial = texts.mapInArrow(_sketcher(size, part_bits), CELL_SCHEMA)
+    partial = texts.mapInArrow(lean(_sketcher(size, part_bits)), CELL_SCHEMA)
     merged = stored(partial.groupBy("sketch", "part").applyInPandas(_repeated_cells, CELL_SCHEMA), "sketch")
     most = merged.groupBy("sketch").agg(F.sum(F.octet_length("cells")).alias("n")).agg(F.max("n")).first()[0] or 0
     bits = min(MOST_BITS, max(part_bits + 3, (most * 2).bit_length()))
@@ -198,8 +198,8 @@ def _candidates(size: int, sketch, bits: int, places: bool):
     return find
 
 
-def _split(size: int, sketch, bits: int, marked: bool, carried: int):
-    """Texts with a window estimated to be repeated (``marked``), or the others."""
+def _split(size: int, sketch, bits: int, marked: bool):
+    """Texts with a window estimated to be repeated (``marked``), or the others, which are done."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,8 +211,16 @@ def _split(size: int, sketch, bits: int, marked: bool, carried: int):
                 which = np.flatnonzero(flags == marked)
                 if not len(which):
                     continue
-                hashes = found.hashes if len(found.hashes) else chunk.word_hashes(0)
                 rows = batch.take(pa.array(chunk.first + which))
+                if not marked:
+                    kept = chunk.joined().take(pa.array(which)).cast(pa.string())
+                    n_words = chunk.n_words[which].astype(np.int64)
+                    yield pa.record_batch(
+                        [*rows.columns, kept, pa.array(n_words), pa.array(np.zeros(len(which), np.int64))],
+                        names=[*rows.schema.names, "kept", "n_words", "n_removed"],
+                    )
+                    continue
+                hashes = found.hashes if len(found.hashes) else chunk.word_hashes(0)
                 yield pa.record_batch(
                     [*rows.columns, _signed(_text_keys(chunk, hashes)[which]), pa.array(ids[chunk.first + which])],
                     names=[*rows.schema.names, "_key", "_order"],
@@ -222,7 +230,7 @@ def _split(size: int, sketch, bits: int, marked: bool, carried: int):
 
 
 def _cut(size: int, names: list[str]):
-    """The kept words of each text, given the first words of repeated windows."""
+    """The kept words of each text, given the places of its repeated windows, if any."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,22 +274,21 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, carry: Sequence[s
     bitmaps, bits = repeated_bitmaps(table.select("text"), window)
     sketch = spark.sparkContext.broadcast(bitmaps)
     narrow = table.select("doc_id", "text")
-    counted = narrow.mapInArrow(_candidates(window, sketch, bits, False), WINDOW_SCHEMA)
+    counted = narrow.mapInArrow(lean(_candidates(window, sketch, bits, False)), WINDOW_SCHEMA)
     earliest = (
         counted.groupBy("w1", "w2").agg(F.min("order_id").alias("_least"), F.max("order_id").alias("_most"))
         .where("_least < _most").select(F.col("w1").alias("_w1"), F.col("w2").alias("_w2"), "_least")
     )
-    placed = narrow.mapInArrow(_candidates(window, sketch, bits, True), PLACE_SCHEMA)
+    placed = narrow.mapInArrow(lean(_candidates(window, sketch, bits, True)), PLACE_SCHEMA)
     later = placed.join(earliest, (F.col("w1") == F.col("_w1")) & (F.col("w2") == F.col("_w2"))).where("order_id > _least")
-    removed = later.groupBy(F.col("order_id").alias("_id"), F.col("key").alias("_text")).agg(F.collect_list("places").alias("_places"))
+    # Equal rows hold the same windows at the same places: a set has them once, however many rows there are.
+    removed = later.groupBy(F.col("order_id").alias("_id"), F.col("key").alias("_text")).agg(F.collect_set("places").alias("_places"))
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema)
     split_schema = f"{kinds}, _key long, _order long"
     out_schema = f"{kinds}, kept string, n_words long, n_removed long"
     names = table.columns
-    marked = table.mapInArrow(_split(window, sketch, bits, True, len(carry)), split_schema)
+    marked = table.mapInArrow(lean(_split(window, sketch, bits, True)), split_schema)
     joined = marked.join(removed, (F.col("_order") == F.col("_id")) & (F.col("_key") == F.col("_text")), "left")
-    changed = joined.select(*names, "_places").mapInArrow(_cut(window, names), out_schema)
-    others = table.mapInArrow(_split(window, sketch, bits, False, len(carry)), split_schema)
-    untouched = others.select(*names, F.lit(None).cast("array<binary>").alias("_places")).mapInArrow(_cut(window, names), out_schema)
-    return changed.unionByName(untouched)
+    changed = joined.select(*names, "_places").mapInArrow(lean(_cut(window, names)), out_schema)
+    return changed.unionByName(table.mapInArrow(lean(_split(window, sketch, bits, False)), out_schema))

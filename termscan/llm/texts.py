@@ -7,7 +7,9 @@ bounded size (one longer text is a chunk of its own).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,28 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def release() -> None:
+    """Give free memory of this process back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same work of a task; its worker keeps no free memory for the tasks after it."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit values, so that every bit depends on all."""
     h = h ^ (h >> np.uint64(30))
@@ -99,6 +123,19 @@ class Chunk:
     def word_hashes(self, which: int = 0) -> np.ndarray:
         return span_hashes(self.data, self.starts, self.ends, WORD_BASES[which])
 
+    def joined(self) -> pa.Array:
+        """The words of each text, joined by one space."""
+        last = np.zeros(len(self.ends), bool)
+        last[self.word_bounds[1:][self.n_words > 0] - 1] = True
+        gaps = self.ends[~last]  # white space follows a word that is not the last of its text
+        data = self.data.copy()
+        data[gaps] = 0x20
+        kept = ~_SPACE[self.data]
+        kept[gaps] = True
+        sizes = np.concatenate([[0], np.cumsum(kept)])[self.bounds]
+        buffers = [None, pa.py_buffer(sizes.astype(np.int64)), pa.py_buffer(data[kept])]
+        return pa.Array.from_buffers(pa.large_string(), len(self), buffers)
+
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Text and first word of every window of ``n`` words within one text."""
         counts = np.maximum(self.n_words - n + 1, 0)
