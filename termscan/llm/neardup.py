@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from termscan.llm.components import components
 from termscan.llm.storage import stored
-from termscan.llm.texts import WINDOW_BASES, Chunk, chunks, mix, span_hashes
+from termscan.llm.texts import WINDOW_BASES, Chunk, chunks, lean, mix, span_hashes
 
 SHINGLE = 5
 THRESHOLD = Fraction(4, 5)
@@ -316,7 +316,7 @@ def verified_links(documents: DataFrame, nodes: DataFrame, candidates: DataFrame
     wanted = wanted.select(F.col("id").alias("_id"), "root", "total", "members", "node", "k1", "k2", "copies", "sig")
     texts = documents.join(wanted, F.col("id") == F.col("_id"))
     schema = "root long, total long, members long, node long, copies long, sig binary, shingles binary"
-    sets = texts.select("root", "total", "members", "node", "k1", "k2", "copies", "sig", "text").mapInArrow(_shingler(size), schema)
+    sets = texts.select("root", "total", "members", "node", "k1", "k2", "copies", "sig", "text").mapInArrow(lean(_shingler(size)), schema)
     chunks_of = F.greatest(F.ceil(F.col("total") / CELL_SHINGLES), F.ceil(F.col("members") / CELL_DOCUMENTS)).cast("long")
     cells = in_cells(sets.withColumn("_n", chunks_of).withColumn("_c", F.pmod(F.xxhash64("node"), F.col("_n"))), F.col("_n"))
     spread = cells.select("root", "i", "j", "_c", "node", "copies", "sig", "shingles").repartition("root", "i", "j")
@@ -349,7 +349,7 @@ def with_keepers(
     text = F.col("text").cast("string")
     doc_id = F.col("doc_id").cast("long")
     table = documents.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64(text)).alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
-    sketched = stored(table.mapInArrow(_sketcher(shingle), SKETCH_SCHEMA), "sketches")
+    sketched = stored(table.mapInArrow(lean(_sketcher(shingle)), SKETCH_SCHEMA), "sketches")
     merged = sketched.groupBy("k1", "k2").agg(
         F.count("*").alias("copies"), F.min("doc_id").alias("least_doc"), F.min("id").alias("id"),
         F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "id", "text_key")).alias("first"),
@@ -379,3 +379,23 @@ def with_keepers(
         F.col("n_shingles").cast("long").alias("n_shingles"), "text_key",
         (none | (F.struct(F.col("doc_id").isNull().alias("unnamed"), "id", "text_key") == F.col("keeper"))).alias("is_keeper"),
     )
+
+
+def one_of_each_class(documents: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """The keeper of each class with all its columns, whatever their names.
+
+    Of rows that repeat a keeper's id and text one stays, that with the
+    smallest hash of its columns; they meet with partial aggregation, so no
+    task gets all of them.
+    """
+    keepers = with_keepers(documents, shingle, threshold, tolerance).where("is_keeper")
+    keepers = keepers.select(F.col("id").alias("_keeper"), F.col("text_key").alias("_keeper_text")).distinct()
+    lowered = [c.lower() for c in documents.columns]
+    names = [f"_column_{i}" for i in range(len(lowered))]
+    renamed = documents.toDF(*names)
+    text = F.col(names[lowered.index("text")]).cast("string")
+    doc_id = F.col(names[lowered.index("doc_id")]).cast("long")
+    keyed = renamed.select(F.coalesce(doc_id, F.xxhash64(text)).alias("_id"), F.xxhash64(text).alias("_text"), F.struct(*names).alias("_row"))
+    single = keyed.groupBy("_id", "_text").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    kept = single.join(keepers, (F.col("_id") == F.col("_keeper")) & (F.col("_text") == F.col("_keeper_text")), "left_semi")
+    return kept.select("_row.*").toDF(*documents.columns)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termscan.llm.storage import stored
-from termscan.llm.texts import WINDOW_BASES, WORD_BASES, span_hashes, text_chunks, window_hashes
+from termscan.llm.texts import WINDOW_BASES, WORD_BASES, lean, span_hashes, text_chunks, window_hashes
 
 SEED = 5
 COVERED_PERCENT = 50
@@ -185,7 +185,7 @@ def leaks(
     parts = []
     for items in benchmark_blocks(benchmark, block_bytes):
         shared = spark.sparkContext.broadcast(Seeds(items, least))
-        parts.append(table.mapInArrow(_matcher(shared, table.columns, percent), schema))
+        parts.append(table.mapInArrow(lean(_matcher(shared, table.columns, percent)), schema))
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
@@ -222,5 +222,5 @@ def without_leaks(
             kept = stored(kept, "clean")
             shared.unpersist()
         shared = spark.sparkContext.broadcast(Seeds(items, least))
-        kept = kept.mapInArrow(_dropper(shared, documents.columns, percent), documents.schema)
+        kept = kept.mapInArrow(lean(_dropper(shared, documents.columns, percent)), documents.schema)
     return kept

@@ -11,7 +11,7 @@ import corpus_pipeline as pipeline
 
 def test_queries_are_registered():
     names = entry_module.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names and [name for name, _ in pipeline.STAGES][-1] == "packing"
 
