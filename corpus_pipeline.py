@@ -2,14 +2,15 @@
 
 Each stage works on all that its predecessor kept and takes
 (spark, docs, sf_dir).  All but the last return the columns of ``documents``;
-the last returns pieces of documents in training sequences.
+the last returns pieces of documents in training sequences.  Other columns
+pass through unchanged, whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termscan.llm import neardup, packing, quality, substrings, tiling
@@ -24,25 +25,29 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the boosted trees."""
-    forest = quality.train_quality(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(docs, forest, carry=docs.columns).where("kept").select(*docs.columns)
+    """Documents that pass the base rules and the boosted trees.
+
+    Null and empty texts have no words and go; equal rows are judged alike.
+    """
+    ship_package(spark)
+    return quality.kept_documents(docs, quality.train_quality(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: that with the smallest doc_id and then text key, once."""
+    """One document of each class stays: that with the smallest doc_id and then text key, once.
+
+    Texts without words are classes of their own, each once; null ids come after all others.
+    """
     ship_package(spark)
-    found = neardup.with_keepers(docs)
-    keepers = found.where("is_keeper").select(F.col("id").alias("_keeper"), F.col("text_key").alias("_keeper_text")).distinct()
-    text = F.col("text").cast("string")
-    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("_id"), F.xxhash64(text).alias("_text"))
-    kept = keyed.join(keepers, (F.col("_id") == F.col("_keeper")) & (F.col("_text") == F.col("_keeper_text")), "left_semi")
-    copy = Window.partitionBy("_id", "_text").orderBy(*[F.xxhash64(c) for c in docs.columns if c not in ("doc_id", "text")], F.lit(0))
-    return kept.withColumn("_copy", F.row_number().over(copy)).where("_copy = 1").select(*docs.columns)
+    return neardup.one_of_each_class(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the windows of earlier documents; what nothing is left of goes."""
+    """Texts without the windows of earlier documents; what nothing is left of goes.
+
+    Texts without words, and those shorter than a window, stay as they are;
+    ``n_chars`` follows the text where it changes.
+    """
     ship_package(spark)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     cut = substrings.remove_repeats(docs.select("doc_id", "text", *[F.col(c).alias(f"_in_{c}") for c in others]), carry=[f"_in_{c}" for c in others])
@@ -56,12 +61,19 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none; an empty benchmark leaves all documents.
+    """
+    ship_package(spark)
     return tiling.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their ids, in sequences of 1024 tokens."""
+    """Pieces of all documents with their ids, in sequences of 1024 tokens.
+
+    A null or empty text is its end id alone; equal rows are documents of their own.
+    """
     ship_package(spark)
     return packing.pack(docs, tokenizer_path(BYTE_TOKENIZER), end_id=0).drop("row")
 
