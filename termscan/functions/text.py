@@ -13,9 +13,9 @@ CONTEXT_LENGTH = 240
 
 
 def match_count(folded_text: Column, needle: Column) -> Column:
-    """Non-overlapping occurrences, left to right, of a folded needle."""
+    """Non-overlapping occurrences, left to right, of a folded needle; null for an empty one."""
     removed = F.octet_length(folded_text) - F.octet_length(F.replace(folded_text, needle, F.lit("")))
-    return (removed / F.octet_length(needle)).cast("int")
+    return (removed / F.nullif(F.octet_length(needle), F.lit(0))).cast("int")
 
 
 def match_position(folded_text: Column, needle: Column) -> Column:

@@ -32,6 +32,7 @@ SEARCHES = ("each", "layers")
 CHARS_PER_PATTERN = 50_000
 
 FOLDED = "folded_text"
+SKIPPED = "skipped"
 ENTRY = "struct<term_id:int,term:string,needle:string>"
 
 
@@ -73,6 +74,10 @@ def match_terms(files: DataFrame, terms: Sequence[Term], search: str = "each") -
 
     ``files`` carries ``text`` and the folded text; added are ``term_id``,
     ``term``, ``frequency`` and ``position`` of the first match.
+
+    If ``files`` has a column ``skipped``, a file with a reason there was not
+    read: it is one row that has the reason as its term and no frequency.  So
+    hits and what is left out come from the same pass over the files.
     """
     if search not in SEARCHES:
         raise ValueError(f"search must be one of {SEARCHES}")
@@ -93,6 +98,10 @@ def _measured(matched: DataFrame, columns: list[str], term: str) -> DataFrame:
 def _search_each(files: DataFrame, terms: Sequence[Term]) -> DataFrame:
     # A constant that the optimizer folds into the plan.
     constant = F.from_json(F.lit(json.dumps([asdict(t) for t in terms])), f"array<{ENTRY}>")
+    if SKIPPED in files.columns:
+        # Every text contains the empty needle, also one that was not read.
+        reason = F.struct(F.lit(-1).alias("term_id"), F.col(SKIPPED).alias("term"), F.lit("").alias("needle"))
+        constant = F.when(F.col(SKIPPED).isNull(), constant).otherwise(F.array(reason))
     rows = files.withColumn("candidate", F.explode(constant))
     found = rows.where(F.contains(F.col(FOLDED), F.col("candidate.needle")))
     return _measured(found, files.columns, "candidate")
@@ -106,9 +115,14 @@ def _search_layers(files: DataFrame, terms: Sequence[Term]) -> DataFrame:
         [(t.needle, (t.term_id, t.term, t.needle)) for t in terms],
         f"found string, entry {ENTRY}",
     )
-    rows = files.withColumn("found", F.explode(F.concat(*found)))
+    every = F.concat(*found)
+    if SKIPPED in files.columns:
+        every = F.when(F.col(SKIPPED).isNull(), every).otherwise(F.array(F.lit("")))
+        table = table.unionByName(spark.createDataFrame([("", (-1, None, ""))], table.schema))
+    rows = files.withColumn("found", F.explode(every))
     # The table is the vocabulary, which the driver holds already.
-    return _measured(rows.join(F.broadcast(table), "found"), files.columns, "entry")
+    measured = _measured(rows.join(F.broadcast(table), "found"), files.columns, "entry")
+    return measured.withColumn("term", F.coalesce("term", SKIPPED)) if SKIPPED in files.columns else measured
 
 
 def _patterns(layer: Sequence[str]) -> list[str]:

@@ -296,7 +296,8 @@ ORACLE: dict[str, str] = {
         FROM documents ORDER BY length DESC, path LIMIT 10""",
     "tree_hits": f"SELECT {HIT_LIST} FROM ({TREE_HITS})",
     "tree_summary_lines": _summary(TREE_HITS),
-    "tree_skipped": "SELECT '/tree/nowhere/' AS path, 'missing root' AS reason",
+    "tree_skipped": f"""SELECT '/tree/nowhere/' AS path, 'missing root' AS reason
+        UNION ALL SELECT path, 'too long for one value' FROM ({TREE_FILES}) WHERE octet_length(encode(text)) > {q.SKIPPING_SPEC.longest_text_bytes}""",
     "decoded_texts": "SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN concat(text, chr(65533)) ELSE text END AS text FROM documents",
     "duplicate_paths_tiers": _tiers(_hits(f"SELECT * FROM ({DOCUMENTS}) WHERE lower({BASE_NAME}) <> 'summary.md'", q.SPEC)),
     "unique_files": f"SELECT path, length FROM ({DOCUMENTS})",

@@ -28,7 +28,7 @@ class Summaries:
 
 @dataclass(frozen=True)
 class ScanResult:
-    """Lazy tables; see :func:`stored_scan` to compute the hits only once."""
+    """Tables over the hits; see :func:`stored_scan` to compute those of a file table only once."""
 
     hits: DataFrame
     tiers: DataFrame
@@ -66,6 +66,7 @@ def classified(files: DataFrame, spec: ScanSpec) -> DataFrame:
     text, folded_text, path = F.col("text"), F.col(FOLDED), F.col("path")
     return matching.with_folded(files, letters).select(
         "path",
+        *[c for c in files.columns if c == matching.SKIPPED],
         "text",
         FOLDED,
         paths.extension(path).alias("ext"),
@@ -145,8 +146,9 @@ def scan_files(files: DataFrame, spec: ScanSpec) -> ScanResult:
 def scan(spark: SparkSession, spec: ScanSpec) -> ScanResult:
     """Scan the file trees named by the spec.
 
-    The listing is filtered by path and size first; only what is left is read.
-    With ``include_hidden`` off, Spark's own file source lists and reads, which
+    The listing is filtered by path and size first; only what is left is read,
+    each file once: hits and what could not be read are stored together in the
+    checkpoint folder and told apart there.  With ``include_hidden`` off, Spark's own file source lists and reads, which
     passes over names that start with ``.`` or ``_``.
     """
     spec = spec.normalized().validate(spark)
@@ -156,8 +158,11 @@ def scan(spark: SparkSession, spec: ScanSpec) -> ScanResult:
         everything = trees.walk_everything(spark, spec.include_paths, spec.prune_dir_regex, spec.dedupe)
         listing = everything.where("skipped IS NULL").drop("skipped")
         kept = filters.max_megabytes(select_files(listing, spec, plain.include_paths), spec.max_file_mb)
-        files = trees.read_listed(kept)
-        return replace(result_of(hit_rows(files, plain), spec), skipped=trees.skipped_files(everything, kept))
+        files = trees.read_or_skipped(kept, spec.longest_text_bytes or None)
+        found = sinks.stored(hit_rows(files, plain), "scan")
+        unread = found.where("frequency IS NULL").select(F.col("file").alias("path"), F.col("term").alias("reason"))
+        hits = found.where("frequency IS NOT NULL")
+        return replace(result_of(hits, spec), skipped=trees.unlisted(everything).unionByName(unread))
     listing = trees.read_tree(spark, spec.include_paths, spec.extensions, spec.dedupe)
     files = filters.max_megabytes(select_files(listing, spec, plain.include_paths), spec.max_file_mb)
     everything = trees.list_tree(spark, spec.include_paths, spec.extensions, spec.dedupe).drop("content")

@@ -63,6 +63,7 @@ TREE_SPEC = ScanSpec(
     exclude_file_regex="/doc_id=[0-9]*7/", exclusion_patterns=["**/source=src5/lang=fr/**"], max_file_mb=2,
     output_dir=f"{TREE}/source=src1",
 )
+SKIPPING_SPEC = replace(TREE_SPEC, longest_text_bytes=2000)
 BROKEN_SPEC = replace(SPEC, planned_hints_regex="[broken")
 
 EXTENSIONS = ["*.md", ".txt", "PY"]
@@ -235,7 +236,7 @@ def tree_largest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return largest.select("path", "length")
 
 
-def _tree_result(spark: SparkSession, sf_dir: str) -> tuple[scan.ScanResult, str]:
+def _tree_result(spark: SparkSession, sf_dir: str, spec: ScanSpec = TREE_SPEC) -> tuple[scan.ScanResult, str]:
     """A scan of a document tree with every filter, nested roots, a missing one and a rule file."""
     root = document_tree(spark, sf_dir)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -243,8 +244,8 @@ def _tree_result(spark: SparkSession, sf_dir: str) -> tuple[scan.ScanResult, str
     stream = rule_file.getFileSystem(conf).create(rule_file)
     stream.write(bytearray("\n".join(TREE_RULES).encode()))
     stream.close()
-    moved = replace(TREE_SPEC, include_paths=[p.replace(TREE, root, 1) for p in TREE_SPEC.include_paths],
-                    output_dir=TREE_SPEC.output_dir.replace(TREE, paths.plain_path(root), 1))
+    moved = replace(spec, include_paths=[p.replace(TREE, root, 1) for p in spec.include_paths],
+                    output_dir=spec.output_dir.replace(TREE, paths.plain_path(root), 1))
     return scan.scan(spark, moved), root
 
 
@@ -258,10 +259,10 @@ def tree_summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the scan of the tree had to leave out: the missing root."""
-    result, root = _tree_result(spark, sf_dir)
+    """What the scan of the tree had to leave out: the missing root, and files longer than it may read."""
+    result, root = _tree_result(spark, sf_dir, SKIPPING_SPEC)
     path = F.replace(F.col("path"), F.lit(paths.plain_path(root)), F.lit(TREE))
-    return result.skipped.select(path.alias("path"), "reason")
+    return result.skipped.select(F.regexp_replace(path, "/part-[^/]*$", "").alias("path"), "reason")
 
 
 def decoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,13 +56,11 @@ def list_tree(
 
     Unselected columns are not read: without ``content`` no file is opened.
     With ``dedupe`` nested roots are listed once; otherwise a file appears once
-    per root above it.  Unreadable and vanished files are skipped.
+    per root above it.  A file that cannot be read fails the task that reads it.
     """
     reader = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .option("ignoreCorruptFiles", "true")
-        .option("ignoreMissingFiles", "true")
     )
     plain = [e for e in normalize_extensions(extensions) if e[1:].isalnum()]
     if plain and len(plain) == len(normalize_extensions(extensions)):
@@ -90,9 +88,8 @@ def read_tree(
 ) -> DataFrame:
     """Files with decoded ``text``.
 
-    A file too long for one value is unreadable like any other and is skipped;
-    the predicate reaches the source, so it is not opened.  See
-    :func:`left_out` for these.
+    A file too long for one value is skipped; the predicate reaches the source,
+    so it is not opened.  See :func:`left_out` for these.
     """
     listed = list_tree(spark, roots, extensions, dedupe)
     return with_text(listed.where(F.col("length") <= MAX_VALUE_BYTES))
@@ -138,22 +135,27 @@ def walk_tree(
     return walk_everything(spark, roots, prune_dir_regex, dedupe).where("skipped IS NULL").drop("skipped")
 
 
-def read_listed(listing: DataFrame) -> DataFrame:
-    """Files of a (filtered) listing with decoded ``text``; see :func:`skipped_files` for the others."""
-    wanted = listing.where(F.col("length") <= MAX_VALUE_BYTES)
-    return with_text(walk.read_contents(wanted).where("skipped IS NULL").drop("skipped"))
+def read_or_skipped(listing: DataFrame, longest: int | None = None) -> DataFrame:
+    """Files of a (filtered) listing with decoded ``text``, or without it and with the reason in ``skipped``.
 
+    Every file is opened once.  Files that are gone or must not be read, and
+    those longer than ``longest`` bytes (what fits one value, if not given),
+    have a reason; any other failure fails the task.
+    """
+    fits = F.col("length") <= (MAX_VALUE_BYTES if longest is None else longest)
+    read = with_text(walk.read_contents(listing.where(fits)))
+    long = listing.where(~fits).select("path", "length", "modification_time", F.lit(None).cast("string").alias("text"), F.lit(TOO_LONG).alias("skipped"))
+    return read.unionByName(long)
 
-def skipped_files(everything: DataFrame, listing: DataFrame) -> DataFrame:
-    """``path, reason`` of all that is left out: roots, directories, and files of the filtered listing.
 
-    Files are opened again to see which cannot be read.
-    """
-    listed = everything.where("skipped IS NOT NULL").select("path", F.col("skipped").alias("reason"))
-    fits = F.col("length") <= MAX_VALUE_BYTES
-    long = listing.where(~fits).select("path", F.lit(TOO_LONG).alias("reason"))
-    unread = walk.read_contents(listing.where(fits)).where("skipped IS NOT NULL")
-    return listed.unionByName(long).unionByName(unread.select("path", F.col("skipped").alias("reason")))
+def read_listed(listing: DataFrame) -> DataFrame:
+    """Only the files that could be read, with decoded ``text``."""
+    return read_or_skipped(listing).where("skipped IS NULL").drop("skipped")
+
+
+def unlisted(everything: DataFrame) -> DataFrame:
+    """``path, reason`` of roots and directories that could not be listed."""
+    return everything.where("skipped IS NOT NULL").select("path", F.col("skipped").alias("reason"))
 
 
 def rule_lines(

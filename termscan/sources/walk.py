@@ -2,8 +2,8 @@
 
 Spark's file sources leave out every name that starts with ``.`` or ``_``
 (``__init__.py`` among them) and open a file before looking at its path.  Here
-directories are listed by tasks, one level of the tree per job, and contents
-are read only for the files that passed the path and size filters.
+directories are listed by tasks, one level of the tree per job, large ones in
+pages, and contents are read only for the files that passed the path and size filters.
 
 The functions that run in tasks are nested so that they are shipped by value.
 """
@@ -22,44 +22,76 @@ from termscan.sources.sinks import stored
 # ``root`` names the file system, ``name`` the file within it: file names are
 # never parsed as addresses, whatever characters they hold.
 # ``skipped`` says why a directory was not listed or a file not read.
-ENTRY_SCHEMA = "root string, name string, path string, is_dir boolean, length bigint, modification_time timestamp, skipped string"
+# ``pages`` above 1: the directory has too many entries for one task.
+ENTRY_SCHEMA = "root string, name string, path string, is_dir boolean, length bigint, modification_time timestamp, skipped string, pages int"
 CONTENT_SCHEMA = "path string, length bigint, modification_time timestamp, content binary, skipped string"
 
+# Entries of a directory that a task lists; a larger one is listed by several.
+PAGE_ENTRIES = 20_000
 # Bytes of content per task and per Arrow batch.
 TASK_BYTES = 128 * 1024 * 1024
 BATCH_BYTES = 32 * 1024 * 1024
 
 
-def _lister() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _lister(page_entries: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
+        import zlib
+        from datetime import datetime, timezone
 
         from pyarrow import fs
 
         schema = pa.schema([
             ("root", pa.string()), ("name", pa.string()), ("path", pa.string()), ("is_dir", pa.bool_()),
-            ("length", pa.int64()), ("modification_time", pa.timestamp("us", tz="UTC")), ("skipped", pa.string()),
+            ("length", pa.int64()), ("modification_time", pa.timestamp("us", tz="UTC")), ("skipped", pa.string()), ("pages", pa.int32()),
         ])
+
+        def local(folder: str, mine: Callable[[str], bool]) -> Iterator[tuple]:
+            with os.scandir(folder) as found:
+                for entry in found:
+                    if mine(entry.name) and not entry.is_symlink():
+                        try:
+                            stat = entry.stat(follow_symlinks=False)
+                        except FileNotFoundError as problem:
+                            yield entry.name, False, 0, None, type(problem).__name__
+                            continue
+                        folders = entry.is_dir(follow_symlinks=False)
+                        yield entry.name, folders, 0 if folders else stat.st_size, datetime.fromtimestamp(stat.st_mtime, timezone.utc), None
+
+        def remote(system: fs.FileSystem, folder: str, mine: Callable[[str], bool]) -> Iterator[tuple]:
+            for info in system.get_file_info(fs.FileSelector(folder)):
+                if info.type != fs.FileType.NotFound and mine(info.base_name):
+                    yield info.base_name, info.type == fs.FileType.Directory, max(info.size or 0, 0), info.mtime, None
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows)) or [()] * len(schema)
+            return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema)
+
         for batch in batches:
-            for root, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for root, name, page, pages in zip(*[batch.column(c).to_pylist() for c in ("root", "name", "page", "pages")]):
                 system, top = fs.FileSystem.from_uri(root)
                 prefix = root.removesuffix(top) if root.endswith(top) else ""
                 folder = top if name is None else name
+                mine = (lambda entry: zlib.crc32(entry.encode()) % pages == page) if pages > 1 else (lambda entry: True)  # noqa: B023
+                rows: list[tuple] = []
+                count = 0
                 try:
-                    infos = system.get_file_info(fs.FileSelector(folder))
+                    found = local(folder, mine) if isinstance(system, fs.LocalFileSystem) else remote(system, folder, mine)
+                    for entry, is_dir, length, modified, skipped in found:
+                        count += 1
+                        if pages > 1 or count <= page_entries:
+                            place = f"{folder.rstrip('/')}/{entry}"
+                            rows.append((root, place, prefix + place, is_dir, length, modified, skipped, 1))
+                        if pages > 1 and len(rows) == page_entries:
+                            yield batch_of(rows)
+                            rows = []
                 except (FileNotFoundError, PermissionError) as problem:
                     # Anything else fails the task, which is then repeated.
-                    row = (root, folder, prefix + folder, False, 0, None, type(problem).__name__)
-                    yield pa.record_batch([pa.array([v], f.type) for v, f in zip(row, schema)], schema)
-                    continue
-                local = isinstance(system, fs.LocalFileSystem)
-                rows = [
-                    (root, i.path, prefix + i.path, i.type == fs.FileType.Directory, max(i.size or 0, 0), i.mtime, None)
-                    for i in infos
-                    if i.type != fs.FileType.NotFound and not (local and os.path.islink(i.path))
-                ]
-                columns = list(zip(*rows)) or [()] * len(schema)
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema)
+                    rows = [(root, folder, prefix + folder, False, 0, None, type(problem).__name__, 1)]
+                if pages == 1 and count > page_entries:
+                    # Too many for one task: list it again in pages, each the names of one hash.
+                    rows = [(root, name, prefix + folder, True, 0, None, None, -(-count // page_entries))]
+                yield batch_of(rows)
 
     return entries
 
@@ -104,6 +136,9 @@ def walk(
     that has vanished or must not be read is a row with the reason in
     ``skipped``; any other failure fails the task, so no subtree is lost
     unseen.  Each level is stored, so a lost executor repeats one level only.
+    A directory of more than ``PAGE_ENTRIES`` entries is only counted, then
+    listed once more in pages by the hash of names, a task each: none holds
+    more than about a page, and a repeated task lists the same page.
     """
     for root in roots:
         try:
@@ -112,20 +147,21 @@ def walk(
             raise ValueError(f"{root} cannot be listed by tasks; use include_hidden=False") from problem
     most = spark.sparkContext.defaultParallelism * 4
     tops = [root.rstrip("/") or "/" for root in roots]
-    frontier = spark.createDataFrame([(top, None, top) for top in tops], "root string, name string, path string")
+    frontier = spark.createDataFrame([(top, None, top, 0, 1) for top in tops], "root string, name string, path string, page int, pages int")
     directories = len(roots)
     levels: list[DataFrame] = []
     while directories:
         if enter is not None:
             frontier = enter(frontier)
-        spread = frontier.repartition(min(directories, most), "path")
-        levels.append(stored(spread.mapInArrow(_lister(), ENTRY_SCHEMA), "listing"))
-        frontier = levels[-1].where("is_dir").select("root", "name", "path")
+        spread = frontier.repartition(min(directories, most), "path", "page")
+        levels.append(stored(spread.mapInArrow(_lister(PAGE_ENTRIES), ENTRY_SCHEMA), "listing"))
+        below = levels[-1].where("is_dir").select("root", "name", "path", "pages")
+        frontier = below.withColumn("page", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)))
         directories = frontier.count()
     files = levels[0]
     for level in levels[1:]:
         files = files.unionByName(level)
-    return files.where("NOT is_dir").drop("is_dir")
+    return files.where("NOT is_dir").drop("is_dir", "pages")
 
 
 def read_contents(listing: DataFrame) -> DataFrame:

@@ -34,6 +34,7 @@ class ScanSpec:
     crest_threshold: float = DEFAULT_CREST
     slopes_threshold: float = DEFAULT_SLOPES
     max_file_mb: int = 0
+    longest_text_bytes: int = 0  # longer files are reported as skipped; 0: what fits one value
     output_dir: str | None = None
     dedupe: bool = True
     include_hidden: bool = True
@@ -71,6 +72,7 @@ class ScanSpec:
             crest_threshold=self.crest_threshold if self.crest_threshold > 0 else DEFAULT_CREST,
             slopes_threshold=self.slopes_threshold if self.slopes_threshold > 0 else DEFAULT_SLOPES,
             max_file_mb=max(self.max_file_mb, 0),
+            longest_text_bytes=max(self.longest_text_bytes, 0),
             output_dir=blank_to_none(self.output_dir),
         )
 

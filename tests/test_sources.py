@@ -253,12 +253,61 @@ def test_a_vanished_file_is_reported_and_another_failure_raises(spark, tree):
     everything = trees.walk_everything(spark, [tree])
     listing = everything.where("path like '%.txt'").drop("skipped")
     os.remove(tree + "/proj/deep/c.txt")
-    assert [r.reason for r in trees.skipped_files(everything, listing).collect()] == ["FileNotFoundError"]
+    found = trees.read_or_skipped(listing).where("skipped IS NOT NULL").collect()
+    assert [(os.path.relpath(r.path, tree), r.skipped, r.text) for r in found] == [("proj/deep/c.txt", "FileNotFoundError", None)]
     os.mkdir(tree + "/proj/deep/c.txt")  # opening it fails in another way
     with pytest.raises(PythonException):
         trees.read_listed(listing).collect()
 
 
+def _counting_reader(log):
+    """The reader of files, with a line in ``log`` for each file it opens; one of them is gone by then."""
+    real = walk._reader
+
+    def build(batch_bytes):
+        read = real(batch_bytes)
+
+        def contents(batches):
+            for batch in batches:
+                with open(log, "a") as out:
+                    out.writelines(name + "\n" for name in batch.column(1).to_pylist())
+                for name in batch.column(1).to_pylist():
+                    if name.endswith("gone.md") and os.path.exists(name):
+                        os.remove(name)
+                yield from read(iter([batch]))
+
+        return contents
+
+    return build
+
+
+@pytest.mark.parametrize("search", ["each", "layers"])
+def test_hits_and_skipped_files_come_from_one_open_per_file(spark, tree, tmp_path, monkeypatch, search):
+    log = str(tmp_path / "opened")
+    Path(tree, "proj/gone.md").write_text("iris")
+    monkeypatch.setattr(walk, "_reader", _counting_reader(log))
+    spec = ScanSpec(
+        include_paths=[tree, tree + "/nowhere"], extensions=["txt", "md"], anchor_terms=["iris", "absent", "ir"],
+        longest_text_bytes=1_000_000, search=search,
+    )
+    result = scan.scan(spark, spec)
+    skipped = {(os.path.relpath(r.path, tree), r.reason) for r in result.skipped.collect()}
+    assert skipped == {("nowhere", trees.MISSING_ROOT), ("big.md", trees.TOO_LONG), ("proj/gone.md", "FileNotFoundError")}
+    hits = result.hits.collect()
+    assert all(r.frequency > 0 and r.term in ("iris", "ir") for r in hits) and result.hits.columns == HIT_COLUMNS
+    assert {r.term for r in result.tiers.collect()} == {"iris", "ir"}
+    result.summaries.buckets.collect()
+    opened = Path(log).read_text().split()
+    assert len(opened) == len(set(opened)) == 11
+
+
+def test_unreadable_files_raise_without_hidden_names(spark, tree):
+    listing = trees.read_tree(spark, [tree], ["txt"])
+    os.remove(tree + "/proj/deep/c.txt")
+    with pytest.raises(Exception, match="c.txt"):
+        listing.collect()
+
+
 def test_unknown_file_systems_are_named_at_once(spark):
     with pytest.raises(ValueError, match="include_hidden=False"):
         walk.walk(spark, ["viewfs://store/a"])
@@ -271,6 +320,31 @@ def test_one_directory_of_many_files(spark, tmp_path):
     assert scan.scan(spark, spec).tiers.first().total == 3000
 
 
+def test_large_directories_are_listed_in_pages(spark, tmp_path, monkeypatch):
+    for i in range(500):
+        (tmp_path / f"ü{i}.md").write_text("x" * (i % 7))
+    for i in range(30):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "a.md").write_text("iris")
+    (tmp_path / "link").symlink_to(tmp_path / "d1")
+    whole = sorted(tuple(r) for r in trees.walk_tree(spark, [str(tmp_path)]).collect())
+    assert len(whole) == 530
+    monkeypatch.setattr(walk, "PAGE_ENTRIES", 40)
+    sizes = []
+    real = walk.stored
+
+    def kept(table, name):
+        out = real(table, name)
+        sizes.append([n for n in out.groupBy(F.spark_partition_id()).count().toPandas()["count"]])
+        return out
+
+    monkeypatch.setattr(walk, "stored", kept)
+    assert sorted(tuple(r) for r in trees.walk_tree(spark, [str(tmp_path)]).collect()) == whole
+    assert sizes[0] == [1] and sum(sizes[1]) == 530  # counted first, then listed in pages
+    pruned = trees.walk_tree(spark, [str(tmp_path)], "/d[0-9]$")
+    assert pruned.count() == 520
+
+
 def test_texts_as_files_counts_bytes(spark):
     table = spark.createDataFrame([("a", "né")], "p string, t string")
     assert tables.texts_as_files(table, F.col("p"), F.col("t")).first().length == 3
