@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,17 +52,19 @@ def select_files(files: DataFrame, spec: ScanSpec, roots: Sequence[str] | None =
     return filters.prune_directories(kept, spec.prune_dir_regex, spec.include_paths if roots is None else roots)
 
 
-def classified(files: DataFrame, spec: ScanSpec) -> DataFrame:
+def classified(files: DataFrame, spec: ScanSpec, letters: Iterable[str] | None = None) -> DataFrame:
     """Add folded text, bucket, extension and repository.
 
+    ``letters`` are those of the needles, if they are not the spec's terms.
+
     Empty texts need no filter of their own when terms are searched, since they
     hold none; a filter on a derived text would compute it a second time.
     """
     spark = files.sparkSession
     planned = usable_pattern(spark, spec.planned_hints_regex)
     code = usable_pattern(spark, spec.code_hints_regex)
-    terms = matching.vocabulary(spec.anchor_terms)
-    letters = matching.alphabet(terms) | classify.hint_alphabet(planned, code)
+    given = matching.alphabet(matching.vocabulary(spec.anchor_terms)) if letters is None else set(letters)
+    letters = given | classify.hint_alphabet(planned, code)
     text, folded_text, path = F.col("text"), F.col(FOLDED), F.col("path")
     return matching.with_folded(files, letters).select(
         "path",
@@ -88,13 +90,19 @@ def matches(files: DataFrame, spec: ScanSpec) -> DataFrame:
     return matching.match_terms(classified(files, spec), terms, spec.search)
 
 
-def hit_rows(files: DataFrame, spec: ScanSpec) -> DataFrame:
+def hit_rows(files: DataFrame, spec: ScanSpec, vocabulary: DataFrame | None = None) -> DataFrame:
     """The hit table.  One stage over the texts, no shuffle.
 
     Columns a caller drops are not computed: totals need neither bucket nor
-    context.
+    context.  ``vocabulary`` is a table with a column ``term`` that takes the
+    place of the spec's terms; it may be larger than a driver holds.
     """
-    return matches(files, spec).select(
+    if vocabulary is None:
+        found = matches(files, spec)
+    else:
+        needles = sinks.stored(matching.folded_vocabulary(vocabulary), "vocabulary")
+        found = matching.match_vocabulary(classified(files, spec, matching.table_alphabet(needles)), needles)
+    return found.select(
         "term",
         "repo",
         F.col("path").alias("file"),

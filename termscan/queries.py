@@ -302,14 +302,10 @@ def mixed_spelling_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_vocabulary_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiers of all words of the benchmark items: a vocabulary of some thousand terms.
-
-    The vocabulary of a scan is configuration and lives on the driver.
-    """
+    """Tiers of all words of the benchmark items: a vocabulary that is a table, of any size."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    words = items.select(F.explode(F.split(F.lower("text"), r"[ \n.,]+")).alias("word")).where("word <> ''").distinct()
-    terms = sorted(row.word for row in words.collect())
-    return ranking.term_tiers(scan.hit_rows(documents(spark, sf_dir), ScanSpec(anchor_terms=terms, search="layers")))
+    words = items.select(F.explode(F.split(F.lower("text"), r"[ \n.,]+")).alias("term"))
+    return ranking.term_tiers(scan.hit_rows(documents(spark, sf_dir), ScanSpec(), words))
 
 
 def csv_sorted_reload(spark: SparkSession, sf_dir: str) -> DataFrame:

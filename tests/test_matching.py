@@ -178,3 +178,20 @@ def test_hits_need_no_shuffle_and_no_python(files_of):
 
 def test_terms_are_plain_records():
     assert vocabulary(["A"]) == [Term(0, "A", "a")]
+
+
+@pytest.mark.parametrize("most", [1 << 24, 0])
+def test_a_vocabulary_table_gives_the_rows_of_a_list(files_of, spark, monkeypatch, most):
+    monkeypatch.setattr(matching, "MOST_BROADCAST_BYTES", most)
+    texts = ["aaaa AAAA", "Straße ſtraße STRASSE", "naïve café CAFÉ\nİstanbul ısı", "a.b axb a.B", "x" * 50 + "needle" * 3, "", "日本語 日本", "ς σ Σ", "tab\tand\nline"]
+    files = files_of(*[(f"/r/p{i % 3}/f{i}.md", t) for i, t in enumerate(texts + texts[:2])])
+    terms = ["a", "aa", "AA", "aaa", "a.b", "straße", "café", "ISTANBUL", "needlen", "needleneedle", "日本", "σ", " ", "", "\n", "b a", "missing", "Kelvin", "ısı"]
+    spec = ScanSpec(include_paths=["/r/"], anchor_terms=[t for t in terms if t])
+    table = spark.createDataFrame([(t,) for t in terms], "term string")
+
+    def rows(frame):
+        return sorted((r.term.lower(), *tuple(r)[1:]) for r in frame.collect())
+
+    want = rows(hit_rows(files, spec))
+    assert rows(hit_rows(files, spec, table)) == want and len(want) > 15
+    assert hit_rows(files, spec, table.limit(0)).count() == 0
