@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable
 
@@ -69,6 +70,22 @@ def literal_alternatives(pattern: str) -> list[str] | None:
     return match.group(1).split("|") if match else None
 
 
+def longest_match(pattern: str) -> int | None:
+    """A bound of what ``pattern`` can match, in characters; ``None`` without one.
+
+    There is none either for a pattern that looks at what surrounds a match
+    (anchors, word boundaries, lookaround).  What is not understood counts as
+    such: the answer may be ``None`` without need, but a bound always holds.
+    """
+    if any((c.isalnum() or c == "_") and c not in "dDwWsS" for c in re.findall(r"\\(.)", pattern, re.DOTALL)):
+        return None
+    plain = re.sub(r"\\.", "x", pattern, flags=re.DOTALL)
+    if re.search(r"[\^$*+]|\(\?(?!:)|\{\d+,\}|&&", plain):
+        return None
+    times = [int(n) for n in re.findall(r"\{(?:\d+,)?(\d+)\}", plain)]
+    return len(pattern) * math.prod(n for n in times if n)
+
+
 _usable: dict[str, bool] = {}
 
 

@@ -31,8 +31,12 @@ def line_context(text: Column, position: Column, width: int = CONTEXT_LENGTH) ->
     """
     head = F.substring_index(F.substring(text, F.lit(1), position - 1), "\n", -1)
     tail = F.substring_index(F.substring(text, position, F.lit(width)), "\n", 1)
-    line = F.substring(F.concat(head, tail), 1, width)
-    return F.trim(F.regexp_replace(line, r"(?U)\s+", " "))
+    return tidy_line(F.concat(head, tail), width)
+
+
+def tidy_line(line: Column, width: int = CONTEXT_LENGTH) -> Column:
+    """The first ``width`` characters, white space collapsed."""
+    return F.trim(F.regexp_replace(F.substring(line, 1, width), r"(?U)\s+", " "))
 
 
 def markdown_cell(value: Column) -> Column:

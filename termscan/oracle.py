@@ -295,6 +295,7 @@ ORACLE: dict[str, str] = {
         SELECT concat('/tree/source=', source, '/lang=', lang, '/doc_id=', doc_id) AS path, octet_length(encode(text))::BIGINT + 1 AS length
         FROM documents ORDER BY length DESC, path LIMIT 10""",
     "tree_hits": f"SELECT {HIT_LIST} FROM ({TREE_HITS})",
+    "tree_long_hits": f"SELECT {HIT_LIST} FROM ({TREE_HITS})",
     "tree_summary_lines": _summary(TREE_HITS),
     "tree_skipped": f"""SELECT '/tree/nowhere/' AS path, 'missing root' AS reason
         UNION ALL SELECT path, 'too long for one value' FROM ({TREE_FILES}) WHERE octet_length(encode(text)) > {q.SKIPPING_SPEC.longest_text_bytes}""",

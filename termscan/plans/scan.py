@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from termscan.functions import paths
 from termscan.functions.patterns import is_blank, usable_pattern
 from termscan.functions.text import line_context
-from termscan.operators import classify, dedupe, filters, matching, ranking, reports, summaries
+from termscan.operators import classify, dedupe, filters, matching, pieces, ranking, reports, summaries
 from termscan.operators.matching import FOLDED
 from termscan.operators.reconcile import HIT_COLUMNS
 from termscan.sources import sinks, trees
@@ -151,6 +151,34 @@ def scan_files(files: DataFrame, spec: ScanSpec) -> ScanResult:
     return result_of(distinct_hit_rows(kept, spec) if spec.dedupe else hit_rows(kept, spec), spec)
 
 
+def _tree_rows(listing: DataFrame, spec: ScanSpec) -> DataFrame:
+    """Hits of the files of a listing; one row with the reason as its term for a file that was not read.
+
+    Files longer than ``piece_bytes`` are read in pieces, unless a hint pattern
+    can be decided on whole texts only: then they are read whole, and those too
+    long for one value have a reason.
+    """
+    spark = listing.sparkSession
+    terms = matching.vocabulary(spec.anchor_terms)
+    hints = [usable_pattern(spark, p) for p in (spec.planned_hints_regex, spec.code_hints_regex)]
+    reach = pieces.reach(terms, *hints)
+    whole = trees.MAX_VALUE_BYTES if reach is None else min(spec.piece_bytes, trees.MAX_VALUE_BYTES)
+    most = spec.longest_text_bytes or (whole if reach is None else None)
+    long = F.col("length") > whole
+    if most is not None:
+        long = long & (F.col("length") <= most)
+    rows = hit_rows(trees.read_or_skipped(listing.where(~long), most), spec)
+    if reach is None or listing.where(long).isEmpty():
+        return rows
+    found = pieces.matches_of_pieces(trees.read_pieces(listing.where(long), spec.piece_bytes, reach), terms, *hints)
+    path = F.col("path")
+    named = found.withColumns({
+        "term": F.coalesce("term", "skipped"), "file": path, "ext": paths.extension(path),
+        "repo": paths.repo_name(path, spec.include_paths),
+    })
+    return rows.unionByName(named.select(*rows.columns))
+
+
 def scan(spark: SparkSession, spec: ScanSpec) -> ScanResult:
     """Scan the file trees named by the spec.
 
@@ -166,8 +194,7 @@ def scan(spark: SparkSession, spec: ScanSpec) -> ScanResult:
         everything = trees.walk_everything(spark, spec.include_paths, spec.prune_dir_regex, spec.dedupe)
         listing = everything.where("skipped IS NULL").drop("skipped")
         kept = filters.max_megabytes(select_files(listing, spec, plain.include_paths), spec.max_file_mb)
-        files = trees.read_or_skipped(kept, spec.longest_text_bytes or None)
-        found = sinks.stored(hit_rows(files, plain), "scan")
+        found = sinks.stored(_tree_rows(kept, plain), "scan")
         unread = found.where("frequency IS NULL").select(F.col("file").alias("path"), F.col("term").alias("reason"))
         hits = found.where("frequency IS NOT NULL")
         return replace(result_of(hits, spec), skipped=trees.unlisted(everything).unionByName(unread))

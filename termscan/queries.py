@@ -63,6 +63,7 @@ TREE_SPEC = ScanSpec(
     exclude_file_regex="/doc_id=[0-9]*7/", exclusion_patterns=["**/source=src5/lang=fr/**"], max_file_mb=2,
     output_dir=f"{TREE}/source=src1",
 )
+PIECES_SPEC = replace(TREE_SPEC, piece_bytes=1000)
 SKIPPING_SPEC = replace(TREE_SPEC, longest_text_bytes=2000)
 BROKEN_SPEC = replace(SPEC, planned_hints_regex="[broken")
 
@@ -254,6 +255,12 @@ def tree_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.hits.withColumn("file", _place(F.col("file"), root))
 
 
+def tree_long_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every file of more than 1,000 bytes read in pieces."""
+    result, root = _tree_result(spark, sf_dir, PIECES_SPEC)
+    return result.hits.withColumn("file", _place(F.col("file"), root))
+
+
 def tree_summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.summary_lines(scan.stored_scan(_tree_result(spark, sf_dir)[0], TREE_SPEC).hits)
 
@@ -383,6 +390,7 @@ QUERIES: dict[str, Query] = {
     "csv_sorted_reload": csv_sorted_reload,
     "tree_largest_files": tree_largest_files,
     "tree_hits": tree_hits,
+    "tree_long_hits": tree_long_hits,
     "tree_summary_lines": tree_summary_lines,
     "tree_skipped": tree_skipped,
     "decoded_texts": decoded_texts,

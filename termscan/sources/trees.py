@@ -148,6 +148,18 @@ def read_or_skipped(listing: DataFrame, longest: int | None = None) -> DataFrame
     return read.unionByName(long)
 
 
+def read_pieces(listing: DataFrame, piece_bytes: int, reach: int) -> DataFrame:
+    """``path, piece, text, ahead, skipped`` of a listing's files in pieces of about ``piece_bytes``.
+
+    ``ahead`` holds at least ``reach`` of the characters that follow a piece,
+    if there are as many, and so does every piece but the last of a file.
+    """
+    ahead = 4 * (reach + 1) + walk.CUT_SLACK
+    pieces = walk.read_pieces(listing, max(piece_bytes // 4 * 4, ahead), ahead)
+    named = with_text(pieces, "ahead").withColumnRenamed("text", "ahead")
+    return with_text(named)
+
+
 def read_listed(listing: DataFrame) -> DataFrame:
     """Only the files that could be read, with decoded ``text``."""
     return read_or_skipped(listing).where("skipped IS NULL").drop("skipped")

@@ -24,6 +24,7 @@ from termscan.sources.sinks import stored
 # ``skipped`` says why a directory was not listed or a file not read.
 # ``pages`` above 1: the directory has too many entries for one task.
 ENTRY_SCHEMA = "root string, name string, path string, is_dir boolean, length bigint, modification_time timestamp, skipped string, pages int"
+PIECE_SCHEMA = "path string, piece bigint, content binary, ahead binary, skipped string"
 CONTENT_SCHEMA = "path string, length bigint, modification_time timestamp, content binary, skipped string"
 
 # Entries of a directory that a task lists; a larger one is listed by several.
@@ -31,6 +32,9 @@ PAGE_ENTRIES = 20_000
 # Bytes of content per task and per Arrow batch.
 TASK_BYTES = 128 * 1024 * 1024
 BATCH_BYTES = 32 * 1024 * 1024
+# How far a cut may move to fall between characters.  Longer only would be a run
+# of over a hundred first halves of UTF-16 pairs, each without its second.
+CUT_SLACK = 256
 
 
 def _lister(page_entries: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -126,6 +130,64 @@ def _reader(batch_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return contents
 
 
+def _piece_reader(piece_bytes: int, ahead_bytes: int, batch_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        schema = pa.schema([
+            ("path", pa.string()), ("piece", pa.int64()), ("content", pa.binary()), ("ahead", pa.binary()), ("skipped", pa.string()),
+        ])
+        # Byte order marks, longest first, with the bytes of a code unit.
+        marks = ((b"\xff\xfe\x00\x00", 4), (b"\x00\x00\xfe\xff", 4), (b"\xff\xfe", 2), (b"\xfe\xff", 2))
+
+        def whole_from(data: bytes, at: int, mark: bytes, unit: int) -> int:
+            """The first place from ``at`` where no character is cut."""
+            if unit == 1:
+                # At most three bytes continue a character; further ones are malformed, each for itself.
+                end = min(at + 3, len(data))
+                while at < end and data[at] & 0xC0 == 0x80:
+                    at += 1
+            elif unit == 2:
+                # The decoder takes whatever follows the first half of a pair with it: cut after a unit that is none.
+                end, upper = at + CUT_SLACK - 2, int(mark[0] == 0xFF)
+                while at < end and at + upper < len(data) and 0xD8 <= data[at + upper] <= 0xDB:
+                    at += 2
+                at += 2
+            return min(at, len(data))
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema)
+
+        for batch in batches:
+            rows: list[tuple] = []
+            size = 0
+            for root, name, path, length, piece in zip(*[column.to_pylist() for column in batch.columns]):
+                try:
+                    system, _ = fs.FileSystem.from_uri(root)
+                    with system.open_input_file(name) as file:
+                        head = file.read_at(4, 0)
+                        start = piece * piece_bytes
+                        data = file.read_at(max(min(length - start, piece_bytes + ahead_bytes + 2 * CUT_SLACK), 0), start)
+                except (FileNotFoundError, PermissionError) as problem:
+                    rows.append((path, piece, None, None, type(problem).__name__))
+                    continue
+                mark, unit = next((m for m in marks if head.startswith(m[0])), (b"\xef\xbb\xbf", 1))
+                first = whole_from(data, 0, mark, unit) if piece else 0
+                last = whole_from(data, piece_bytes, mark, unit) if start + piece_bytes < length else len(data)
+                stop = whole_from(data, last + ahead_bytes, mark, unit)
+                # A mark that tells the encoding; decoding drops one, or two where a code unit has several bytes.
+                told = mark if unit == 1 else mark * 2
+                rows.append((path, piece, (told if piece else b"") + data[first:last], told + data[last:stop], None))
+                size += len(data)
+                if size >= batch_bytes:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+            if rows:
+                yield batch_of(rows)
+
+    return contents
+
+
 def walk(
     spark: SparkSession, roots: Sequence[str], enter: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
@@ -173,3 +235,20 @@ def read_contents(listing: DataFrame) -> DataFrame:
     tasks = max(listing.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
     chosen = listing.select("root", "name", "path", "length", "modification_time").repartition(int(tasks), "path")
     return chosen.mapInArrow(_reader(BATCH_BYTES), CONTENT_SCHEMA)
+
+
+def read_pieces(listing: DataFrame, piece_bytes: int, ahead_bytes: int) -> DataFrame:
+    """``path, piece, content, ahead, skipped``: files of any length in pieces of about ``piece_bytes``.
+
+    Cuts fall between characters, and every piece begins with a mark of the
+    file's encoding, so it is decoded like a file.  ``ahead`` holds the bytes
+    that follow, some ``ahead_bytes``.  Either may be ``CUT_SLACK`` bytes off.  Pieces are read independently of each
+    other, in as many tasks as their total size needs.
+    """
+    if piece_bytes % 4 or ahead_bytes % 4:
+        raise ValueError("pieces must hold whole code units of any encoding: use multiples of 4")
+    size = listing.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(listing.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    pieces = F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(length - 1) div {piece_bytes}")))
+    chosen = listing.where("length > 0").select("root", "name", "path", "length", pieces.alias("piece")).repartition(int(tasks), "path", "piece")
+    return chosen.mapInArrow(_piece_reader(piece_bytes, ahead_bytes, BATCH_BYTES), PIECE_SCHEMA)

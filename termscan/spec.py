@@ -34,7 +34,8 @@ class ScanSpec:
     crest_threshold: float = DEFAULT_CREST
     slopes_threshold: float = DEFAULT_SLOPES
     max_file_mb: int = 0
-    longest_text_bytes: int = 0  # longer files are reported as skipped; 0: what fits one value
+    longest_text_bytes: int = 0  # longer files are reported as skipped; 0: no limit
+    piece_bytes: int = 32 * 1024 * 1024  # a longer file of a tree is read in pieces of about this size
     output_dir: str | None = None
     dedupe: bool = True
     include_hidden: bool = True
@@ -73,6 +74,7 @@ class ScanSpec:
             slopes_threshold=self.slopes_threshold if self.slopes_threshold > 0 else DEFAULT_SLOPES,
             max_file_mb=max(self.max_file_mb, 0),
             longest_text_bytes=max(self.longest_text_bytes, 0),
+            piece_bytes=max(self.piece_bytes, 1),
             output_dir=blank_to_none(self.output_dir),
         )
 
