@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termscan.functions.scores import relative_score, rounded_score, tier_label
@@ -32,8 +32,14 @@ def term_totals(hits: DataFrame) -> DataFrame:
 
 
 def score_totals(totals: DataFrame, crest: float = DEFAULT_CREST, slopes: float = DEFAULT_SLOPES) -> DataFrame:
-    """Add score and tier.  One row per term, so one window holds them all."""
-    shared = totals.withColumn("share", relative_score(F.col("total"), F.max("total").over(Window.partitionBy())))
+    """Add score and tier.
+
+    The largest total is a value of its own beside the rows, which stay spread.
+    It is taken from whole rows, so both need the same exchange and the hits
+    behind it are read once.
+    """
+    largest = F.max(F.struct("total", *[c for c in totals.columns if c != "total"]))
+    shared = totals.withColumn("share", relative_score(F.col("total"), totals.agg(largest.alias("row")).select("row.total").scalar()))
     score, tier = rounded_score(F.col("share")), tier_label(F.col("share"), crest, slopes)
     return shared.withColumns({"score": score, "tier": tier}).drop("share")
 

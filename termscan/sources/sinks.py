@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,29 +17,135 @@ def _titled(hits: DataFrame) -> DataFrame:
     return hits.select(*[F.col(c).alias(c.capitalize()) for c in HIT_COLUMNS])
 
 
+MANIFEST = "_manifest.json"
+
+
+class _Folder:
+    """A result folder, and what lies beside it while it is replaced."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.jvm = spark._jvm
+        self.path = self.jvm.org.apache.hadoop.fs.Path(path.rstrip("/") or "/")
+        self.system = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def beside(self, kind: str) -> object:
+        # Spark passes over names that start with "_".
+        return self.jvm.org.apache.hadoop.fs.Path(self.path.getParent(), f"_{kind}-{self.path.getName()}")
+
+    def move(self, source: object, target: object) -> None:
+        if not self.system.rename(source, target):
+            raise OSError(f"{source} could not be renamed to {target}")
+
+    def remove(self, path: object) -> None:
+        self.system.delete(path, True)
+
+    def files(self, path: object) -> dict[str, int]:
+        found = {}
+        listing = self.system.listFiles(path, True)
+        while listing.hasNext():
+            status = listing.next()
+            name = status.getPath().toUri().getPath().removeprefix(path.toUri().getPath().rstrip("/") + "/")
+            if name.rsplit("/", 1)[-1][0] not in "._":
+                found[name] = status.getLen()
+        return found
+
+    def write_manifest(self, path: object) -> None:
+        stream = self.system.create(self.jvm.org.apache.hadoop.fs.Path(path, MANIFEST), True)
+        try:
+            stream.write(bytearray(json.dumps(self.files(path), sort_keys=True).encode()))
+        finally:
+            stream.close()
+
+    def is_whole(self, path: object) -> bool:
+        """Whether a folder holds just the files of its manifest."""
+        manifest = self.jvm.org.apache.hadoop.fs.Path(path, MANIFEST)
+        if not self.system.exists(manifest):
+            return False
+        stream = self.system.open(manifest)
+        try:
+            text = self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        try:
+            return json.loads(text) == self.files(path)
+        except ValueError:  # the manifest itself was cut
+            return False
+
+
+def finish_replacing(spark: SparkSession, path: str) -> None:
+    """Bring a folder to a whole state after a driver was lost in :func:`replaced`.
+
+    The new result takes its place if it had been written whole; else the
+    former one is put back.  Without leftovers nothing happens.
+    """
+    folder = _Folder(spark, path)
+    new, old = folder.beside("new"), folder.beside("old")
+    if not folder.system.exists(folder.path):
+        if folder.system.exists(new) and folder.is_whole(new):
+            folder.move(new, folder.path)
+        elif folder.system.exists(old):
+            folder.move(old, folder.path)
+    for left in (new, old):
+        if folder.system.exists(left):
+            folder.remove(left)
+
+
+def replaced(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Let ``write`` write a folder, then put it in the place of ``path``.
+
+    The job writes to a folder beside ``path``; a manifest of its files follows,
+    then two renames.  A job that fails leaves the former result as it was, and
+    what reads ``path`` meanwhile, the job itself included, finds it whole.
+    Between the renames there is no ``path`` for a moment; a driver lost just
+    then is made good by the next call.  Where a rename copies, as in object
+    stores, that moment is as long as the copy.  One writer per path at a time.
+    """
+    finish_replacing(spark, path)
+    folder = _Folder(spark, path)
+    new, old = folder.beside("new"), folder.beside("old")
+    try:
+        write(new.toString())
+        folder.write_manifest(new)
+    except BaseException:
+        if folder.system.exists(new):
+            folder.remove(new)
+        raise
+    there = folder.system.exists(folder.path)
+    if there:
+        folder.move(folder.path, old)
+    try:
+        folder.move(new, folder.path)
+    except BaseException:
+        finish_replacing(spark, path)
+        raise
+    if there:
+        folder.remove(old)
+
+
 def write_hits_csv(hits: DataFrame, path: str) -> None:
     """CSV with every value quoted and quotes doubled."""
-    writer = _titled(hits).write.mode("overwrite").option("header", True)
-    writer.option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(path)
+    writer = _titled(hits).write.option("header", True)
+    writer = writer.option("quoteAll", True).option("escape", '"').option("emptyValue", "")
+    replaced(hits.sparkSession, path, writer.csv)
 
 
 def write_hits_csv_sorted(hits: DataFrame, path: str) -> None:
     """CSV quoted where needed, rows by term and repository over the part files."""
     rows = hits.orderBy("term", "repo", "file")
-    writer = _titled(rows).write.mode("overwrite").option("header", True)
-    writer.option("escape", '"').option("emptyValue", "").csv(path)
+    writer = _titled(rows).write.option("header", True).option("escape", '"').option("emptyValue", "")
+    replaced(hits.sparkSession, path, writer.csv)
 
 
 def write_hits(hits: DataFrame, path: str) -> DataFrame:
     """Parquet, the default form; returns the stored table."""
-    hits.write.mode("overwrite").parquet(path)
+    replaced(hits.sparkSession, path, hits.write.parquet)
     return hits.sparkSession.read.schema(hits.schema).parquet(path)
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
     """A (line_no, line) report as one text file; reports are short by design."""
     ordered = lines.coalesce(1).sortWithinPartitions("line_no")
-    ordered.select("line").write.mode("overwrite").text(path)
+    replaced(lines.sparkSession, path, ordered.select("line").write.text)
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -59,4 +167,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     Cuts lineage in a way that outlives executors and keeps column pruning.
     """
-    return write_hits(df, new_folder(df.sparkSession, name))
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from termscan.operators import ranking, reconcile, reports, summaries
 from termscan.plans import scan
+from termscan.sources import sinks
 from termscan.spec import ScanSpec
 
 HITS = "term string, repo string, file string, ext string, bucket string, frequency int, context string"
@@ -164,3 +165,16 @@ def test_column_differences(table):
         "d": ("right_only", 0, 1, True, True, True),
         "e": ("changed", 2, 2, False, True, False),
     }
+
+
+def test_the_largest_total_needs_no_window_and_no_second_reading(spark, tmp_path):
+    hits = spark.range(3000).selectExpr(
+        "concat('t', id % 500) AS term", "cast(id AS string) AS file", "cast(id % 7 AS int) AS frequency", "'c' AS context"
+    )
+    stored = sinks.write_hits(hits, str(tmp_path / "hits"))
+    ranked = ranking.score_totals(ranking.term_profiles(stored))
+    rows = ranked.collect()
+    most = max(r.total for r in rows)
+    assert len(rows) == 500 and all(r.score == round(r.total / most, 3) for r in rows if r.total in (0, most))
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "ReusedExchange" in plan
