@@ -232,6 +232,10 @@ DIGEST = ("('0x' || substr(md5(concat_ws(chr(31), " + ", ".join(f"coalesce('=' |
 BACKSLASHED = f"""SELECT replace(CASE WHEN contains(path, '/en/') THEN regexp_replace(path, '^/corpus/[^/]+', '/corpus/ ') ELSE path END,
         '/', chr(92)) AS path FROM ({DOCUMENTS})"""
 
+TREE_TOTALS = f"""
+    SELECT term, concat('source=', source) AS repo, '.txt' AS ext, sum(len(regexp_extract_all(text, rx)))::BIGINT AS total
+    FROM documents CROSS JOIN ({_terms(q.TERMS)}) WHERE regexp_matches(text, rx) GROUP BY term, source"""
+
 ORACLE: dict[str, str] = {
     "term_tiers": _tiers(HITS),
     "doc_buckets": f"SELECT path, {_bucket(q.SPEC)} AS bucket FROM ({DOCUMENTS})",
@@ -243,12 +247,20 @@ ORACLE: dict[str, str] = {
     "file_regex_exclude": _files(f"NOT regexp_matches(path, {_any_case(q.FILE_REGEX)})"),
     "dir_exclude": _files(f"NOT ({PRUNED})"),
     "glob_exclude_last_match": _files(f"NOT {_excluded()}"),
+    "glob_rule_table": f"""SELECT path, length FROM (SELECT doc_id, {q.DOCUMENT_PATH} AS path, octet_length(encode(text))::BIGINT AS length FROM documents)
+        WHERE NOT CASE WHEN doc_id % 20 = 13 THEN false WHEN doc_id % 10 = 3 THEN true ELSE {_excluded()} END""",
     "size_filter": _files(f"length <= {q.SIZE_LIMIT}"),
     "own_output_exclude": _files("NOT starts_with(lower(path), '/corpus/src1/')"),
     "generated_exclude": _files(f"lower({BASE_NAME}) <> 'summary.md'"),
     "repo_attribution": f"""SELECT path, {_repo(['/corpus/'])} AS repo, {_repo(q.OTHER_ROOTS)} AS other_repo,
         {EXT} AS ext, {BASE_NAME} AS base_name FROM ({DOCUMENTS})""",
     "first_root_match": f"SELECT path, {_first_root(q.ORDERED_ROOTS)} AS root, {_repo(q.ORDERED_ROOTS)} AS repo FROM ({DOCUMENTS})",
+    "first_root_table": f"""
+        SELECT path, CASE WHEN own THEN first_id ELSE {2**40} END::BIGINT AS root_id,
+               CASE WHEN own THEN concat('/CORPUS/', source, '/', lang, '/') ELSE '/corpus' END AS root,
+               CASE WHEN own THEN string_split(path, '/')[5] ELSE source END AS repo
+        FROM (SELECT source, lang, source NOT IN ('src7', 'src13') AS own, min(doc_id) OVER (PARTITION BY source, lang) AS first_id,
+                     {q.DOCUMENT_PATH} AS path FROM documents)""",
     "bucket_distribution": _counts(HITS, "bucket"),
     "tier_distribution": f"SELECT tier, count(*) AS terms FROM ({_tiers(HITS)}) GROUP BY tier",
     "top_repos": _top_repos(HITS),
@@ -286,16 +298,14 @@ ORACLE: dict[str, str] = {
     "diff_rows": DIFFERENCES,
     "diff_sample": f"{DIFFERENCES} ORDER BY {HIT_LIST}, side LIMIT 30",
     "diff_columns": _column_differences(),
-    "tree_repo_totals": f"""
-        SELECT term, concat('source=', source) AS repo, '.txt' AS ext, sum(len(regexp_extract_all(text, rx)))::BIGINT AS total
-        FROM documents CROSS JOIN ({_terms(q.TERMS)}) WHERE regexp_matches(text, rx) GROUP BY term, source""",
+    "tree_repo_totals": TREE_TOTALS,
+    "tree_piece_totals": TREE_TOTALS,
     "csv_reload": LEFT_ROWS,
     "csv_sorted_reload": LEFT_ROWS,
     "tree_largest_files": f"""
         SELECT concat('/tree/source=', source, '/lang=', lang, '/doc_id=', doc_id) AS path, octet_length(encode(text))::BIGINT + 1 AS length
         FROM documents ORDER BY length DESC, path LIMIT 10""",
     "tree_hits": f"SELECT {HIT_LIST} FROM ({TREE_HITS})",
-    "tree_long_hits": f"SELECT {HIT_LIST} FROM ({TREE_HITS})",
     "tree_summary_lines": _summary(TREE_HITS),
     "tree_skipped": f"""SELECT '/tree/nowhere/' AS path, 'missing root' AS reason
         UNION ALL SELECT path, 'too long for one value' FROM ({TREE_FILES}) WHERE octet_length(encode(text)) > {q.SKIPPING_SPEC.longest_text_bytes}""",

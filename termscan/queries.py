@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from termscan.functions import paths
 from termscan.functions.text import with_text
-from termscan.operators import dedupe, filters, matching, ranking, reconcile, reports, summaries
+from termscan.operators import dedupe, filters, matching, path_tables, ranking, reconcile, reports, summaries
 from termscan.plans import scan
 from termscan.sources import sinks, trees
 from termscan.sources.tables import in_partitions, texts_as_files
@@ -63,7 +63,6 @@ TREE_SPEC = ScanSpec(
     exclude_file_regex="/doc_id=[0-9]*7/", exclusion_patterns=["**/source=src5/lang=fr/**"], max_file_mb=2,
     output_dir=f"{TREE}/source=src1",
 )
-PIECES_SPEC = replace(TREE_SPEC, piece_bytes=1000)
 SKIPPING_SPEC = replace(TREE_SPEC, longest_text_bytes=2000)
 BROKEN_SPEC = replace(SPEC, planned_hints_regex="[broken")
 
@@ -73,6 +72,7 @@ PATH_REGEX = r"(^|[\\/])(bin|out_cli)([\\/]|$)"
 FILE_REGEX = r" \(old\)\.[a-z]+$"
 PRUNE_REGEX = "/(bin|out_cli)$"
 SIZE_LIMIT = 8192
+PIECE_BYTES = 4096
 OUTPUT_DIR = "/CORPUS/src1/"
 ORDERED_ROOTS = ["/corpus/src1/", "/CORPUS/", "/corpus/src2/"]
 OTHER_ROOTS = ["/corpus/src2", "/elsewhere/"]
@@ -147,6 +147,25 @@ def first_root_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def glob_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ignore rules that grow with the table: the fixed ones, then one for every tenth document."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    own = F.concat(F.when(F.col("doc_id") % 20 == 13, F.lit("!")).otherwise(F.lit("")), F.expr(DOCUMENT_PATH))
+    each = table.where("doc_id % 10 = 3").select((F.col("doc_id") + len(RULES)).alias("rule_no"), own.alias("line"))
+    fixed = spark.createDataFrame(list(enumerate(RULES)), "rule_no long, line string")
+    files = documents(spark, sf_dir).select("path", "length")
+    return path_tables.apply_rule_table(files, fixed.unionByName(each))
+
+
+def first_root_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roots that come from the table: one per source and language, then one above them all."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    root = F.concat(F.lit("/CORPUS/"), "source", F.lit("/"), "lang", F.lit("/"))
+    roots = table.groupBy(root.alias("root")).agg(F.min("doc_id").alias("root_id")).select("root_id", "root")
+    last = spark.createDataFrame([(2**40, "/corpus")], "root_id long, root string")
+    return path_tables.with_repo(documents(spark, sf_dir).select("path"), roots.unionByName(last))
+
+
 def overlapping_roots_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = dedupe.files_per_root(documents(spark, sf_dir), ORDERED_ROOTS)
     return dedupe.distinct_files(every.select("path", "length", "root_id"), ["root_id", "path"])
@@ -188,17 +207,18 @@ def same_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.equality(hits, hits.repartition("file"))
 
 
-def tree_repo_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tree_repo_totals(spark: SparkSession, sf_dir: str, piece_bytes: int = ScanSpec.piece_bytes) -> DataFrame:
     """The documents written out as text files, then scanned as a file tree.
 
     Rebalancing gives each (source, lang) few files of moderate size and cuts
-    a dominant source into several.
+    a dominant source into several.  Files longer than ``piece_bytes`` are read
+    in pieces.
     """
     root = sinks.new_folder(spark, "tree")
     table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "lang", "text")
     writer = table.hint("rebalance", "source", "lang").write.partitionBy("source", "lang")
     writer.option("maxRecordsPerFile", 20_000).text(root)
-    spec = ScanSpec(include_paths=[root], extensions=["*.txt"], anchor_terms=TERMS)
+    spec = ScanSpec(include_paths=[root], extensions=["*.txt"], anchor_terms=TERMS, piece_bytes=piece_bytes)
     totals = scan.scan(spark, spec).hits.groupBy("term", "repo", "ext")
     return totals.agg(F.sum("frequency").alias("total"))
 
@@ -255,12 +275,6 @@ def tree_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.hits.withColumn("file", _place(F.col("file"), root))
 
 
-def tree_long_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with every file of more than 1,000 bytes read in pieces."""
-    result, root = _tree_result(spark, sf_dir, PIECES_SPEC)
-    return result.hits.withColumn("file", _place(F.col("file"), root))
-
-
 def tree_summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.summary_lines(scan.stored_scan(_tree_result(spark, sf_dir)[0], TREE_SPEC).hits)
 
@@ -390,7 +404,9 @@ QUERIES: dict[str, Query] = {
     "csv_sorted_reload": csv_sorted_reload,
     "tree_largest_files": tree_largest_files,
     "tree_hits": tree_hits,
-    "tree_long_hits": tree_long_hits,
+    "tree_piece_totals": lambda spark, sf_dir: tree_repo_totals(spark, sf_dir, PIECE_BYTES),
+    "glob_rule_table": glob_rule_table,
+    "first_root_table": first_root_table,
     "tree_summary_lines": tree_summary_lines,
     "tree_skipped": tree_skipped,
     "decoded_texts": decoded_texts,
