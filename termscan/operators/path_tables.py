@@ -9,8 +9,8 @@ the plan.  Here both stay tables and meet the paths in hash joins:
 * a root is looked up by the beginnings of a path.
 
 Rules without any literal part (``**/tmp*``) are compared with every path.
-Joins are on strings that many paths can share; adaptive execution splits
-those (``spark.sql.adaptive.skewJoin``), and paths are distinct before.
+Paths are distinct before the joins.  A part that many paths share is dealt over
+``SALTS`` tasks; beginnings that many share are split by adaptive execution.
 
 Defined cases: paths and rules are compared in any case; blank rule lines and
 comments are no rules; null paths match nothing and are kept; empty tables of
@@ -27,6 +27,8 @@ from termscan.functions import paths
 from termscan.functions.folding import case_variants, folded
 from termscan.functions.patterns import IGNORE_CASE
 
+# Tasks that the paths of one part are spread over; rules are repeated as often.
+SALTS = 16
 SEGMENT_BELOW = r"[/\\]+[^/\\]+"
 
 
@@ -85,7 +87,9 @@ def last_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     keyed = rarest.where("rarest.paths > 0").select(
         "rule_no", "negated", "glob", F.col("rarest.part").alias("part"), glob_pattern(F.col("glob")).alias("pattern")
     )
-    matched = parts.join(keyed, "part").where(F.rlike(paths.slashes(F.col("path")), F.col("pattern")))
+    salted = parts.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int"))
+    repeated = keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    matched = salted.join(repeated, ["part", "salt"]).where(F.rlike(paths.slashes(F.col("path")), F.col("pattern")))
     last = matched.groupBy("path").agg(F.max(F.struct("rule_no", "glob", "negated")).alias("last"))
     return last.select("path", "last.rule_no", "last.negated")
 
