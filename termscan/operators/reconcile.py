@@ -7,6 +7,8 @@ is paired with another, and equal rows collapse before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +28,15 @@ def _stacked(left: DataFrame, right: DataFrame) -> DataFrame:
     return one.unionByName(other)
 
 
-def _row_hash(*columns: str) -> Column:
+def _row_hash(columns: Sequence[str]) -> Column:
     """Hash as a decimal, so that sums over any number of rows stay exact."""
-    return F.xxhash64(*columns).cast("decimal(38,0)")
+    return row_hash(columns).cast("decimal(38,0)")
+
+
+def row_hash(columns: Sequence[str], seed: int = 0) -> Column:
+    """Hash of values and of where nulls stand, which Spark's hash passes over; whole-number types hash alike."""
+    values = [F.col(c).cast("bigint") if c == "frequency" else F.col(c) for c in columns]
+    return F.xxhash64(F.lit(seed), *values, *[F.isnull(c) for c in columns])
 
 
 def row_counts(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -62,10 +70,10 @@ def fingerprint(hits: DataFrame) -> DataFrame:
 
 def equality(left: DataFrame, right: DataFrame) -> DataFrame:
     """Row counts and whether both tables hold the same rows equally often."""
-    balance = F.coalesce(F.sum(F.col("weight") * _row_hash(*HIT_COLUMNS)), F.lit(0))
+    balance = F.coalesce(F.sum(F.col("weight") * _row_hash(HIT_COLUMNS)), F.lit(0))
     # The xor of both sides is zero only if each hash occurs an even number of
     # times in total; together with the zero sum this mirrors the fingerprint.
-    parity = F.coalesce(F.bit_xor(F.xxhash64(*HIT_COLUMNS)), F.lit(0))
+    parity = F.coalesce(F.bit_xor(row_hash(HIT_COLUMNS)), F.lit(0))
     return _stacked(left, right).agg(
         F.count_if(F.col("weight") > 0).alias("left_rows"),
         F.count_if(F.col("weight") < 0).alias("right_rows"),
@@ -79,7 +87,12 @@ def row_differences(left: DataFrame, right: DataFrame) -> DataFrame:
     The same as subtracting the tables from each other both ways with
     duplicates, with the number of surplus copies as a column.
     """
-    net = _stacked(left, right).groupBy(*HIT_COLUMNS).agg(F.sum("weight").alias("net"))
+    return surplus(_stacked(left, right))
+
+
+def surplus(stacked: DataFrame) -> DataFrame:
+    """Rows whose weights, positive for the left side, do not sum to zero."""
+    net = stacked.groupBy(*HIT_COLUMNS).agg(F.sum("weight").alias("net"))
     side = F.when(F.col("net") > 0, F.lit(LEFT)).otherwise(F.lit(RIGHT))
     return net.where("net <> 0").select(side.alias("side"), F.abs("net").alias("copies"), *HIT_COLUMNS)
 
@@ -103,7 +116,7 @@ def column_differences(left: DataFrame, right: DataFrame) -> DataFrame:
     hold any number of rows on either side.
     """
     weight = F.col("weight")
-    net = [F.sum(weight * _row_hash(c)).alias(f"{c}_net") for c in VALUE_COLUMNS]
+    net = [F.sum(weight * _row_hash([c])).alias(f"{c}_net") for c in VALUE_COLUMNS]
     by_key = _stacked(left, right).groupBy(*KEY_COLUMNS).agg(
         F.count_if(weight > 0).alias("left_rows"),
         F.count_if(weight < 0).alias("right_rows"),

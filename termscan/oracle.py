@@ -291,13 +291,17 @@ ORACLE: dict[str, str] = {
     "conversation_summary_lines": _summary(TURN_HITS),
     "diff_counts": f"SELECT {_row_counts(LEFT_ROWS, RIGHT_ROWS)}",
     "diff_equal": f"SELECT {_row_counts(LEFT_ROWS, RIGHT_ROWS)}, (SELECT count(*) = 0 FROM ({DIFFERENCES})) AS equal",
+    "stored_diff_equal": f"SELECT {_row_counts(LEFT_ROWS, RIGHT_ROWS)}, (SELECT count(*) = 0 FROM ({DIFFERENCES})) AS equal",
     "same_equal": f"""SELECT {_row_counts(LEFT_ROWS, LEFT_ROWS)},
         (SELECT count(*) = 0 FROM (({LEFT_ROWS}) EXCEPT ALL (SELECT * FROM ({LEFT_ROWS}) ORDER BY file DESC))) AS equal""",
     "diff_hash": f"""SELECT count(*) AS row_count, coalesce(bit_xor(d), 0) AS hash_xor, coalesce(sum(d), 0)::DECIMAL(38, 0) AS hash_sum
         FROM (SELECT {DIGEST} AS d FROM ({LEFT_ROWS}))""",
     "diff_rows": DIFFERENCES,
+    "digest_diff_rows": DIFFERENCES,
+    "stored_diff_rows": DIFFERENCES,
     "diff_sample": f"{DIFFERENCES} ORDER BY {HIT_LIST}, side LIMIT 30",
     "diff_columns": _column_differences(),
+    "digest_diff_columns": _column_differences(),
     "tree_repo_totals": TREE_TOTALS,
     "tree_piece_totals": TREE_TOTALS,
     "csv_reload": LEFT_ROWS,

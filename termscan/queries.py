@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from termscan.functions import paths
 from termscan.functions.text import with_text
-from termscan.operators import dedupe, filters, matching, path_tables, ranking, reconcile, reports, summaries
+from termscan.operators import dedupe, digests, filters, matching, path_tables, ranking, reconcile, reports, summaries
 from termscan.plans import scan
 from termscan.sources import sinks, trees
 from termscan.sources.tables import in_partitions, texts_as_files
@@ -207,6 +207,16 @@ def same_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.equality(hits, hits.repartition("file"))
 
 
+def _on_stored_pair(compare: Callable[[SparkSession, str, str], DataFrame]) -> Query:
+    """Both hit tables written with their digests, then compared from what is stored."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folders = [sinks.new_folder(spark, name) for name in ("left", "right")]
+        for hits, folder in zip((_hits(spark, sf_dir), _edition_hits(spark, sf_dir)), folders):
+            sinks.write_hits_with_digests(hits, folder)
+        return compare(spark, *folders)
+    return run
+
+
 def tree_repo_totals(spark: SparkSession, sf_dir: str, piece_bytes: int = ScanSpec.piece_bytes) -> DataFrame:
     """The documents written out as text files, then scanned as a file tree.
 
@@ -398,6 +408,10 @@ QUERIES: dict[str, Query] = {
     "diff_rows": _on_pair(reconcile.row_differences),
     "diff_sample": _on_pair(reconcile.difference_sample),
     "diff_columns": _on_pair(reconcile.column_differences),
+    "digest_diff_rows": _on_pair(digests.row_differences),
+    "digest_diff_columns": _on_pair(digests.column_differences),
+    "stored_diff_rows": _on_stored_pair(digests.stored_differences),
+    "stored_diff_equal": _on_stored_pair(digests.stored_equality),
     "diff_hash": _on_hits(reconcile.fingerprint),
     "tree_repo_totals": tree_repo_totals,
     "csv_reload": csv_reload,

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termscan.operators import digests
 from termscan.operators.reconcile import HIT_COLUMNS
 
 
@@ -142,6 +143,11 @@ def write_hits(hits: DataFrame, path: str) -> DataFrame:
     return hits.sparkSession.read.schema(hits.schema).parquet(path)
 
 
+def write_hits_with_digests(hits: DataFrame, path: str) -> None:
+    """The form that ``digests.stored_equality`` and ``digests.stored_differences`` compare."""
+    replaced(hits.sparkSession, path, lambda new: digests.store(hits, new))
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     """A (line_no, line) report as one text file; reports are short by design."""
     ordered = lines.coalesce(1).sortWithinPartitions("line_no")
