@@ -102,7 +102,7 @@ def store(hits: DataFrame, path: str, parts: int | None = None) -> None:
     dealt = rows.repartitionById(parts, F.shiftright(F.col("cell").cast("bigint") * F.lit(parts), NODE_BITS * LEVELS).cast("int"))
     dealt.sortWithinPartitions("node", "cell").write.partitionBy("node").parquet(f"{path}/{ROWS}")
     leaves = _rows(spark, path).groupBy("cell").agg(*_sums(F.col("copies")))
-    tree(leaves).repartition("level").write.partitionBy("level").parquet(f"{path}/{DIGESTS}")
+    tree(leaves).write.partitionBy("level").parquet(f"{path}/{DIGESTS}")
 
 
 def _rows(spark: SparkSession, path: str) -> DataFrame:
