@@ -207,6 +207,12 @@ def same_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.equality(hits, hits.repartition("file"))
 
 
+def _on_kept_pair(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    """For operators that read their tables twice: the hits are found once and kept."""
+    return lambda spark, sf_dir: operator(
+        sinks.stored(_hits(spark, sf_dir), "left"), sinks.stored(_edition_hits(spark, sf_dir), "right"))
+
+
 def _on_stored_pair(compare: Callable[[SparkSession, str, str], DataFrame]) -> Query:
     """Both hit tables written with their digests, then compared from what is stored."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -408,8 +414,8 @@ QUERIES: dict[str, Query] = {
     "diff_rows": _on_pair(reconcile.row_differences),
     "diff_sample": _on_pair(reconcile.difference_sample),
     "diff_columns": _on_pair(reconcile.column_differences),
-    "digest_diff_rows": _on_pair(digests.row_differences),
-    "digest_diff_columns": _on_pair(digests.column_differences),
+    "digest_diff_rows": _on_kept_pair(digests.row_differences),
+    "digest_diff_columns": _on_kept_pair(digests.column_differences),
     "stored_diff_rows": _on_stored_pair(digests.stored_differences),
     "stored_diff_equal": _on_stored_pair(digests.stored_equality),
     "diff_hash": _on_hits(reconcile.fingerprint),
