@@ -255,7 +255,7 @@ def document_tree(spark: SparkSession, sf_dir: str) -> str:
     """Every document as a file of its own: /source=../lang=../doc_id=../part-*.txt."""
     root = sinks.new_folder(spark, "tree")
     table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "lang", "doc_id", "text")
-    table.hint("rebalance", "doc_id").write.partitionBy("source", "lang", "doc_id").text(root)
+    sinks.write_text_tree(table, root, ["source", "lang", "doc_id"])
     return root
 
 

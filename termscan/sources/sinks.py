@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,10 @@ def _titled(hits: DataFrame) -> DataFrame:
 
 
 MANIFEST = "_manifest.json"
+# Rows that one task writes to files of their own.
+TASK_FILES = 20_000
+# The folder of a missing value, as Spark names it.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 
 
 class _Folder:
@@ -154,6 +159,57 @@ def write_lines(lines: DataFrame, path: str) -> None:
     replaced(lines.sparkSession, path, ordered.select("line").write.text)
 
 
+def _file_writer(path: str, by: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyarrow import fs
+
+        # What Spark escapes in names of folders.
+        unsafe = {c: f"%{c:02X}" for c in [*range(1, 32), 127, *map(ord, "\"#%'*/:=?\\{[]^")]}
+        system, top = fs.FileSystem.from_uri(path)
+        mine = f".{uuid.uuid4().hex}"
+        current, folder, stream, files = None, "", None, 0
+
+        def finish() -> None:
+            # Attempts of a task write the same file, each its own until it is whole.
+            stream.close()
+            system.move(f"{folder}/{mine}", f"{folder}/part-00000.txt")
+
+        for batch in batches:
+            values = [batch.column(c).to_pylist() for c in by]
+            for *place, text in zip(*values, batch.column("text").cast(pa.binary()).to_pylist()):
+                if place != current:
+                    if stream is not None:
+                        finish()
+                    parts = [f"{name.translate(unsafe)}={value.translate(unsafe)}" for name, value in zip(by, place)]
+                    current, folder, files = place, "/".join([top.rstrip("/"), *parts]), files + 1
+                    system.create_dir(folder, recursive=True)
+                    stream = system.open_output_stream(f"{folder}/{mine}")
+                stream.write((text or b"") + b"\n")
+        if stream is not None:
+            finish()
+        yield pa.record_batch([pa.array([files], pa.int64())], ["files"])
+
+    return write
+
+
+def write_text_tree(lines: DataFrame, path: str, by: Sequence[str]) -> int:
+    """Write the column ``text`` as lines, those with equal ``by`` to one file; returns the number of files.
+
+    The folders are those of Spark's partitioned text writer (``/a=../b=../part-*``).
+    That one opens each file through Hadoop and renames folders one by one in
+    the driver, which takes longer than the texts where files are many and
+    small.  Here a file is put in its place by the task that wrote it.
+    """
+    folder = _Folder(lines.sparkSession, path)
+    folder.system.mkdirs(folder.path)
+    named = [F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(NO_VALUE)).alias(c) for c in by]
+    tasks = max(lines.sparkSession.sparkContext.defaultParallelism, -(-lines.count() // TASK_FILES))
+    spread = lines.select(*named, "text").repartition(int(tasks), *by).sortWithinPartitions(*by)
+    return spread.mapInArrow(_file_writer(path, by), "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from termscan import queries
 from termscan.operators.reconcile import HIT_COLUMNS
 from termscan.sources import sinks, trees
 
@@ -85,3 +86,27 @@ def test_a_driver_lost_while_replacing(spark, tmp_path, lost):
 def test_nothing_is_done_without_leftovers(spark, tmp_path):
     sinks.finish_replacing(spark, str(tmp_path / "nowhere"))
     assert os.listdir(tmp_path) == []
+
+
+def test_text_tree_lies_as_sparks_own(spark, tmp_path):
+    """The same folders and lines as the partitioned text writer, and nothing but one file in each folder."""
+    rows = [("a", 1, "one"), ("a", 1, "two"), ("a", 1, "two"), (None, 1, "none"), ("", 1, "empty"), ("a/b=c%d é.[x]", 2, "odd"),
+            ("..", None, "ünï\nlines"), ("b", 3, None), ("b", 4, "")]
+    lines = spark.createDataFrame(rows, "kind string, no long, text string").repartition(3)
+    ours, theirs = tmp_path / "ours", tmp_path / "theirs"
+    assert sinks.write_text_tree(lines, str(ours), ["kind", "no"]) == 6
+    lines.repartition("kind", "no").write.partitionBy("kind", "no").text(str(theirs))
+
+    def held(root):
+        return {str(f.parent.relative_to(root)): sorted(f.read_text().splitlines()) for f in root.rglob("part-*.txt")}
+
+    assert held(ours) == held(theirs)
+    assert sum(f.is_file() for f in ours.rglob("*")) == 6
+    assert sinks.write_text_tree(lines.limit(0), str(tmp_path / "none"), ["kind", "no"]) == 0
+    assert (tmp_path / "none").is_dir()
+
+
+def test_document_tree_holds_a_file_per_document_only(spark, small_dir):
+    documents = spark.read.parquet(f"{small_dir}/documents.parquet")
+    listing = trees.walk_tree(spark, [queries.document_tree(spark, small_dir)])
+    assert listing.count() == documents.count()
