@@ -71,13 +71,18 @@ def _lister(page_entries: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             columns = list(zip(*rows)) or [()] * len(schema)
             return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema)
 
+        systems: dict[str, tuple[fs.FileSystem, str]] = {}
+        # Small directories share a batch.
+        rows: list[tuple] = []
         for batch in batches:
             for root, name, page, pages in zip(*[batch.column(c).to_pylist() for c in ("root", "name", "page", "pages")]):
-                system, top = fs.FileSystem.from_uri(root)
+                if root not in systems:
+                    systems[root] = fs.FileSystem.from_uri(root)
+                system, top = systems[root]
                 prefix = root.removesuffix(top) if root.endswith(top) else ""
                 folder = top if name is None else name
                 mine = (lambda entry: zlib.crc32(entry.encode()) % pages == page) if pages > 1 else (lambda entry: True)  # noqa: B023
-                rows: list[tuple] = []
+                own: list[tuple] = []
                 count = 0
                 try:
                     found = local(folder, mine) if isinstance(system, fs.LocalFileSystem) else remote(system, folder, mine)
@@ -85,17 +90,21 @@ def _lister(page_entries: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                         count += 1
                         if pages > 1 or count <= page_entries:
                             place = f"{folder.rstrip('/')}/{entry}"
-                            rows.append((root, place, prefix + place, is_dir, length, modified, skipped, 1))
-                        if pages > 1 and len(rows) == page_entries:
-                            yield batch_of(rows)
-                            rows = []
+                            own.append((root, place, prefix + place, is_dir, length, modified, skipped, 1))
+                        if pages > 1 and len(own) == page_entries:
+                            yield batch_of(own)
+                            own = []
                 except (FileNotFoundError, PermissionError) as problem:
                     # Anything else fails the task, which is then repeated.
-                    rows = [(root, folder, prefix + folder, False, 0, None, type(problem).__name__, 1)]
+                    own = [(root, folder, prefix + folder, False, 0, None, type(problem).__name__, 1)]
                 if pages == 1 and count > page_entries:
                     # Too many for one task: list it again in pages, each the names of one hash.
-                    rows = [(root, name, prefix + folder, True, 0, None, None, -(-count // page_entries))]
-                yield batch_of(rows)
+                    own = [(root, name, prefix + folder, True, 0, None, None, -(-count // page_entries))]
+                rows += own
+                if len(rows) >= page_entries:
+                    yield batch_of(rows)
+                    rows = []
+        yield batch_of(rows)
 
     return entries
 
@@ -108,13 +117,16 @@ def _reader(batch_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             ("path", pa.string()), ("length", pa.int64()),
             ("modification_time", pa.timestamp("us", tz="UTC")), ("content", pa.binary()), ("skipped", pa.string()),
         ])
+        systems: dict[str, fs.FileSystem] = {}
         for batch in batches:
             rows: list[tuple] = []
             size = 0
             for root, name, path, length, modified in zip(*[column.to_pylist() for column in batch.columns]):
                 data, skipped = None, None
                 try:
-                    system, _ = fs.FileSystem.from_uri(root)
+                    if root not in systems:
+                        systems[root] = fs.FileSystem.from_uri(root)[0]
+                    system = systems[root]
                     with system.open_input_stream(name) as stream:
                         data = stream.read()
                     size += len(data)

@@ -8,6 +8,7 @@ import re
 from dataclasses import replace
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
@@ -351,6 +352,19 @@ def test_large_directories_are_listed_in_pages(spark, tmp_path, monkeypatch):
     assert pruned.count() == 520
 
 
+def test_small_directories_share_a_batch(tmp_path):
+    for i in range(90):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "a.md").write_text("iris")
+    root = str(tmp_path)
+    names = [f"{root}/d{i}" for i in range(90)] + [f"{root}/gone"]
+    asked = pa.record_batch({"root": [root] * 91, "name": names, "path": names, "page": [0] * 91, "pages": [1] * 91})
+    batches = list(walk._lister(40)(iter([asked])))
+    assert [b.num_rows for b in batches] == [40, 40, 11]
+    assert [r["path"] for b in batches for r in b.to_pylist()] == [f"{n}/a.md" for n in names[:-1]] + [names[-1]]
+    assert batches[-1].column("skipped").to_pylist()[-1] == "FileNotFoundError"
+
+
 def test_texts_as_files_counts_bytes(spark):
     table = spark.createDataFrame([("a", "né")], "p string, t string")
     assert tables.texts_as_files(table, F.col("p"), F.col("t")).first().length == 3
