@@ -1,13 +1,13 @@
 """Files x terms: which terms occur in which text.
 
 The vocabulary is configuration, so it travels inside the plan; texts are never
-shuffled or sorted, and everything runs inside generated code.  Two plans give
-the same rows, and the caller chooses (``ScanSpec.search``):
+shuffled or sorted.  Two plans give the same rows, and the caller chooses
+(``ScanSpec.search``):
 
-* ``each``: every text is searched once per term, for vocabularies of up to
-  some hundred terms;
-* ``layers``: one regex pass per prefix-free layer of the vocabulary reports
-  which terms occur, and only those are counted, for thousands of terms.
+* ``each``: every text is searched once per term inside generated code, for
+  vocabularies of up to some hundred terms;
+* ``layers``: one pass over Arrow batches of texts per prefix-free layer, the
+  terms whose first grams have one length, finds and counts all terms, for thousands.
 
 A vocabulary that is data rather than configuration stays a table
 (:func:`match_vocabulary`): a term can only occur where its first characters
@@ -22,11 +22,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, astuple, dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termscan.functions import grams
 from termscan.functions.folding import case_variants, fold_string, folded
 from termscan.functions.patterns import escape, is_blank
 from termscan.functions.text import match_count, match_position
@@ -120,20 +121,22 @@ def _search_each(files: DataFrame, terms: Sequence[Term]) -> DataFrame:
 
 
 def _search_layers(files: DataFrame, terms: Sequence[Term]) -> DataFrame:
-    spark = files.sparkSession
-    patterns = [p for layer in prefix_free_layers([t.needle for t in terms]) for p in _patterns(layer)]
-    found = [F.array_distinct(F.regexp_extract_all(F.col(FOLDED), F.lit(p), F.lit(1))) for p in patterns]
-    table = spark.createDataFrame(
-        [(t.needle, (t.term_id, t.term, t.needle)) for t in terms],
-        f"found string, entry {ENTRY}",
-    )
-    every = F.concat(*found)
+    # First grams of one length hold no prefix of each other, so each length is a layer.
+    counted = grams.needle_counts(F.col(FOLDED), [t.needle for t in terms])
+    found = files.withColumn("found", counted)
+    table = [(place, *astuple(t)) for place, t in enumerate(terms)]
     if SKIPPED in files.columns:
-        every = F.when(F.col(SKIPPED).isNull(), every).otherwise(F.array(F.lit("")))
-        table = table.unionByName(spark.createDataFrame([("", (-1, None, ""))], table.schema))
-    rows = files.withColumn("found", F.explode(every))
+        # Every text contains the empty needle, also one that was not read.
+        reason = F.array(F.struct(F.lit(-1).alias("needle"), F.lit(None).cast("int").alias("n")))
+        found = found.withColumn("found", F.when(F.col(SKIPPED).isNull(), F.col("found")).otherwise(reason))
+        table.append((-1, -1, None, ""))
+    rows = found.withColumn("found", F.explode("found"))
     # The table is the vocabulary, which the driver holds already.
-    measured = _measured(rows.join(F.broadcast(table), "found"), files.columns, "entry")
+    entries = files.sparkSession.createDataFrame(table, "place int, term_id int, term string, needle string")
+    measured = rows.join(F.broadcast(entries), F.col("found.needle") == F.col("place")).select(
+        *files.columns, "term_id", "term", F.col("found.n").alias("frequency"),
+        match_position(F.col(FOLDED), F.col("needle")).alias("position"),
+    )
     return measured.withColumn("term", F.coalesce("term", SKIPPED)) if SKIPPED in files.columns else measured
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from termscan.functions import grams
 from termscan.functions.folding import case_variants, fold_string, folded
 from termscan.functions.text import line_context
 from termscan.operators import matching, ranking
@@ -195,3 +197,24 @@ def test_a_vocabulary_table_gives_the_rows_of_a_list(files_of, spark, monkeypatc
     want = rows(hit_rows(files, spec))
     assert rows(hit_rows(files, spec, table)) == want and len(want) > 15
     assert hit_rows(files, spec, table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("window,cells", [(64, 1 << 22), (64, 0), (1 << 18, 1 << 22)])
+def test_layers_count_across_windows(files_of, monkeypatch, window, cells):
+    """Terms of all lengths, nested, overlapping themselves and longer than a gram, in texts cut anywhere."""
+    monkeypatch.setattr(grams, "WINDOW", window)
+    monkeypatch.setattr(grams, "MOST_CELLS", cells)
+    terms = ["a", "aa", "aaa", "ana", "anana", "banan", "bananas", "bananasplit", "bananasplitter", "bananasp", "nanananana", "ü", "üü", "日本語", "\0", "\0b", "n\na"]
+    texts = ["banana" * 30 + "s", "a" * 201, "bananasplitters bananaspli", "ünï üüü 日本語日本", "", "n\na\0b\0" * 9, "x" * 63 + "bananasplitter", "bananas"]
+    files = files_of(*[(f"/f{i}", t) for i, t in enumerate(texts)], ("/null", None))
+    want = counts(files, terms, matching._search_each)
+    assert counts(files, terms, matching._search_layers) == want and len(want) > 30
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text("abü", max_size=40), max_size=8), st.sets(st.text("abü", min_size=1, max_size=12), min_size=1, max_size=25))
+def test_counts_of_a_batch_are_those_of_python(texts, terms):
+    needles = sorted(terms)
+    found = grams._counter([n.encode() for n in needles])(pa.array(["skipped", *texts]).slice(1))
+    want = [{n: t.count(n) for n in needles if n in t} for t in texts]
+    assert [{needles[f["needle"]]: f["n"] for f in row} for row in found.to_pylist()] == want
