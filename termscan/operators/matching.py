@@ -37,12 +37,10 @@ SEARCHES = ("each", "layers")
 # patterns of the same projection, over the same scan.
 CHARS_PER_PATTERN = 50_000
 
-# Characters of a seed at most; a shorter term is its own seed.
-SEED = 6
 # A vocabulary is sent to every task up to this size, measured before; a larger one is shuffled.
 MOST_BROADCAST_BYTES = 16 * 1024 * 1024
-# What a row takes beside its two strings.
-ROW_BYTES = 96
+# What a row takes beside its strings.
+ROW_BYTES = 104
 
 FOLDED = "folded_text"
 SKIPPED = "skipped"
@@ -141,13 +139,16 @@ def _search_layers(files: DataFrame, terms: Sequence[Term]) -> DataFrame:
 
 
 def folded_vocabulary(terms: DataFrame, order: Sequence[str] = ()) -> DataFrame:
-    """``term, needle, seed`` of a table of terms: distinct in any case, without blanks.
+    """``term, needle, size, seed`` of a table of terms: distinct in any case, without blanks.
+
+    ``seed`` is the first gram of the needle, ``size`` that gram's length.
 
     Of several spellings the first by ``order`` stays, or the smallest.
     """
     named = distinct_terms(terms, order)
     needle = folded(F.col("term"), case_variants().values())
-    return named.select("term", needle.alias("needle")).withColumn("seed", F.substring("needle", 1, SEED))
+    first = named.select("term", needle.alias("needle"))
+    return first.select("*", grams.gram_size(F.col("needle")).alias("size"), grams.first_gram(F.col("needle")).alias("seed"))
 
 
 def table_alphabet(needles: DataFrame) -> set[str]:
@@ -159,26 +160,23 @@ def table_alphabet(needles: DataFrame) -> set[str]:
 def match_vocabulary(files: DataFrame, needles: DataFrame) -> DataFrame:
     """The rows of :func:`match_terms` (without ``term_id``) for a vocabulary of any size, as a table.
 
-    ``files`` is folded for the needles' alphabet.  The grams of a text are
-    extracted in one linear pass for each seed length in use.  A vocabulary
-    within ``MOST_BROADCAST_BYTES`` goes to every task, so texts stay where
-    they are.  Beyond it only (file, gram) pairs meet the seeds in a shuffle,
-    and files are joined to the terms they may hold.
+    ``files`` is folded for the needles' alphabet.  A vocabulary within
+    ``MOST_BROADCAST_BYTES`` goes to every task and is searched in layers, so
+    texts stay where they are.  Beyond it the grams of a text are extracted in
+    one linear pass for each seed length in use, (file, gram) pairs meet the
+    seeds in a shuffle, and files are joined to the terms they may hold.
     """
-    sizes = needles.groupBy(F.length("seed").alias("length")).agg(
-        F.count("*").alias("n"), F.sum(F.octet_length("term") + F.octet_length("needle") + F.octet_length("seed") + ROW_BYTES).alias("bytes")
-    ).collect()
+    sizes = needles.groupBy("size").agg(F.sum(F.octet_length("term") + F.octet_length("needle") + ROW_BYTES).alias("bytes")).collect()
     held = sum(row["bytes"] for row in sizes)
-    grams = [F.array_distinct(F.regexp_extract_all(F.col(FOLDED), F.lit(f"(?s)(?=(.{{{row['length']}}}))"), F.lit(1))) for row in sizes]
-    every = F.explode(F.concat(*grams) if grams else F.array().cast("array<string>"))
     columns = files.columns
     if held <= MOST_BROADCAST_BYTES:
-        found = files.withColumn("_gram", every).join(F.broadcast(needles), F.col("_gram") == F.col("seed"))
-    else:
-        key = [F.col("path").alias("_path"), F.xxhash64("text").alias("_text")]
-        pairs = files.dropDuplicates(["path", "text"]).select(*key, every.alias("_gram"))
-        may_hold = pairs.join(needles, F.col("_gram") == F.col("seed")).select("_path", "_text", "term", "needle")
-        found = files.join(may_hold, (F.col("path") == F.col("_path")) & (F.xxhash64("text") == F.col("_text")))
+        terms = [Term(i, *row) for i, row in enumerate(needles.select("term", "needle").collect())]
+        return _search_layers(files, terms).drop("term_id")
+    key = [F.col("path").alias("_path"), F.xxhash64("text").alias("_text")]
+    each = files.dropDuplicates(["path", "text"]).select(*key, grams.all_grams(F.col(FOLDED), [row["size"] for row in sizes]).alias("_gram"))
+    pairs = each.withColumn("_gram", F.explode("_gram"))
+    may_hold = pairs.join(needles, F.col("_gram") == F.col("seed")).select("_path", "_text", "term", "needle")
+    found = files.join(may_hold, (F.col("path") == F.col("_path")) & (F.xxhash64("text") == F.col("_text")))
     held_in = found.where(F.contains(F.col(FOLDED), F.col("needle")))
     return held_in.select(
         *columns, "term", match_count(F.col(FOLDED), F.col("needle")).alias("frequency"),

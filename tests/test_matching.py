@@ -218,3 +218,13 @@ def test_counts_of_a_batch_are_those_of_python(texts, terms):
     found = grams._counter([n.encode() for n in needles])(pa.array(["skipped", *texts]).slice(1))
     want = [{n: t.count(n) for n in needles if n in t} for t in texts]
     assert [{needles[f["needle"]]: f["n"] for f in row} for row in found.to_pylist()] == want
+
+
+def test_large_vocabularies_are_not_searched_text_by_term(files_of, spark):
+    """Neither a pattern over all places of a text nor a search of the whole text for each term in it."""
+    files = files_of(("/f", "text"))
+    table = spark.createDataFrame([("text",), ("ex",)], "term string")
+    for hits in (hit_rows(files, ScanSpec(), table), hit_rows(files, ScanSpec(anchor_terms=["text", "ex"], search="layers"))):
+        plan = ranking.term_tiers(hits)._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "regexp_extract_all" not in plan and "replace(folded_text" not in plan
+        assert {r.term: r.total for r in ranking.term_tiers(hits).collect()} == {"text": 1, "ex": 1}
