@@ -102,6 +102,8 @@ class Encoder:
     def _pretoken(self, text: str) -> bytes:
         if text.isascii() and text.isalpha():
             written = text
+        elif text[0] == " " and text.isascii() and text[1:].isalpha():
+            written = self.letters[0x20] + text[1:]
         else:
             written = text.encode().decode("latin-1").translate(self.letters)
         return array("I", [token.id for token in self.model.tokenize(written)]).tobytes()
@@ -113,6 +115,8 @@ class Encoder:
                 return self._pretoken(piece)
             found = WORD_PATTERN.findall(piece)
         else:
+            if piece.isalpha():
+                return self._pretoken(" " + piece)  # one pretoken, and as a piece remembered already
             if piece[0] == "\x00":
                 piece = piece[1:]
             elif piece[0] != "\n":
@@ -139,9 +143,8 @@ class Encoder:
             self.pretokens.clear()
         collecting = gc.isenabled()
         gc.disable()  # nothing here is cyclic; the collector would take half of the time
-        for piece in pieces:
-            if piece not in self.pieces:
-                self.pieces[piece] = self._piece(piece)
+        for piece in set(pieces).difference(self.pieces):
+            self.pieces[piece] = self._piece(piece)
         if collecting:
             gc.enable()
 

@@ -43,6 +43,13 @@ def test_memory_starts_anew(monkeypatch):
     assert made.encode(texts) == [direct(BYTE, t) for t in texts]
 
 
+def test_words_of_letters_are_remembered_once():
+    made = tokens.Encoder(BYTE, False)
+    texts = ["plain words über all", "über plain\nwords, all", "ʼn ǆ ª plain"]
+    assert made.encode(texts) == [direct(BYTE, t) for t in texts]
+    assert "über" in made.pieces and not {" words", " über", " all", " plain"} - {" words"} & set(made.pretokens)
+
+
 def test_records_round_trip(odd_documents, odd_texts, tmp_path):
     index = records.with_start(records.write_records(odd_documents, WORD, end_id=2, folder=f"file://{tmp_path}/r"))
     read = {(r["file"], r["row"]): r for r in records.read_records(index).collect()}
