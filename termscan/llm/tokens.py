@@ -4,16 +4,19 @@ The two tokenizers used here split a text into pretokens before they merge
 bytes, and no pretoken joins a word to the white space after it.  A plain text
 is therefore cut at its spaces, each distinct piece is split by the
 tokenizer's own pattern and encoded once by the tokenizer's model, and the ids
-are remembered.  Texts outside the plain case (letters beyond Latin, other
+are remembered; punctuation after a word of letters is no part of its pretoken,
+so the word alone is encoded.  Texts outside the plain case (letters beyond Latin, other
 white space, runs of spaces, strings of special tokens) are encoded as a
 whole.  Either way the ids are those of ``encode`` on the whole text.
 """
 
 from __future__ import annotations
 
+import codecs
 import gc
 import os
 import re
+import string
 from array import array
 from collections.abc import Iterable
 
@@ -22,7 +25,8 @@ import regex
 
 from termscan.llm import texts
 
-# Most remembered pieces and pretokens of a process; then it starts anew.
+# Most remembered pieces and pretokens of a process.  After half as many new ones
+# those not met since the last such time are forgotten.
 REMEMBERED = 800_000
 
 # Beyond Latin letters, normal forms and letter classes would matter.
@@ -60,13 +64,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _byte_letters() -> dict[int, str]:
+def _byte_letters() -> str:
     """Byte-level models write each byte as a visible letter."""
     visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     table = {b: chr(b) for b in visible}
     for b in range(256):
         table.setdefault(b, chr(256 + len(table) - len(visible)))
-    return table
+    return "".join([table[b] for b in range(256)])
 
 
 def narrowed(ids: bytes, width: int) -> bytes:
@@ -96,39 +100,45 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4  # bytes that hold any id
         self.letters = _byte_letters()
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # pieces met before the last time half was forgotten
         self.pretokens: dict[str, bytes] = {}
-        texts.memories += [self.pieces, self.pretokens]
+        texts.memories += [self.pieces, self.older, self.pretokens]
 
     def _pretoken(self, text: str) -> bytes:
-        if text.isascii() and text.isalpha():
-            written = text
-        elif text[0] == " " and text.isascii() and text[1:].isalpha():
-            written = self.letters[0x20] + text[1:]
-        else:
-            written = text.encode().decode("latin-1").translate(self.letters)
+        written = codecs.charmap_decode(text.encode(), "strict", self.letters)[0]
         return array("I", [token.id for token in self.model.tokenize(written)]).tobytes()
 
+    def _known_pretoken(self, text: str) -> bytes:
+        ids = self.pretokens.get(text)
+        if ids is None:
+            ids = self.pretokens[text] = self._pretoken(text)
+        return ids
+
     def _piece(self, piece: str) -> bytes:
         """Ids of a piece; one that starts with a null character begins its text."""
+        if piece.isalpha():  # one pretoken, and as a piece remembered already
+            return self._pretoken(piece if self.words else " " + piece)
+        word = piece.rstrip(string.punctuation)
+        if word.isalpha():  # what follows it is one pretoken
+            return self._known(word) + self._known_pretoken(piece[len(word) :])
         if self.words:
-            if piece.isalpha():
-                return self._pretoken(piece)
             found = WORD_PATTERN.findall(piece)
         else:
-            if piece.isalpha():
-                return self._pretoken(" " + piece)  # one pretoken, and as a piece remembered already
             if piece[0] == "\x00":
                 piece = piece[1:]
             elif piece[0] != "\n":
                 piece = " " + piece
             found = BYTE_PATTERN.findall(piece)
-        out = []
-        for pretoken in found:
-            ids = self.pretokens.get(pretoken)
+        return b"".join([self._known_pretoken(pretoken) for pretoken in found])
+
+    def _known(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = self.older.get(piece)
             if ids is None:
-                ids = self.pretokens[pretoken] = self._pretoken(pretoken)
-            out.append(ids)
-        return b"".join(out)
+                ids = self._piece(piece)
+            self.pieces[piece] = ids
+        return ids
 
     def _cut(self, text: str) -> list[str]:
         if self.words:
@@ -137,14 +147,17 @@ class Encoder:
         pieces[0] = "\x00" + pieces[0]
         return pieces
 
-    def _remember(self, pieces: list[str]) -> None:
-        if len(self.pieces) + len(self.pretokens) > REMEMBERED:
-            self.pieces.clear()
+    def _remember(self, pieces: list[str], found: list[bytes | None]) -> None:
+        """Fill in the ids that were not found."""
+        if len(self.pieces) + len(self.pretokens) > REMEMBERED // 2:
+            self.older.clear()
             self.pretokens.clear()
+            self.pieces, self.older = self.older, self.pieces
         collecting = gc.isenabled()
         gc.disable()  # nothing here is cyclic; the collector would take half of the time
-        for piece in set(pieces).difference(self.pieces):
-            self.pieces[piece] = self._piece(piece)
+        for at, ids in enumerate(found):
+            if ids is None:
+                found[at] = self._known(pieces[at])
         if collecting:
             gc.enable()
 
@@ -158,11 +171,10 @@ class Encoder:
                 out.append(np.array(found.ids, "<u4").tobytes())
             else:
                 pieces = self._cut(text)
-                try:
-                    out.append(b"".join([self.pieces[piece] for piece in pieces]))
-                except KeyError:
-                    self._remember(pieces)
-                    out.append(b"".join([self.pieces[piece] for piece in pieces]))
+                ids = [*map(self.pieces.get, pieces)]
+                if None in ids:
+                    self._remember(pieces, ids)
+                out.append(b"".join(ids))
         return out
 
 

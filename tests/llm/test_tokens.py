@@ -50,6 +50,33 @@ def test_words_of_letters_are_remembered_once():
     assert "über" in made.pieces and not {" words", " über", " all", " plain"} - {" words"} & set(made.pretokens)
 
 
+def counted(made, monkeypatch):
+    """What the encoder gives to the tokenizer's model from here on."""
+    seen, encode = [], made._pretoken
+    monkeypatch.setattr(made, "_pretoken", lambda text: seen.append(text) or encode(text))
+    return seen
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_words_before_punctuation_are_encoded_once(path, monkeypatch):
+    made = tokens.Encoder(path, path == WORD)
+    seen = counted(made, monkeypatch)
+    text = "a über über, über. über%%% über!"
+    assert made.encode([text]) == [direct(path, text)]
+    assert seen.count(("" if path == WORD else " ") + "über") == 1
+    texts = ["x über'. it's, 's (über) über_a_ don't?' l'l ²über, über² über\u00bb,", "x ...\nüber, über."]
+    assert made.encode(texts) == [direct(path, t) for t in texts]
+
+
+def test_words_in_use_are_not_forgotten(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 20)
+    made = tokens.Encoder(BYTE, False)
+    seen = counted(made, monkeypatch)
+    texts = [f"x kept {'abcdefghij'[i // 10]}{'klmnopqrst'[i % 10]}" for i in range(100)]
+    assert made.encode(texts) == [direct(BYTE, t) for t in texts]
+    assert seen.count(" kept") == 1 and len(made.pieces) + len(made.older) <= 24
+
+
 def test_records_round_trip(odd_documents, odd_texts, tmp_path):
     index = records.with_start(records.write_records(odd_documents, WORD, end_id=2, folder=f"file://{tmp_path}/r"))
     read = {(r["file"], r["row"]): r for r in records.read_records(index).collect()}
